@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table
-from tessera.llm.tokens import ODD, UnitEncoder
+from tessera.llm.tokens import ODD, UnitEncoder, unit_encoder
 
 #: Cuts fall about every 2**CHUNK_BITS bytes.
 CHUNK_BITS, WINDOW_BITS = 10, 16
@@ -58,7 +58,7 @@ class ChunkEncoder:
     """Encodes by chunks. ``room`` bounds the bytes of ids and text that are remembered for reuse."""
 
     def __init__(self, path: str, room: int = 48_000_000):
-        self.units = UnitEncoder(path)
+        self.units = unit_encoder(path)
         self.seen: dict[bytes, tuple[str, bytes | None, str]] = {}
         self.room = room
         self.reused = self.encoded = 0
@@ -125,6 +125,16 @@ class ChunkEncoder:
         return [self.units.library([t])[0] if p is None else b"".join(x if isinstance(x, bytes) else fixed[x] for x in p) for t, p in zip(texts, plan, strict=True)]
 
 
+_OPEN: dict[str, ChunkEncoder] = {}
+
+
+def chunk_encoder(path: str) -> ChunkEncoder:
+    """The chunk encoder of this process; see ``unit_encoder``."""
+    if path not in _OPEN:
+        _OPEN[path] = ChunkEncoder(path)
+    return _OPEN[path]
+
+
 class Decoder:
     """decode(ids, skip_special_tokens=False) of a file without a decoder: the tokens, joined by a space."""
 
@@ -147,7 +157,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (array<int>): the ids of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(path)
+        encoder = chunk_encoder(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
@@ -162,7 +172,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, text: the decoded text of each row's ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(UnitEncoder(path))
+        decoder = Decoder(unit_encoder(path))
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
@@ -177,7 +187,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: ``encode`` and ``decode`` in one pass, so that ids stay in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(path)
+        encoder = chunk_encoder(path)
         decoder = Decoder(encoder.units)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):

@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import stored, table
-from tessera.llm.tokens import UnitEncoder
+from tessera.llm.tokens import unit_encoder
 
 DIMS, BITS, SEED = 4, 10, 17
 
@@ -72,7 +72,7 @@ def place(means: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = UnitEncoder(path)
+        encoder = unit_encoder(path)
         towards = directions(1 << 16)
         last = np.array([end], dtype="<u2").tobytes()
         for batch in batches:

@@ -21,15 +21,6 @@ ODD = re.compile("[^\t\n\r\x20-\x7e\xa1-\xb1\xb4\xb6-\xb8\xba\xbb\xbf-įı-ňŊ-
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_]+|\\d|(?:[^\\w\\s]|_)+")
 
 
-class _Known(dict):
-    """Remembered ids; asks ``now`` for those of the current call only."""
-
-    now: dict
-
-    def __missing__(self, key):
-        return self.now[key]
-
-
 class UnitEncoder:
     """Ids of texts as little-endian uint16 bytes. ``limit`` bounds the remembered units and the remembered pieces."""
 
@@ -44,7 +35,7 @@ class UnitEncoder:
         if size > 1 << 16:
             raise ValueError(f"{size} ids do not fit in 16 bits")
         (self.bar,) = self.tokenizer.encode("|", add_special_tokens=False).ids
-        self.limit, self.known, self.pieces = limit, _Known(), _Known()
+        self.limit, self.known, self.pieces = limit, {}, {}
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u2").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -63,26 +54,36 @@ class UnitEncoder:
         found.update(zip(rest, self.library(rest), strict=True))
         return [found[x] for x in pieces]
 
-    def _learn(self, known: _Known, found: dict) -> None:
-        known.now = found
+    def _looked_up(self, known: dict, keys: list[str], make) -> dict:
+        """Ids of ``keys``, which aren't known; they are remembered while there is room."""
+        found = dict(zip(keys, make(keys), strict=True))
         if len(known) + len(found) <= self.limit:
             known.update(found)
+        return found
+
+    def _units(self, units: list[str]) -> list[bytes]:
+        """Ids of new units, by their pieces."""
+        split = [PIECE.findall(u) for u in units]
+        new = sorted({x for p in split for x in p if x not in self.pieces})
+        now = self._looked_up(self.pieces, new, self._one_by_one)
+        old = self.pieces
+        return [b"".join([old[x] if x in old else now[x] for x in p]) for p in split]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [None if ODD.search(t) else t.lower().split() for t in texts]
-        new: set[str] = set()
-        for p in plain:
-            if p:
-                new.update(p)
-        new.difference_update(self.known)
-        split = {u: PIECE.findall(u) for u in new}
-        todo: set[str] = set()
-        for p in split.values():
-            todo.update(p)
-        todo.difference_update(self.pieces)
-        todo = sorted(todo)
-        self._learn(self.pieces, dict(zip(todo, self._one_by_one(todo), strict=True)))
-        get = self.pieces.__getitem__
-        self._learn(self.known, {u: b"".join(map(get, p)) for u, p in split.items()})
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) if p is not None else self.library([t])[0] for p, t in zip(plain, texts, strict=True)]
+        get = self.known.get
+        out: list = [None if ODD.search(t) else list(map(get, t.lower().split())) for t in texts]
+        gaps = [(i, k, u) for i, p in enumerate(out) if p and None in p for k, u in enumerate(texts[i].lower().split()) if p[k] is None]
+        new = self._looked_up(self.known, list(dict.fromkeys(u for _, _, u in gaps)), self._units)
+        for i, k, u in gaps:
+            out[i][k] = new[u]
+        return [b"".join(p) if p is not None else self.library([t])[0] for p, t in zip(out, texts, strict=True)]
+
+
+_OPEN: dict[str, UnitEncoder] = {}
+
+
+def unit_encoder(path: str) -> UnitEncoder:
+    """The encoder of this process: a Python worker's later tasks go on with what it remembers."""
+    if path not in _OPEN:
+        _OPEN[path] = UnitEncoder(path)
+    return _OPEN[path]
