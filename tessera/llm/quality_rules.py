@@ -2,7 +2,7 @@
 
 Each rule votes bad (-1) or good (1) or abstains (0). How often each vote goes with good and with bad texts is estimated without
 labels by expectation-maximisation, and a text's posterior probability of being good replaces an all-must-pass filter.
-All texts vote; the driver gets a count for each combination of votes, of which there are at most 3**len(RULES),
+All texts vote; the driver gets a count for each combination of votes, of which there are at most 2**len(RULES),
 however many texts there are, and runs the iterations on those counts. The verdict is an expression again. Everything
 that touches rows is a DataFrame function.
 
@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE, let, table, words
+from tessera.llm.common import SPACE, let, stored, table, words
 
 #: Positions that fit below a hash in one long; texts of more words are sorted by (hash, position) pairs.
 BITS = 20
@@ -65,18 +65,26 @@ def measures(text: Column) -> Column:
     return let(parts, lambda p: F.struct(*(p["w"][c].alias(c) for c in ("n_words", "word_chars", "n_repeat_words")), *(p["l"][c].alias(c) for c in ("n_lines", "n_dup_lines")), *(p[c].alias(c) for c in ("n_symbols", "n_upper", "n_shouts"))))
 
 
-def _vote(bad: Column, good: Column) -> Column:
-    return F.when(bad, -1).when(good, 1).otherwise(0)
+def _against(bad: Column) -> Column:
+    return F.when(bad, -1).otherwise(0)
 
 
-#: name -> vote, from the measures by name.
+def _plain(m) -> Column:
+    few = (100 * m("n_symbols") <= m("word_chars")) & (100 * m("n_shouts") <= m("word_chars")) & (100 * m("n_upper") <= 15 * m("word_chars"))
+    fresh = (100 * m("n_dup_lines") <= 10 * m("n_lines")) & (100 * m("n_repeat_words") <= 20 * m("n_words"))
+    return F.when(few & fresh & m("word_chars").between(3 * m("n_words"), 9 * m("n_words")), 1).otherwise(0)
+
+
+#: name -> vote, from the measures by name. A text that is bad in one way is fine in the others, so a rule that finds
+#: nothing against a text abstains; only a text that is plain in all respects gets a vote for it.
 RULES = {
-    "symbols": lambda m: _vote(100 * m("n_symbols") > 4 * m("word_chars"), 100 * m("n_symbols") <= m("word_chars")),
-    "capitals": lambda m: _vote(100 * m("n_upper") > 35 * m("word_chars"), 100 * m("n_upper") <= 10 * m("word_chars")),
-    "shouting": lambda m: _vote(100 * m("n_shouts") > 5 * m("word_chars"), 100 * m("n_shouts") <= m("word_chars")),
-    "repeated_lines": lambda m: _vote(100 * m("n_dup_lines") > 30 * m("n_lines"), m("n_dup_lines") == 0),
-    "repeated_words": lambda m: _vote(100 * m("n_repeat_words") > 50 * m("n_words"), 100 * m("n_repeat_words") <= 20 * m("n_words")),
-    "word_length": lambda m: _vote((m("word_chars") > 12 * m("n_words")) | (m("word_chars") < 2 * m("n_words")), m("word_chars").between(4 * m("n_words"), 8 * m("n_words"))),
+    "symbols": lambda m: _against(100 * m("n_symbols") > 4 * m("word_chars")),
+    "capitals": lambda m: _against(100 * m("n_upper") > 35 * m("word_chars")),
+    "shouting": lambda m: _against(100 * m("n_shouts") > 5 * m("word_chars")),
+    "repeated_lines": lambda m: _against((m("n_dup_lines") >= 2) & (100 * m("n_dup_lines") > 30 * m("n_lines"))),
+    "repeated_words": lambda m: _against(100 * m("n_repeat_words") > 45 * m("n_words")),
+    "word_length": lambda m: _against((m("word_chars") > 12 * m("n_words")) | (m("word_chars") < 2 * m("n_words"))),
+    "plain": _plain,
 }
 
 
@@ -90,29 +98,30 @@ def votes(m: Column) -> list[Column]:
 
 
 def estimate(counts: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[float, list[dict[int, float]]]:
-    """(log odds of good, per rule the log-likelihood ratio of each vote) by expectation-maximisation on vote counts."""
-    good = {v: 0.05 if sum(x < 0 for x in v) else 0.95 for v, _ in counts}
-    prior, ratios = 0.0, [{-1: 0.0, 0: 0.0, 1: 0.0} for _ in RULES]
+    """(log odds of good, per rule the log-likelihood ratio of each vote) by expectation-maximisation on vote counts.
+
+    An abstention says nothing. A vote against never speaks for a text, nor the other way round.
+    """
     total = sum(n for _, n in counts)
     if not total:
-        return math.log(9), [{-1: -3.0, 0: 0.0, 1: 0.2} for _ in RULES]
+        return math.log(9), [{-1: -3.0, 0: 0.0, 1: 3.0} for _ in RULES]
+    good = {v: 0.05 if min(v) < 0 else 0.95 for v, _ in counts}
+    prior, ratios = 0.0, [{-1: 0.0, 0: 0.0, 1: 0.0} for _ in RULES]
     for _ in range(rounds):
         n_good = sum(n * good[v] for v, n in counts)
         prior = math.log((n_good + 1) / (total - n_good + 1))
         for r, ratio in enumerate(ratios):
-            for vote in ratio:
+            for vote, sign in ((-1, min), (1, max)):
                 a = sum(n * good[v] for v, n in counts if v[r] == vote)
                 b = sum(n * (1 - good[v]) for v, n in counts if v[r] == vote)
-                # a vote against never speaks for a text, nor the other way round
-                ratio[vote] = math.log((a + 1) / (n_good + 3)) - math.log((b + 1) / (total - n_good + 3))
-                ratio[vote] = min(ratio[vote], 0.0) if vote < 0 else max(ratio[vote], 0.0) if vote > 0 else ratio[vote]
+                ratio[vote] = sign(0.0, math.log((a + 0.1) / (n_good + 1)) - math.log((b + 0.1) / (total - n_good + 1)))
         good = {v: 1 / (1 + math.exp(-max(-500.0, min(500.0, prior + sum(ratios[r][x] for r, x in enumerate(v)))))) for v in good}
     return prior, ratios
 
 
 def fitted(docs_measured: DataFrame) -> tuple[float, list[dict[int, float]]]:
     names = list(RULES)
-    rows = docs_measured.select(*votes(F.col("_quality"))).groupBy(*names).count().collect()  # at most 3**len(RULES) rows
+    rows = docs_measured.select(*votes(F.col("_quality"))).groupBy(*names).count().collect()  # at most 2**len(RULES) rows
     return estimate(sorted((tuple(r[c] for c in names), r["count"]) for r in rows))
 
 
@@ -128,8 +137,6 @@ def posterior(m: Column, model: tuple[float, list[dict[int, float]]]) -> Column:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.llm.common import stored
-
     docs = stored(measured(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "quality")
     model = fitted(docs)
     m = F.col("_quality")

@@ -63,9 +63,11 @@ def test_empty_table_and_clashing_columns(spark, documents):
     assert [r.n_words for r in rows] == ["clash"] * 2 and all(r.f and 0 <= r.p <= 1 for r in rows)
 
 
-def test_estimate_finds_the_better_rule():
+def test_estimate_weighs_rules_by_agreement():
     n = len(quality_rules.RULES)
-    pad = (0,) * (n - 3)
-    counts = [((1, 1, 1, *pad), 800), ((-1, -1, 1, *pad), 90), ((-1, 0, 1, *pad), 10), ((1, -1, 1, *pad), 5)]
-    _, ratios = estimate(counts)
-    assert ratios[0][-1] < -1 and ratios[0][1] > 0 and abs(ratios[2][1]) < 0.5
+    vote = lambda **at: tuple(at.get(f"r{i}", 0) for i in range(n))
+    counts = [(vote(r6=1), 800), (vote(r0=-1), 80), (vote(r1=-1, r3=-1), 60), (vote(r4=-1), 20)]
+    prior, ratios = estimate(counts)
+    assert prior > 0 and ratios[0][-1] < -2 and ratios[6][1] > 0
+    odds = lambda v: prior + sum(ratios[r][x] for r, x in enumerate(v))
+    assert odds(vote(r6=1)) > 0 > odds(vote(r0=-1)) and odds(vote(r1=-1, r3=-1)) < odds(vote(r1=-1)) < 0
