@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import q_box  # noqa: F401  each module registers its queries
+from tessera.plans import q_box, q_eval, q_explorer  # noqa: F401  each module registers its queries
 from tessera.plans._register import QUERIES, SQL  # noqa: F401
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["box_convert"](spark, sf_dir)
+    return QUERIES["ap_per_class"](spark, sf_dir)
