@@ -312,7 +312,10 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> D
     side = lambda c: info.select(F.col("dg").alias(c), F.col("n").alias(f"n_{c}"), F.col("point").alias(f"point_{c}"))
 
     degree = posts.groupBy("dg").agg(F.count("*").alias("degree"))
-    hubs = stored(posts.join(degree, "dg").groupBy("h").agg(F.max(F.struct("degree", "dg")).alias("top"), F.count("*").alias("members")).select("h", "members", F.col("top.dg").alias("hub")), "hubs")
+    members = (F.count("*").alias("members"), F.sum(F.xxhash64("dg").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("dg", F.lit(2))).alias("xor"))
+    blocks = posts.join(degree, "dg").groupBy("h").agg(F.max(F.struct("degree", "dg")).alias("top"), *members)
+    # blocks of the same members (most shingles that two texts share) are one block
+    hubs = stored(blocks.groupBy("members", "sum", "xor").agg(F.min("h").alias("h"), F.first("top.dg").alias("hub")).select("h", "members", "hub"), "hubs")
     stars = posts.join(hubs, "h").filter("dg <> hub").select(F.least("dg", "hub").alias("a"), F.greatest("dg", "hub").alias("b")).distinct()
     tried = stored(bounded(stars.join(side("a"), "a").join(side("b"), "b"), percent), "stars")
     links = verified(docs, tried, info, k, percent)

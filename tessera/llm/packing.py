@@ -15,6 +15,7 @@ and cut there, row by row. No task holds more than its rows, and the driver gets
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 
@@ -72,15 +73,16 @@ def place(means: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # nothing here is cyclic, and the memory of units is large to walk
         encoder = unit_encoder(path)
         towards = directions(1 << 16)
         last = np.array([end], dtype="<u2").tobytes()
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids = [x + last for x in encoder.encode(texts)]
-            del texts
-            means = np.array([towards[np.frombuffer(x, dtype="<u2")].mean(axis=0) for x in ids], dtype=np.float64).reshape(-1, DIMS)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(hilbert(place(means))), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "key", "n", "ids"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                ids = [x + last for x in encoder.encode([t or "" for t in batch.column("text").to_pylist()])]
+                means = np.array([towards[np.frombuffer(x, dtype="<u2")].mean(axis=0) for x in ids], dtype=np.float64).reshape(-1, DIMS)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(hilbert(place(means))), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "key", "n", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, key long, n long, ids binary").withColumn("row", F.monotonically_increasing_id())
 

@@ -1,9 +1,9 @@
 """Exact, reuse-heavy encoding with a public word-level BPE file.
 
-A text is fast-path if all its characters are ones on which Python's and the library's Unicode rules agree
-(``ODD`` finds the others) and it holds no control string; any other text goes to the library as a whole.
-On the fast path white space separates units for good: neither normalisation nor pre-tokenisation nor merges
-reach across it. So the ids of a text are the ids of its units in a row, and equal units can be encoded once.
+A text is lower-cased and split at ASCII white space into units. On characters on which Python's and the library's Unicode
+rules agree (``ODD`` finds the others, and control strings) white space separates units for good: neither
+normalisation nor pre-tokenisation nor merges reach across it. So the ids of a text are the ids of its units in a row, and
+equal units are encoded once. A text with an odd unit goes to the library as a whole.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import re
 
 import numpy as np
 
+from tessera.llm.merges import Merges
+
 #: Other characters than plain ASCII (without rare controls), Latin letters with marks and common punctuation.
 ODD = re.compile("[^\t\n\r\x20-\x7e\xa1-\xb1\xb4\xb6-\xb8\xba\xbb\xbf-įı-ňŊ-ž‐-―‘-‟•…€]|<\\|")
 
@@ -21,10 +23,14 @@ ODD = re.compile("[^\t\n\r\x20-\x7e\xa1-\xb1\xb4\xb6-\xb8\xba\xbb\xbf-įı-ňŊ-
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_]+|\\d|(?:[^\\w\\s]|_)+")
 
 
+#: In place of the ids of an odd unit; no ids are of odd length.
+STRANGE = b"?"
+
+
 class UnitEncoder:
-    """Ids of texts as little-endian uint16 bytes. ``limit`` bounds the remembered units and the remembered pieces."""
+    """Ids of texts as little-endian uint16 bytes. ``limit`` bounds the remembered units."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -34,49 +40,59 @@ class UnitEncoder:
         size = self.tokenizer.get_vocab_size()
         if size > 1 << 16:
             raise ValueError(f"{size} ids do not fit in 16 bits")
-        (self.bar,) = self.tokenizer.encode("|", add_special_tokens=False).ids
-        self.limit, self.known, self.pieces = limit, {}, {}
+        self.merges = Merges(self.tokenizer)
+        self.limit, self.known, self.odd = limit, {}, False
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u2").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _one_by_one(self, pieces: list[str]) -> list[bytes]:
-        """Ids of many short strings without white space: as the units of a few texts, parted by a bar of its own."""
+    def _merged(self, pieces: list[bytes]) -> list[bytes]:
         out: list[bytes] = []
-        letters = [x for x in pieces if x.isalpha()]
-        for at in range(0, len(letters), 5000):
-            some = letters[at : at + 5000]
-            ids = np.array(self.tokenizer.encode(" | ".join(some), add_special_tokens=False).ids, dtype="<u2")
-            cuts = [-1, *np.flatnonzero(ids == self.bar).tolist(), len(ids)]
-            out += [ids[a + 1 : b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        found = dict(zip(letters, out, strict=True))
-        rest = [x for x in pieces if x not in found]
-        found.update(zip(rest, self.library(rest), strict=True))
-        return [found[x] for x in pieces]
-
-    def _looked_up(self, known: dict, keys: list[str], make) -> dict:
-        """Ids of ``keys``, which aren't known; they are remembered while there is room."""
-        found = dict(zip(keys, make(keys), strict=True))
-        if len(known) + len(found) <= self.limit:
-            known.update(found)
+        for at in range(0, len(pieces), 20_000):
+            out += self.merges.encode(pieces[at : at + 20_000])
+        return out
+
+    def _remember(self, found: dict) -> None:
+        if len(self.known) + len(found) <= self.limit:
+            self.known.update(found)
+
+    def _units(self, units: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of new units, by their pieces; ``STRANGE`` for odd ones."""
+        whole = [u for u in units if u.isalpha()]  # ASCII letters alone: one piece
+        found = dict(zip(whole, self._merged(whole), strict=True))
+        split = {}
+        for u in units.difference(whole):
+            t = u.decode()
+            split[u] = None if ODD.search(t) else [x.encode() for x in PIECE.findall(t)]
+        new = {x for p in split.values() if p for x in p}
+        new = [x for x in new if x not in found and x not in self.known]
+        now = dict(zip(new, self._merged(new), strict=True))
+        known = {**{x: self.known[x] for p in split.values() if p for x in p if x in self.known}, **found, **now}
+        for u, p in split.items():
+            if p is None:
+                found[u], self.odd = STRANGE, True
+            else:
+                found[u] = b"".join([known[x] for x in p])
+        self._remember(found)
         return found
 
-    def _units(self, units: list[str]) -> list[bytes]:
-        """Ids of new units, by their pieces."""
-        split = [PIECE.findall(u) for u in units]
-        new = sorted({x for p in split for x in p if x not in self.pieces})
-        now = self._looked_up(self.pieces, new, self._one_by_one)
-        old = self.pieces
-        return [b"".join([old[x] if x in old else now[x] for x in p]) for p in split]
-
     def encode(self, texts: list[str]) -> list[bytes]:
         get = self.known.get
-        out: list = [None if ODD.search(t) else list(map(get, t.lower().split())) for t in texts]
-        gaps = [(i, k, u) for i, p in enumerate(out) if p and None in p for k, u in enumerate(texts[i].lower().split()) if p[k] is None]
-        new = self._looked_up(self.known, list(dict.fromkeys(u for _, _, u in gaps)), self._units)
+        units = [t.lower().encode().split() for t in texts]
+        out: list = [list(map(get, u)) for u in units]
+        gaps = []
+        for i, p in enumerate(out):
+            if None in p:
+                k, u = p.index(None), units[i]
+                for _ in range(p.count(None) - 1):
+                    gaps.append((i, k, u[k]))
+                    k = p.index(None, k + 1)
+                gaps.append((i, k, u[k]))
+        new = self._units({u for _, _, u in gaps})
         for i, k, u in gaps:
             out[i][k] = new[u]
-        return [b"".join(p) if p is not None else self.library([t])[0] for p, t in zip(out, texts, strict=True)]
+        odd = self.odd and any(STRANGE in p for p in out)
+        return [self.library([t])[0] if odd and STRANGE in p else b"".join(p) for p, t in zip(out, texts, strict=True)]
 
 
 _OPEN: dict[str, UnitEncoder] = {}
