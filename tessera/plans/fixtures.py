@@ -29,7 +29,7 @@ VIEWS = {
     "points": (("pred",), "SELECT image_id, det_id, conf, (x1+x2)/2e0 px, (y1+y2)/2e0 py, 500000e0 + 0.33e0*((x1+x2)/2e0) x, 9800000e0 - 0.33e0*((y1+y2)/2e0) y FROM pred"),
     "roi": ((), "SELECT n_nationkey roi_id, n_regionkey category, 500000e0 + (n_nationkey % 5)*40e0 left_x, 9800000e0 - (n_nationkey % 7)*25e0 top_y, 30e0 + n_nationkey width, 20e0 + n_nationkey height FROM nation"),
     "track": ((), """SELECT user_id % 5 stream_id, user_id track_id, event_id, ts, value % 100e0 x, CAST(event_id % 480 AS DOUBLE) y,
-      row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) frame FROM events"""),
+      CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) frame FROM events"""),
     "pixel": ((), "SELECT l_linenumber channel, l_suppkey % 4 image, l_orderkey, CAST(floor(l_quantity*5e0) AS INT) % 256 value, l_partkey % 64 px_row, l_suppkey % 64 px_col, l_discount p0 FROM lineitem"),
     "raster": ((), "SELECT p_partkey raster_id, 300 + p_size*40 width, 300 + p_partkey % 2000 height FROM part"),
 }

@@ -141,7 +141,7 @@ breadth("sql_theta_join", "SELECT a.n_nationkey a, b.n_nationkey b FROM {nation}
 breadth("sql_cube", "SELECT l_returnflag, l_linestatus, count(*) n, round(sum(l_quantity), 2) q FROM {lineitem} GROUP BY CUBE (l_returnflag, l_linestatus)", None, "lineitem")
 breadth("sql_rollup", "SELECT n_regionkey, n_name, count(*) n FROM {nation} GROUP BY ROLLUP (n_regionkey, n_name)", None, "nation")
 breadth("sql_grouping_sets", "SELECT o_orderstatus, o_orderpriority, count(*) n FROM {orders} GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())", None, "orders")
-breadth("sql_frames", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) s, rank() OVER (PARTITION BY user_id ORDER BY event_type) r, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) p FROM {events}", None, "events")
+breadth("sql_frames", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) s, CAST(rank() OVER (PARTITION BY user_id ORDER BY event_type) AS BIGINT) r, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) p FROM {events}", None, "events")
 breadth("sql_intersect", "SELECT o_custkey k FROM {orders} INTERSECT SELECT user_id FROM {events}", None, "orders", "events")
 breadth("sql_except", "SELECT c_custkey k FROM {customer} EXCEPT SELECT o_custkey FROM {orders}", None, "customer", "orders")
 breadth("sql_union_distinct", "SELECT n_name x FROM {nation} UNION SELECT r_name FROM {region}", None, "nation", "region")
