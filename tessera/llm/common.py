@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -28,14 +29,39 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts lineage, survives lost executors, is computed once."""
+_MADE: list[str] = []
+
+
+def stored(df: DataFrame, label: str, codec: str = "zstd", keep: bool = False) -> DataFrame:
+    """``df`` written to the shared folder and read again: cuts lineage, survives lost executors, is computed once.
+
+    With ``keep`` the table is the caller's; others go at the next ``release``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tessera-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    if not keep:
+        _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished jobs now; it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def release(spark: SparkSession, still: DataFrame) -> None:
+    """Deletes the tables that ``stored`` has made in this process, but those that ``still`` reads."""
+    read = "\n".join(still.inputFiles()) if _MADE else ""
+    for path in list(_MADE):
+        name = path.rsplit("/", 1)[1]
+        if name not in read:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _MADE.remove(path)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, however often ``body`` uses it."""
     return F.transform(F.array(value), body)[0]

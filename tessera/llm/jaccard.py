@@ -30,12 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, table
+from tessera.llm.common import stored, table, tidy
 from tessera.llm.components import components
 
 K, PERCENT, GROUPS = 5, 80, 256
 #: Counters of the sketch, in blocks; bytes that the driver gets are 4 * SKETCH whatever the input.
 SKETCH, SKETCH_BLOCK = 1 << 18, 1 << 10
+#: Bits of the filter that picks texts whose sets are verified.
+FILTER = 1 << 23
 #: Members of a block that one search holds, and points in a leaf.
 SLOT, LEAF = 4096, 32
 
@@ -267,14 +269,46 @@ def searched(blocks: DataFrame, percent: int) -> DataFrame:
     return blocks.select(*names).repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n").mapInArrow(run, "a long, b long")
 
 
+def marks(keys: DataFrame) -> np.ndarray:
+    """A bit for each value of ``tk`` modulo the filter's size; of fixed size whatever the input."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER, bool)
+        for batch in batches:
+            bits[(batch.column("tk").to_numpy().view(np.uint64) % np.uint64(FILTER)).astype(np.int64)] = True
+        packed = np.packbits(bits).reshape(-1, SKETCH_BLOCK)
+        slabs = np.flatnonzero(packed.any(axis=1)).tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(slabs, pa.int32()), pa.array([packed[i].tobytes() for i in slabs], pa.binary())], ["slab", "bits"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, bits in zip(batch.column("slab").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+                x = np.frombuffer(bits, np.uint8)
+                total[i] = total[i] | x if i in total else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slab", "bits"])
+
+    out = np.zeros((FILTER // 8 // SKETCH_BLOCK, SKETCH_BLOCK), np.uint8)
+    for r in keys.mapInArrow(run, "slab int, bits binary").repartition("slab").mapInArrow(join, "slab int, bits binary").collect():  # a row for each slab
+        out[r.slab] = np.frombuffer(r.bits, np.uint8)
+    return out.reshape(-1)
+
+
 def sets_of(docs: DataFrame, nodes: DataFrame, info: DataFrame, k: int) -> DataFrame:
-    """(dg, s): the shingles of the given nodes, made again from their texts."""
+    """(dg, s): the shingles of the given nodes (and of few others), made again from their texts where those are.
+
+    A bit filter of fixed size picks the texts, so texts are never shuffled; where so many nodes are asked for that the filter
+    is full, more sets travel, and none is lost.
+    """
+    bits = marks(info.join(nodes, "dg", "left_semi").select("tk"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for batch in batches:
+            at = batch.column("tk").to_numpy().view(np.uint64) % np.uint64(FILTER)
+            on = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1
             dg, sets = [], [np.empty(0, np.int64)]
-            for text in batch.column("text").to_pylist():
+            for text in batch.column("text").filter(pa.array(on.astype(bool))).to_pylist():
                 s = shingles(text, k)
                 if len(s) and (d := digest(s)) not in sent:
                     if len(sent) >= 300_000:
@@ -284,19 +318,17 @@ def sets_of(docs: DataFrame, nodes: DataFrame, info: DataFrame, k: int) -> DataF
                     sets.append(s.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(dg, pa.int64()), pa.ListArray.from_arrays(np.cumsum([len(x) for x in sets]).astype(np.int32), pa.array(np.concatenate(sets)))], ["dg", "s"])
 
-    keys = info.join(nodes, "dg", "left_semi").select("tk").distinct()
-    made = docs.join(keys, "tk", "left_semi").select("text").mapInArrow(run, "dg long, s array<long>")
-    return made.join(nodes, "dg", "left_semi").dropDuplicates(["dg"])
+    return docs.select("text", "tk").mapInArrow(run, "dg long, s array<long>").dropDuplicates(["dg"])
 
 
 def verified(docs: DataFrame, pairs: DataFrame, info: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the stored (a, b) that reach the percentage, by their sets."""
-    nodes = stored(pairs.select(F.col("a").alias("dg")).unionByName(pairs.select(F.col("b").alias("dg"))).distinct(), "nodes")
-    sets = stored(sets_of(docs, nodes, info, k), "sets", "uncompressed")
+    """Those of the stored (a, b) that reach the percentage, by their sets. Both joins read one exchange of the sets."""
+    sets = sets_of(docs, pairs.select(F.col("a").alias("dg")).unionByName(pairs.select(F.col("b").alias("dg"))).distinct(), info, k)
     left = sets.select(F.col("dg").alias("a"), F.col("s").alias("s_a"))
     right = sets.select(F.col("dg").alias("b"), F.col("s").alias("s_b"))
     both = F.size(F.array_intersect("s_a", "s_b"))
-    return pairs.join(left, "a").join(right, "b").filter((100 + percent) * both >= percent * (F.size("s_a") + F.size("s_b"))).select("a", "b")
+    kept = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").filter((100 + percent) * both >= percent * (F.size("s_a") + F.size("s_b")))
+    return stored(kept.select("a", "b"), "links")
 
 
 def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -309,6 +341,7 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> D
 
     info = rows.filter("dg is not null").join(posts.select("dg").distinct(), "dg", "left_semi").groupBy("dg").agg(F.first("n").alias("n"), F.first("point").alias("point"), F.min("tk").alias("tk"))
     info = stored(info, "info")
+    tidy(docs.sparkSession)
     side = lambda c: info.select(F.col("dg").alias(c), F.col("n").alias(f"n_{c}"), F.col("point").alias(f"point_{c}"))
 
     degree = posts.groupBy("dg").agg(F.count("*").alias("degree"))
@@ -319,6 +352,7 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> D
     stars = posts.join(hubs, "h").filter("dg <> hub").select(F.least("dg", "hub").alias("a"), F.greatest("dg", "hub").alias("b")).distinct()
     tried = stored(bounded(stars.join(side("a"), "a").join(side("b"), "b"), percent), "stars")
     links = verified(docs, tried, info, k, percent)
+    tidy(docs.sparkSession)
     first = stored(components(links, "a", "b"), "first")
 
     named = posts.join(hubs.filter("members > 2"), "h").join(first.withColumnRenamed("node", "dg"), "dg", "left").withColumn("component", F.coalesce("component", "dg"))
@@ -327,8 +361,11 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> D
     slots = F.ceil(F.col("members") / SLOT)
     rows_open = named.join(open_, "h", "left_semi").join(info.select("dg", "n", "point"), "dg").withColumn("slot", F.pmod(F.xxhash64("dg", F.lit(1)), slots))
     blocks = rows_open.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), slots - 1))).withColumn("i", F.least("slot", "other")).withColumn("j", F.greatest("slot", "other"))
+    tidy(docs.sparkSession)
     more = stored(searched(blocks, percent).distinct().join(tried, ["a", "b"], "left_anti"), "more")
+    tidy(docs.sparkSession)
     links = verified(docs, more, info, k, percent)
+    tidy(docs.sparkSession)
     named_a, named_b = (first.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in "ab")
     bridges = links.join(named_a, "a", "left").join(named_b, "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
     second = stored(components(bridges, "a", "b"), "second")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm import sql
 from tessera.llm.chat import op9_chat
 from tessera.llm.chunked_bpe import op5_bpe
 from tessera.llm.html_text import op1_html_text
@@ -26,4 +27,5 @@ QUERIES = {
     "op10_media": op10_media,
 }
 
-SQL: dict[str, str] = {}
+#: The other queries learn models, encode, or write media, which SQL cannot express.
+SQL: dict[str, str] = {"op2_jaccard": sql.JACCARD, "op8_secret_scan": sql.secrets(), "op9_chat": sql.CHAT}

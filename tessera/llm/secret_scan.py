@@ -31,9 +31,11 @@ STRONG = {
 #: Weak parts: kind -> (pattern, role).
 WEAK = {
     "identifier": (r"(?i:user(?:_?name)?|login|account|client_?id|access_?key_?id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,64}", "identifier"),
-    "opaque": (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,63}[0-9])(?=[a-z0-9+/_-]{0,63}[A-Z])(?=[A-Z0-9+/_-]{0,63}[a-z])[A-Za-z0-9+/_-]{20,}={0,2}", "secret"),
+    "opaque": (r"[A-Za-z0-9+/_-]{20,}={0,2}", "secret"),
     "endpoint": (r"(?i:https?|ftps?|ssh|jdbc:[a-z]{1,20}|mongodb|postgres(?:ql)?|mysql|redis|amqps?|s3)://[^\x20\x09-\x0D\"'<>]+|(?i:host(?:_?name)?|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.:_/-]{3,128}", "endpoint"),
 }
+#: An opaque token mixes these.
+MIXED = ["[0-9]", "[A-Z]", "[a-z]"]
 ROLE = {"assign": "secret", "access": "identifier", "hex": "secret"} | {k: r for k, (_, r) in WEAK.items()}
 KINDS = [*STRONG, *WEAK]
 
@@ -56,13 +58,15 @@ def found(text: Column, kind: str) -> Column:
 
         return F.aggregate(steps, start, step, lambda acc: acc["spans"])
 
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    every = let(matches, spans)
-    if group:
-        sizes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda g: F.char_length(g))
-        every = let(sizes, lambda s: F.filter(let(matches, spans), lambda x, i: F.get(s, i) >= least))
-    elif least:
-        every = F.filter(every, lambda x: x["end"] - x["start"] >= least)
+    def kept(matches: Column) -> Column:
+        if kind == "opaque":
+            return F.filter(spans(matches), lambda x, i: F.get(matches, i).rlike(MIXED[0]) & F.get(matches, i).rlike(MIXED[1]) & F.get(matches, i).rlike(MIXED[2]))
+        if not least:
+            return spans(matches)
+        sizes = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
+        return let(sizes, lambda g: F.filter(spans(matches), lambda x, i: F.char_length(F.get(g, i)) >= least))
+
+    every = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), kept)
     return F.when(text.rlike(pattern), every).otherwise(F.array().cast(NONE))
 
 
@@ -91,10 +95,10 @@ def linked(parts_of: DataFrame) -> DataFrame:
     return met.filter(whole).groupBy("_key").agg(F.sort_array(F.collect_list("span")).alias("_linked"))
 
 
-def with_spans(scan: DataFrame) -> DataFrame:
-    """Rows of ``scanned`` (stored) with ``_spans``, all spans by start, then kind."""
+def with_spans(scan: DataFrame, met: DataFrame | None = None) -> DataFrame:
+    """Rows of ``scanned`` with ``_spans``, all spans by start, then kind. ``met`` is ``linked(scan)``, if that is stored."""
     alone = scan.filter("_key is null").withColumn("_spans", F.col("_strong"))
-    joined = scan.filter("_key is not null").join(linked(scan), "_key", "left").withColumn("_spans", F.sort_array(F.concat("_strong", F.coalesce("_linked", F.array().cast(NONE))))).drop("_linked")
+    joined = scan.filter("_key is not null").join(linked(scan) if met is None else met, "_key", "left").withColumn("_spans", F.sort_array(F.concat("_strong", F.coalesce("_linked", F.array().cast(NONE))))).drop("_linked")
     return alone.unionByName(joined)
 
 

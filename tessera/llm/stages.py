@@ -6,31 +6,51 @@ its own to drop a row except where the operator's definition says so (a text wit
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, table
+from tessera.llm.common import release, stored, table, tidy
 from tessera.llm.jaccard import jaccard_components
 from tessera.llm.packing import pack
 from tessera.llm.quality_rules import base_failed, fitted, measured, posterior
-from tessera.llm.secret_scan import redacted, scanned, with_spans
+from tessera.llm.secret_scan import linked, redacted, scanned, with_spans
 from tessera.llm.toxicity import fit_toxicity, with_toxicity
 
 
+def stage(f):
+    """A stage's input is the written result of the one before, whose own tables can go then."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, docs)
+        tidy(spark)
+        return f(spark, docs, sf_dir)
+
+    return run
+
+
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that the ordinal model calls toxic go."""
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
     return with_toxicity(docs, model).filter(~F.col("_toxicity.toxic")).drop("_toxicity")
 
 
+@stage
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that fail the base test, or whose posterior is below one half, go."""
-    rows = stored(measured(docs), "measured")
+    """Texts that fail the base test, or whose posterior is below one half, go.
+
+    Texts are measured twice, for the votes and for the verdict: that costs less than a second copy of all texts.
+    """
+    rows = measured(docs)
     model = fitted(rows)
     m = F.col("_quality")
-    return rows.filter(~base_failed(m) & (posterior(m, model) >= 0.5)).drop("_quality")
+    return rows.filter(~base_failed(m) & (posterior(m, model) >= 0.5)).select(*docs.columns)
 
 
+@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of least doc_id stays. Rows without doc_id stay; repeated ids stay once."""
     groups = stored(jaccard_components(docs), "groups")
@@ -42,15 +62,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
 
 
+@stage
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every reported span is replaced; n_chars follows the text."""
-    scan = with_spans(stored(scanned(docs), "scanned"))
+    scan = scanned(docs)
+    met = stored(linked(scan.select("_key", "_strong", "_weak")), "linked")
+    scan = with_spans(scan, met)
     hidden = scan.withColumn("text", redacted(F.col("text"), F.col("_spans")))
     changed = F.size("_spans") > 0
     out = hidden.withColumn("n_chars", F.when(changed, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else hidden
     return out.select(*docs.columns)
 
 
+@stage
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of sequences that a trainer reads, ids included."""
     import public_tokenizers
