@@ -64,13 +64,43 @@ def shingles(text: str | None, k: int = K) -> np.ndarray:
 
 
 def counts(hashes: np.ndarray) -> bytes:
-    """The point of a set, in one byte a group where that does."""
-    n = np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=GROUPS)
-    return n.astype(np.uint8 if n.max(initial=0) < 256 else np.uint32).tobytes()
+    """The point of a set: counts of its groups by the hashes' high bits, after the byte size of a count.
 
+    The groups of a long text are more (an eighth of its shingles), for as many would not tell long texts apart; each of
+    ``GROUPS`` is then a run of finer ones.
+    """
+    bits = max(GROUPS.bit_length() - 1, (len(hashes) // 8).bit_length())
+    n = np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    n = n.astype(np.uint8 if n.max(initial=0) < 256 else np.uint32)
+    return bytes([n.itemsize]) + n.tobytes()
+
+
+def point(data: bytes, groups: int | None = None) -> np.ndarray:
+    """The counts, with ``groups`` summed up to that many."""
+    x = np.frombuffer(data, np.uint8 if data[0] == 1 else np.uint32, offset=1).astype(np.int32)
+    return x if groups is None or groups == len(x) else x.reshape(groups, -1).sum(axis=1, dtype=np.int32)
+
+
+def overlap_bound(p: bytes, q: bytes) -> int:
+    """The sum of coordinate minima, in the finest groups that both points have."""
+    x, y = point(p), point(q)
+    least = min(len(x), len(y))
+    return int(np.minimum(point(p, least), point(q, least)).sum())
+
+
+def coarse(info: DataFrame) -> DataFrame:
+    """(dg, n, point) with ``GROUPS`` groups for every set: what trees are built of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for data in batch.column("point").to_pylist():
+                x = point(data, GROUPS)
+                x = x.astype(np.uint8 if x.max(initial=0) < 256 else np.uint32)
+                out.append(bytes([x.itemsize]) + x.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("dg"), batch.column("n"), pa.array(out, pa.binary())], ["dg", "n", "point"])
 
-def point(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint8 if len(data) == GROUPS else np.uint32).astype(np.int32)
+    return info.select("dg", "n", "point").mapInArrow(run, "dg long, n long, point binary")
 
 
 def digest(hashes: np.ndarray) -> int:
@@ -177,7 +207,7 @@ def bounded(pairs: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for n, m, p, q in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "point_a", "point_b")), strict=True):
-                keep.append(100 * min(n, m) >= percent * max(n, m) and int(np.minimum(point(p), point(q)).sum()) >= least_overlap(n, m, percent))
+                keep.append(100 * min(n, m) >= percent * max(n, m) and overlap_bound(p, q) >= least_overlap(n, m, percent))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     return pairs.mapInArrow(run, "a long, b long")
@@ -359,10 +389,11 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> D
     named = stored(named, "named")
     open_ = named.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("h")
     slots = F.ceil(F.col("members") / SLOT)
-    rows_open = named.join(open_, "h", "left_semi").join(info.select("dg", "n", "point"), "dg").withColumn("slot", F.pmod(F.xxhash64("dg", F.lit(1)), slots))
+    rows_open = named.join(open_, "h", "left_semi").join(coarse(info), "dg").withColumn("slot", F.pmod(F.xxhash64("dg", F.lit(1)), slots))
     blocks = rows_open.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), slots - 1))).withColumn("i", F.least("slot", "other")).withColumn("j", F.greatest("slot", "other"))
     tidy(docs.sparkSession)
-    more = stored(searched(blocks, percent).distinct().join(tried, ["a", "b"], "left_anti"), "more")
+    may = stored(searched(blocks, percent).distinct().join(tried, ["a", "b"], "left_anti"), "may")
+    more = stored(bounded(may.join(side("a"), "a").join(side("b"), "b"), percent), "more")
     tidy(docs.sparkSession)
     links = verified(docs, more, info, k, percent)
     tidy(docs.sparkSession)

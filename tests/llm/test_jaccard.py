@@ -77,6 +77,24 @@ def test_tree_gives_each_pair_that_the_bound_allows():
     assert len(found) == len(set(found)) and set(found) == want
 
 
+def test_points_bound_the_overlap():
+    r = np.random.default_rng(2)
+    for n in (3, 100, 3000, 20000):
+        a = np.unique(r.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+        b = np.unique(np.concatenate([a[: len(a) * 9 // 10], r.integers(0, 2**63, n // 5, dtype=np.uint64) * np.uint64(2)]))
+        both = len(np.intersect1d(a, b))
+        p, q = jaccard.counts(a), jaccard.counts(b)
+        assert both <= jaccard.overlap_bound(p, q) <= np.minimum(jaccard.point(p, 256), jaccard.point(q, 256)).sum()
+        assert jaccard.point(p).sum() == len(a)
+
+
+def test_long_near_copies(spark, documents):
+    r = random.Random(5)
+    base = [f"w{r.randrange(10**6)}" for _ in range(20000)]
+    texts = [" ".join(base), " ".join(base[:18500]), " ".join(base[:15500]), " ".join(f"w{r.randrange(10**6)}" for _ in range(20000))]
+    assert got(jaccard_components(documents(texts))) == brute(list(enumerate(texts)))
+
+
 def test_whole_table(spark):
     import pyarrow.parquet as pq
 
