@@ -16,6 +16,7 @@ is the prior (0.5 where there is no label at all); an empty table gives no rows;
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +31,7 @@ SAMPLE = 5000
 #: Character classes, one string each; other ASCII signs are class 1, other bytes (letters with marks) class 0.
 CLASSES = ["abcdefghijklmnopqrstuvwxyz", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r", ".", ",;:", "!", "?", "#", "*", "$", "%", "&", "|", "<>", "()[]{}", "\"'`", "-_=+", "/\\@~^"]
 N = len(CLASSES)
-WIDTH = N + N * N + 6
+WIDTH = N + N * N + 9
 
 
 def _class_of() -> np.ndarray:
@@ -58,7 +59,9 @@ def features(text: str | None) -> np.ndarray:
     lines = [p for p in data.split(b"\n") if p.strip()]
     if w:
         windows = max(1, len(w) - 2)
-        x[-6:] = (1 - len(set(w)) / len(w), 1 - len(set(lines)) / len(lines), 1 - len(set(zip(w, w[1:], w[2:], strict=False))) / windows if len(w) > 2 else 0, min(4, len(data) / len(w) / 8), math.log1p(len(w)) / 10, math.log1p(len(data) / len(lines)) / 10)
+        same = sum(a == b for a, b in zip(w, w[1:], strict=False))
+        counts = Counter(w).most_common(2)
+        x[-9:] = (same / len(w), counts[0][1] / len(w) if len(w) > 20 else 0, counts[1][1] / len(w) if len(counts) > 1 and len(w) > 20 else 0, 1 - len(set(w)) / len(w), 1 - len(set(lines)) / len(lines), 1 - len(set(zip(w, w[1:], w[2:], strict=False))) / windows if len(w) > 2 else 0, min(4, len(data) / len(w) / 8), math.log1p(len(w)) / 10, math.log1p(len(data) / len(lines)) / 10)
     return x
 
 
@@ -79,7 +82,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.02, decay: float = 2e-3, seed: int = 0) -> Model:
+def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 800, rate: float = 0.02, decay: float = 5e-4, seed: int = 0) -> Model:
     """Minimises the non-negative risk by Adam on seeded batches; where the negative part falls below 0, its ascent is skipped to."""
     both = np.concatenate([positive, unlabelled])
     centre, spread = both.mean(axis=0), both.std(axis=0)
