@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def general(x: Column, digits: int = 6) -> Column:
     """A number as %g writes it, for magnitudes from 1e-4 up to 10**digits: significant digits, no trailing zeros."""
     places = F.greatest(F.lit(digits - 1) - F.floor(F.log10(F.greatest(F.abs(x), F.lit(1e-4)))), F.lit(0)).cast("int")
-    text = F.element_at(F.array(*(F.format_string(f"%.{i}f", F.bround(x, i)) for i in range(digits + 4))), places + 1)
+    text = F.coalesce(*(F.when(places == i, F.format_string(f"%.{i}f", F.bround(x, i))) for i in range(digits + 4)))  # makes one of them
     text = F.when(text.contains("."), F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")).otherwise(text)
     return F.when(x == 0, "0").otherwise(text)
 
@@ -17,12 +17,9 @@ def general(x: Column, digits: int = 6) -> Column:
 def label_lines(df: DataFrame, width: float, height: float, conf: bool = False, track: bool = False) -> DataFrame:
     """(image_id, line): cls cx cy w h as shares, then the score and the track if asked for."""
     c = F.col
-    parts = [c("cls").cast("string")] + [general(x) for x in ((c("x1") + c("x2")) / 2 / width, (c("y1") + c("y2")) / 2 / height, (c("x2") - c("x1")) / width, (c("y2") - c("y1")) / height)]
-    if conf:
-        parts.append(general(c("conf")))
-    if track:
-        parts.append(c("track_id").cast("string"))
-    return df.select("image_id", F.concat_ws(" ", *parts).alias("line"))
+    numbers = [(c("x1") + c("x2")) / 2 / width, (c("y1") + c("y2")) / 2 / height, (c("x2") - c("x1")) / width, (c("y2") - c("y1")) / height] + [c("conf")] * conf
+    texts = F.transform(F.array(*numbers), lambda x: general(x))  # one expression for all of them
+    return df.select("image_id", F.concat_ws(" ", c("cls").cast("string"), texts, *[c("track_id").cast("string")] * track).alias("line"))
 
 
 def write_label_text(lines: DataFrame, path: str) -> None:
