@@ -38,9 +38,11 @@ NEVER = {"nav", "footer", "aside", "form", "script", "style", "noscript", "ifram
 #: A start tag of these ends an open element of the same group.
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Words of a class or id, and roles, that name what is not main text.
-WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "widget", "widgets", "footer", "masthead", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "comment", "comments", "disqus", "replies", "respond", "related", "recommended", "share", "sharing", "social", "searchform", "toolbar", "pagination", "pager", "copyright", "disclaimer", "skip"}
+WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "widget", "widgets", "footer", "masthead", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "comment", "comments", "disqus", "adsbygoogle", "replies", "respond", "related", "recommended", "share", "sharing", "social", "searchform", "toolbar", "pagination", "pager", "copyright", "disclaimer", "skip"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
 OUTSIDE_ONLY = {"header"}
+#: Whole class or id values that mark a main part where no element or role does.
+MARKS = {"content", "main", "article", "post", "entry", "main-content", "page-content", "post-content", "article-content", "entry-content", "article-body", "post-body", "story-body", "story"}
 CLASS_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -64,13 +66,25 @@ def is_aside(name: str, text: str, in_main: bool) -> bool:
     return "header" in f"{a.get('class', '')} {a.get('id', '')}".lower().split() and not in_main
 
 
-def lines(html: str) -> list[tuple[str, int, bool]]:
-    """(text, characters outside of links, in a marked main part) of each block with text, in page order."""
-    out: list[tuple[str, int, bool]] = []
+def mark(name: str, text: str) -> int:
+    """2 for a main part by element or role, 1 by class or id, else 0."""
+    if name in ("article", "main"):
+        return 2
+    if not text or name not in ("div", "section", "td"):
+        return 0
+    a = attributes(text)
+    if a.get("role") in ("main", "article"):
+        return 2
+    return int(not MARKS.isdisjoint(f"{a.get('class', '')} {a.get('id', '')}".lower().split()))
+
+
+def lines(html: str) -> list[tuple[str, int, int]]:
+    """(text, characters outside of links, ``mark`` of the main part it is in) of each block with text, in page order."""
+    out: list[tuple[str, int, int]] = []
     text: list[str] = []
     free = 0
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, never main text, in a main part, in a link
-    off = main = link = False
+    stack: list[tuple[str, bool, int, bool]] = []  # name, never main text, mark of the main part, in a link
+    off, main, link = False, 0, False
 
     def close() -> None:
         nonlocal text, free
@@ -104,7 +118,7 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
-                    off, main, link = stack[-1][1:] if stack else (False, False, False)
+                    off, main, link = stack[-1][1:] if stack else (False, 0, False)
                     break
             continue
         if name in RAW:
@@ -123,9 +137,9 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
                     break
                 if stack[k][0] in BLOCK:
                     break
-            off, main, link = stack[-1][1:] if stack else (False, False, False)
-        off = off or is_aside(name, m[3], main)
-        main = not off and (main or name in ("article", "main") or "role" in m[3] and attributes(m[3]).get("role") in ("main", "article"))
+            off, main, link = stack[-1][1:] if stack else (False, 0, False)
+        off = off or is_aside(name, m[3], main > 0)
+        main = 0 if off else max(main, mark(name, m[3]))
         link = link or name == "a"
         stack.append((name, off, main, link))
     close()
@@ -134,9 +148,9 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
 
 def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     found = lines(html or "")
-    marked = any(inside for _, _, inside in found)
-    weights = [len(t) * inside if marked else (free if 2 * free >= len(t) else 0) for t, free, inside in found]
-    need = 0 if marked else surge
+    top = max((inside for _, _, inside in found), default=0)
+    weights = [len(t) * (inside == top) if top else (free if 2 * free >= len(t) else 0) for t, free, inside in found]
+    need = 0 if top else surge
     sums = [sum(weights[i : i + window]) for i in range(len(weights))]
     keep, on = [], False
     for i, (t, _, _) in enumerate(found):

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table
 
 SAMPLE = 5000
+#: Share of trusted positives that may score below one half; the bias is lowered to where it is met.
+TRUST = 0.005
 #: Character classes, one string each; other ASCII signs are class 1, other bytes (letters with marks) class 0.
 CLASSES = ["abcdefghijklmnopqrstuvwxyz", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r", ".", ",;:", "!", "?", "#", "*", "$", "%", "&", "|", "<>", "()[]{}", "\"'`", "-_=+", "/\\@~^"]
 N = len(CLASSES)
@@ -69,6 +71,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def standard(x: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.clip((x - centre) * scale, -8, 8)
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -78,7 +84,7 @@ class Model:
     prior: float
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        z = ((x - self.centre) * self.scale) @ self.weights + self.bias
+        z = standard(x, self.centre, self.scale) @ self.weights + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
@@ -87,7 +93,7 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: i
     both = np.concatenate([positive, unlabelled])
     centre, spread = both.mean(axis=0), both.std(axis=0)
     scale = np.where(spread > 1e-6, 1 / np.maximum(spread, 1e-3), 0.0)
-    p, u = np.clip((positive - centre) * scale, -8, 8), np.clip((unlabelled - centre) * scale, -8, 8)
+    p, u = standard(positive, centre, scale), standard(unlabelled, centre, scale)
     scale = scale.astype(np.float32)
     w = np.zeros(both.shape[1] + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -106,7 +112,9 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: i
         g[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Model(w[:-1].astype(np.float32), float(w[-1]), centre, scale, prior)
+    # all but TRUST of the trusted positives are to score above one half
+    shift = max(0.0, float(np.quantile(p @ w[:-1] + w[-1], TRUST)))
+    return Model(w[:-1].astype(np.float32), float(w[-1]) - shift, centre, scale, prior)
 
 
 def featured(docs: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 
-GRADES, SAMPLE, MOST_FEATURES = 3, 12000, 4000
+GRADES, SAMPLE, MOST_FEATURES = 3, 12000, 3000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -71,18 +71,22 @@ def counted(text: str, place: dict[str, int], memo: dict[str, tuple[int, ...]])
     return out, carriers
 
 
-def fit_ordinal(x: np.ndarray, grades: np.ndarray, n_grades: int = GRADES, rounds: int = 500, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, thresholds) of least penalised negative log-likelihood, by Adam; thresholds stay in order."""
+def fit_ordinal(x: np.ndarray, grades: np.ndarray, counts: np.ndarray | None = None, n_grades: int = GRADES, rounds: int = 500, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, thresholds) of least penalised negative log-likelihood, by Adam; thresholds stay in order. ``counts`` says how
+    often each row occurs."""
+    counts = np.ones(len(grades)) if counts is None else counts.astype(float)
+    total = counts.sum()
     w = np.zeros(x.shape[1])
     # t_1, then logs of the steps between thresholds
-    share = np.array([(grades >= k).mean() for k in range(1, n_grades + 1)]).clip(1e-4, 1 - 1e-4)
+    share = np.array([counts[grades >= k].sum() / total for k in range(1, n_grades + 1)]).clip(1e-4, 1 - 1e-4)
     first = np.log((1 - share) / share)
     t = np.concatenate([first[:1], np.log(np.maximum(np.diff(first), 0.05))])
     params = np.concatenate([w, t])
     m, v = np.zeros_like(params), np.zeros_like(params)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-    weight = np.where(grades > 0, 0.5 / max(1, (grades > 0).sum()), 0.5 / max(1, (grades == 0).sum())) * len(grades)
-    weight = np.sqrt(weight)  # between plain and balanced
+    toxic = max(1.0, counts[grades > 0].sum())
+    balance = np.where(grades > 0, 0.5 / toxic, 0.5 / max(1.0, total - toxic)) * total
+    weight = np.sqrt(balance) * counts / total  # between plain and balanced
     for step in range(1, rounds + 1):
         w, t = params[: x.shape[1]], params[x.shape[1] :]
         cuts = np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
@@ -91,10 +95,10 @@ def fit_ordinal(x: np.ndarray, grades: np.ndarray, n_grades: int = GRADES, round
         at = np.arange(len(z))
         likely = np.maximum(p[at, grades] - p[at, grades + 1], 1e-9)
         slope = p * (1 - p)
-        g_z = -weight * (slope[at, grades] - slope[at, grades + 1]) / likely / len(z)
+        g_z = -weight * (slope[at, grades] - slope[at, grades + 1]) / likely
         g_cut = np.zeros(n_grades)
         for k in range(1, n_grades + 1):
-            g_cut[k - 1] = ((grades == k) * weight * slope[:, k] / likely - (grades == k - 1) * weight * slope[:, k] / likely).sum() / len(z)
+            g_cut[k - 1] = ((grades == k) * weight * slope[:, k] / likely - (grades == k - 1) * weight * slope[:, k] / likely).sum()
         tail = np.cumsum(g_cut[::-1])[::-1]
         g = np.concatenate([x.T @ g_z + decay * w, tail[:1], tail[1:] * np.exp(t[1:])])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -140,16 +144,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mo
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([n for _, n in found], pa.int32()), pa.array([list(c) for c, _ in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c, _ in found], pa.list_(pa.int32()))], ["toxic", "carriers", "at", "n"])
 
     rows = texts.select("text", "toxic").mapInArrow(run, "toxic int, carriers int, at array<int>, n array<int>").limit(sample).collect()
-    x = np.zeros((len(rows), len(place)), np.float32)
-    grades = np.zeros(len(rows), np.int64)
-    for i, r in enumerate(sorted(rows, key=lambda r: (r.toxic, r.carriers, r.at, r.n))):
-        x[i, r.at] = np.log1p(r.n)
-        grades[i] = 0 if not r.toxic else 1 if r.carriers <= 1 else 2 if r.carriers <= 3 else 3
-    seen = np.unique(np.column_stack([x, grades]), axis=0, return_counts=True)  # most clean texts have no feature at all
-    repeat = np.minimum(seen[1], 10**6)
-    x, grades = seen[0][:, :-1], seen[0][:, -1].astype(np.int64)
-    x, grades = np.repeat(x, np.minimum(repeat, 2000), axis=0), np.repeat(grades, np.minimum(repeat, 2000))
-    return Model(place, *fit_ordinal(x, grades))
+    alike: Counter = Counter()  # most clean texts have no feature at all
+    for r in rows:
+        grade = 0 if not r.toxic else 1 if r.carriers <= 1 else 2 if r.carriers <= 3 else 3
+        alike[(grade, *sorted(zip(r.at, r.n, strict=True)))] += 1
+    seen = sorted(alike.items())
+    x = np.zeros((len(seen), len(place)), np.float32)
+    for i, ((_, *found), _) in enumerate(seen):
+        for k, n in found:
+            x[i, k] = math.log1p(n)
+    return Model(place, *fit_ordinal(x, np.array([k[0] for k, _ in seen]), np.array([n for _, n in seen])))
 
 
 def with_toxicity(docs: DataFrame, model: Model, name: str = "_toxicity") -> DataFrame:

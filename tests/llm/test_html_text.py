@@ -24,6 +24,12 @@ def test_surge_and_dive_without_a_marked_part():
     assert all(f"word {i}." in got for i in range(5)) and "Two" not in got and "tiny" not in got
 
 
+def test_parts_marked_by_class_or_id():
+    page = "<body><div>Site</div><div id='sidebar'>side</div><div class='wide content'><h1>T</h1><p>a.</p><div class='related-posts'>no</div><p>b.</p></div><div>after</div></body>"
+    assert main_text(page) == "T a. b."
+    assert main_text(page.replace("<h1>T</h1>", "<article>T</article>")) == "T"
+
+
 def test_odd_pages():
     assert [main_text(x) for x in (None, "", " ", "<", "<p", "<!--", "<script>", "plain & short")] == [""] * 8
     assert main_text("<article>" + "<p>a b</p>" * 5000) == " ".join(["a b"] * 5000)
