@@ -144,7 +144,7 @@ def mask_rings(pixels: DataFrame, keys: list[str], strategy: str = "largest") ->
 
 
 def seam(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """Places of the closest points of two rings."""
+    """JN30: places of the closest points of two rings."""
     d = ((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2)
     i, j = np.unravel_index(d.argmin(), d.shape)
     return int(i), int(j)

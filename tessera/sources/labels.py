@@ -20,12 +20,12 @@ def stem(path: Column) -> Column:
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, length, modificationTime) of all files below a folder; contents aren't read."""
+    """SRC1, SRC2: (path, length, modificationTime) of all files below a folder; contents aren't read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length", "modificationTime")
 
 
 def listed(spark: SparkSession, list_file: str) -> DataFrame:
-    """(path) of a text file's lines; ``./`` stands for the file's folder."""
+    """SRC3: (path) of a text file's lines; ``./`` stands for the file's folder."""
     base = list_file.rsplit("/", 1)[0]
     line = F.trim("value")
     return spark.read.text(list_file).filter(line != "").select(F.when(line.startswith("./"), F.concat(F.lit(base + "/"), F.expr("substring(trim(value), 3)"))).otherwise(line).alias("path"))
@@ -41,7 +41,7 @@ def images(files: DataFrame, fraction: float = 1.0) -> DataFrame:
 
 
 def images_then_videos(files: DataFrame) -> DataFrame:
-    """Files with ``kind`` 0 for images and 1 for videos."""
+    """SRC4: Files with ``kind`` 0 for images and 1 for videos."""
     e = extension(F.col("path"))
     return files.withColumn("kind", F.when(e.isin(*IMAGES), 0).when(e.isin(*VIDEOS), 1)).filter("kind is not null")
 
@@ -60,7 +60,7 @@ def label_path(image: Column) -> Column:
 
 
 def fingerprint(files: DataFrame) -> DataFrame:
-    """One row: a digest of total size and all paths. The digest is over sorted digests of ranges, so no task gets all paths."""
+    """SRC23: One row: a digest of total size and all paths. The digest is over sorted digests of ranges, so no task gets all paths."""
     parts = files.withColumn("part", F.pmod(F.xxhash64("path"), F.lit(256))).groupBy("part").agg(F.sum("length").alias("size"), F.sha2(F.array_join(F.array_sort(F.collect_list("path")), "\n"), 256).alias("digest"))
     return parts.agg(F.sum("size").alias("size"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", F.col("part").cast("string"), "digest"))), "").alias("all")).select(F.sha2(F.concat(F.col("size").cast("string"), "all"), 256).alias("fingerprint"))
 
@@ -108,14 +108,14 @@ def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_voc(spark: SparkSession, path: str) -> DataFrame:
-    """(file, width, height, name, difficult, xmin, ymin, xmax, ymax) of annotation files in XML."""
+    """SRC14: (file, width, height, name, difficult, xmin, ymin, xmax, ymax) of annotation files in XML."""
     schema = "size struct<width: int, height: int>, object array<struct<name: string, difficult: int, bndbox: struct<xmin: double, ymin: double, xmax: double, ymax: double>>>"
     rows = spark.read.format("xml").option("rowTag", "annotation").schema(schema).load(path).withColumn("file", F.input_file_name())
     return rows.select("file", "size.width", "size.height", F.explode("object").alias("o")).select("file", "width", "height", "o.name", "o.difficult", "o.bndbox.*")
 
 
 def read_comma_boxes(spark: SparkSession, path: str) -> DataFrame:
-    """(file, x, y, w, h, ignored, category) of comma-separated files, one for each image."""
+    """SRC13: (file, x, y, w, h, ignored, category) of comma-separated files, one for each image."""
     schema = "x double, y double, w double, h double, ignored string, category int, truncation int, occlusion int"
     return spark.read.csv(path, schema=schema).select(F.input_file_name().alias("file"), "*")
 
@@ -126,19 +126,28 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     return f.filter(F.size("b") == 4).select("image", "type_id", *(F.get("b", i).try_cast("double").alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))))
 
 
+def read_frames(spark: SparkSession, path: str) -> DataFrame:
+    """SRC15: (file, category_id, x, y, w, h) of a JSON document of images, annotations and their sequences."""
+    doc = spark.read.json(path, multiLine=True)
+    seq = doc.select(F.posexplode("sequences").alias("sid", "folder"))
+    i = doc.select(F.explode("images").alias("i")).select(F.col("i.id").alias("image_id"), F.col("i.sid").cast("int").alias("sid"), F.col("i.name").alias("name")).join(seq, "sid")
+    a = doc.select(F.explode("annotations").alias("a")).select("a.image_id", "a.category_id", "a.bbox")
+    return a.join(i, "image_id").select(F.concat_ws("/", "folder", "name").alias("file"), "category_id", *(F.get("bbox", k).cast("double").alias(n) for k, n in enumerate("xywh")))
+
+
 def read_box_csv(spark: SparkSession, path: str) -> DataFrame:
     """(image, x1, y1, x2, y2, class, width, height) of a CSV file without header."""
     return spark.read.csv(path, schema="image string, x1 double, y1 double, x2 double, y2 double, class string, image_width int, image_height int")
 
 
 def read_series(spark: SparkSession, path: str) -> DataFrame:
-    """A training or tuning log whose header is padded with blanks."""
+    """SRC16, D15: A training or tuning log whose header is padded with blanks."""
     df = spark.read.csv(path, header=True, inferSchema=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     return df.toDF(*(c.strip() for c in df.columns))
 
 
 def folder_classes(files: DataFrame) -> DataFrame:
-    """(split, name, cls, n) of images in <split>/<class>/ folders; class numbers go by name."""
+    """SRC21: (split, name, cls, n) of images in <split>/<class>/ folders; class numbers go by name."""
     c = files.select(F.regexp_extract("path", r"([^/]+)/([^/]+)/[^/]+$", 1).alias("split"), F.regexp_extract("path", r"([^/]+)/([^/]+)/[^/]+$", 2).alias("name"))
     n = c.groupBy("split", "name").agg(F.count("*").alias("n"))
     names = n.filter("split = 'train'").select("name", F.lit(1).alias("one")).withColumn("cls", F.row_number().over(W.partitionBy("one").orderBy("name")) - 1)  # a row for each class
@@ -146,7 +155,7 @@ def folder_classes(files: DataFrame) -> DataFrame:
 
 
 def check_descriptor(d: dict) -> dict:
-    """A dataset descriptor with its names as a dict and its parts present; nothing in it is executed."""
+    """SRC20: A dataset descriptor with its names as a dict and its parts present; nothing in it is executed."""
     out = dict(d)
     if "validation" in out and "val" not in out:
         out["val"] = out.pop("validation")

@@ -70,4 +70,10 @@ def write_table(df: DataFrame, name: str, force: bool = False) -> DataFrame:
 
 
 def append_metrics(df: DataFrame, path: str) -> None:
+    """SNK7, SNK8, SNK10: rows below those of a CSV report."""
     df.write.mode("append").csv(path, header=True)
+
+
+def write_mask(pixels: DataFrame, path: str) -> None:
+    """SNK6: a mask as a pixel relation, clustered by block so that a window read touches few files."""
+    pixels.withColumn("block", F.floor(F.col("row") / 1024) * 100000 + F.floor(F.col("col") / 1024)).repartition("block").sortWithinPartitions("block", "row", "col").write.mode("overwrite").parquet(path)

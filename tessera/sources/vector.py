@@ -62,7 +62,7 @@ SCHEMA = "file string, feature_id long, parts array<array<struct<x: double, y: d
 
 
 def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
-    """(file, feature_id, parts, attributes) of the .shp files that ``path`` names, with the .dbf beside each."""
+    """SRC18: (file, feature_id, parts, attributes) of the .shp files that ``path`` names, with the .dbf beside each."""
     base = F.regexp_replace("path", r"\.[^./]*$", "")
     files = lambda p: spark.read.format("binaryFile").load(p).select(base.alias("file"), "content")
     shapes = files(path)
@@ -82,7 +82,7 @@ def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
 
 
 def points(features: DataFrame, conf: str = "Conf") -> DataFrame:
-    """(feature_id, x, y, conf) of a point layer; empty shapes go."""
+    """FLT5: (feature_id, x, y, conf) of a point layer; empty shapes go."""
     p = F.get(F.get("parts", 0), 0)
     return features.filter(F.size("parts") > 0).select("feature_id", p["x"].alias("x"), p["y"].alias("y"), F.element_at("attributes", conf).try_cast("double").alias("conf"))
 
@@ -94,7 +94,7 @@ def rings(features: DataFrame) -> DataFrame:
 
 
 def window_pixels(blocks: DataFrame, windows: DataFrame, block: int) -> DataFrame:
-    """Pixels (raster_id, window_id, row, col, value) of windows (raster_id, window_id, x, y, w, h) from a pixel relation that is
+    """SRC19: Pixels (raster_id, window_id, row, col, value) of windows (raster_id, window_id, x, y, w, h) from a pixel relation that is
     laid out by block: an equi-join on the blocks that each window touches."""
     c = F.col
     b = blocks.withColumn("bi", F.floor(c("row") / block)).withColumn("bj", F.floor(c("col") / block))
@@ -105,7 +105,7 @@ def window_pixels(blocks: DataFrame, windows: DataFrame, block: int) -> DataFram
 
 
 def cached(spark: SparkSession, path: str, version: str, fingerprint: str, make) -> DataFrame:
-    """The table at ``path`` if it was made by this version from files of this fingerprint; else ``make()``, written there."""
+    """SRC22: The table at ``path`` if it was made by this version from files of this fingerprint; else ``make()``, written there."""
     try:
         old = spark.read.parquet(path)
         if old.filter((F.col("_version") == version) & (F.col("_fingerprint") == fingerprint)).limit(1).count():
@@ -117,7 +117,7 @@ def cached(spark: SparkSession, path: str, version: str, fingerprint: str, make)
 
 
 def file_ages(files: DataFrame) -> DataFrame:
-    """(path, mib, days) and which is the latest, of a listing."""
+    """MSC3: (path, mib, days) and which is the latest, of a listing."""
     age = F.datediff(F.current_timestamp(), "modificationTime")
     newest = files.agg(F.max_by("path", F.struct("modificationTime", "path")).alias("newest"))
     return files.join(F.broadcast(newest), F.lit(True)).select("path", (F.col("length") / 2**20).alias("mib"), age.alias("days"), (F.col("path") == F.col("newest")).alias("latest"))  # one row

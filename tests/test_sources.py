@@ -64,6 +64,8 @@ def test_annotation_files(spark, tmp_path):
     assert [tuple(r) for r in D.convert_bounds(bounds, sizes, {7: 0}).collect()] == [("a", 0, 0.2, 0.3, 0.2, 0.2)]
     (r,) = D.convert_box_csv(S.read_box_csv(spark, put(tmp_path / "s.csv", "a.jpg,10,10,30,20,object,100,50\n"))).collect()
     assert (r.cls, r.cx, r.cy) == (0, 0.2, 0.3)
+    frames = {"sequences": ["s0"], "images": [{"id": 5, "sid": 0, "name": "a.jpg"}], "annotations": [{"image_id": 5, "category_id": 2, "bbox": [1, 2, 3, 4]}]}
+    assert tuple(S.read_frames(spark, put(tmp_path / "f.json", json.dumps(frames))).first()) == ("s0/a.jpg", 2, 1.0, 2.0, 3.0, 4.0)
     assert S.read_series(spark, put(tmp_path / "r.csv", " epoch,  loss \n 1, 0.5\n")).columns == ["epoch", "loss"]
 
 
@@ -95,6 +97,16 @@ def test_general_numbers(spark, x):
     assert spark.range(1).select(K.general(F.lit(x))).first()[0] == f"{x:g}"
 
 
+def test_masks_and_ages(spark, tmp_path):
+    K.write_mask(spark.createDataFrame([(0, 1), (2000, 5)], "row long, col long"), str(tmp_path / "mask"))
+    assert spark.read.parquet(str(tmp_path / "mask")).select("block").distinct().count() == 2
+    from tessera.sources.vector import file_ages
+
+    put(tmp_path / "z/a.txt", "x" * 2**20)
+    (r,) = file_ages(S.listing(spark, str(tmp_path / "z"))).collect()
+    assert (r.mib, r.days, r.latest) == (1.0, 0, True)
+
+
 def test_splits():
     folds = D.kfold(list("abcdefghijk"), 5, 3)
     assert [len(f) for f in folds] == [3, 2, 2, 2, 2] and sorted(sum(folds, [])) == list("abcdefghijk")
