@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import gc
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,18 +30,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Tables of the stage that runs, or ran last; tables made outside of stages are not listed and never deleted here.
 _MADE: list[str] = []
+_IN_STAGE = [False]
 
 
 def stored(df: DataFrame, label: str, codec: str = "zstd", keep: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage, survives lost executors, is computed once.
 
-    With ``keep`` the table is the caller's; others go at the next ``release``.
+    With ``keep`` the table is the caller's; others that a pipeline stage makes go at the next ``release``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tessera-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    if not keep:
+    if _IN_STAGE[0] and not keep:
         _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -52,7 +55,7 @@ def tidy(spark: SparkSession) -> None:
 
 
 def release(spark: SparkSession, still: DataFrame) -> None:
-    """Deletes the tables that ``stored`` has made in this process, but those that ``still`` reads."""
+    """Deletes the tables that earlier stages have made, but those that ``still`` reads."""
     read = "\n".join(still.inputFiles()) if _MADE else ""
     for path in list(_MADE):
         name = path.rsplit("/", 1)[1]
@@ -62,6 +65,22 @@ def release(spark: SparkSession, still: DataFrame) -> None:
             _MADE.remove(path)
 
 
+def stage(f):
+    """A pipeline stage: its input is the written result of the one before, whose own tables can go then."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, docs)
+        tidy(spark)
+        _IN_STAGE[0] = True
+        try:
+            return f(spark, docs, sf_dir)
+        finally:
+            _IN_STAGE[0] = False
+
+    return run
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, however often ``body`` uses it."""
     return F.transform(F.array(value), body)[0]

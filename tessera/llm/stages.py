@@ -6,12 +6,10 @@ its own to drop a row except where the operator's definition says so (a text wit
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import release, stored, table, tidy
+from tessera.llm.common import stage, stored, table
 from tessera.llm.jaccard import jaccard_components
 from tessera.llm.packing import pack
 from tessera.llm.quality_rules import base_failed, fitted, measured, posterior
@@ -19,18 +17,6 @@ from tessera.llm.secret_scan import linked, redacted, scanned, with_spans
 from tessera.llm.toxicity import fit_toxicity, with_toxicity
 
 
-def stage(f):
-    """A stage's input is the written result of the one before, whose own tables can go then."""
-
-    @functools.wraps(f)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark, docs)
-        tidy(spark)
-        return f(spark, docs, sf_dir)
-
-    return run
-
-
 @stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that the ordinal model calls toxic go."""
