@@ -99,3 +99,15 @@ def utm(lon: Column, lat: Column, zone: int, south: bool) -> tuple[Column, Colum
         east = east + c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         north = north + c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
     return 500000 + k0 * big * east, (10000000 if south else 0) + k0 * big * north
+
+
+def utm_sql(places: str, zone: int) -> str:
+    """The projection of a SELECT of (c_custkey, lon, lat), southern zone, by the series' published form in SQL."""
+    n = 1 / 298.257223563 / (2 - 1 / 298.257223563)
+    radius = 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64) * 0.9996
+    a = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    e = 2 * math.sqrt(n) / (1 + n)
+    east = "eta" + "".join(f" + {c!r}*cos({2 * j}*xi)*sinh({2 * j}*eta)" for j, c in enumerate(a, 1))
+    north = "xi" + "".join(f" + {c!r}*sin({2 * j}*xi)*cosh({2 * j}*eta)" for j, c in enumerate(a, 1))
+    return f"""WITH p AS ({places}), r AS (SELECT c_custkey, radians(lat) phi, radians(lon - {6 * zone - 183}) lam FROM p), t AS (SELECT *, sinh(atanh(sin(phi)) - {e!r}*atanh({e!r}*sin(phi))) t FROM r),
+x AS (SELECT c_custkey, atan2(t, cos(lam)) xi, atanh(sin(lam)/sqrt(1 + t*t)) eta FROM t) SELECT c_custkey, round(500000 + {radius!r}*({east}), 3) easting, round(10000000 + {radius!r}*({north}), 3) northing FROM x"""

@@ -53,9 +53,14 @@ def kfold(keys: list, k: int = 5, seed: int = 3) -> list[list]:
     return out
 
 
+def hashed(key: str, seed: int) -> Column:
+    """A number below 2**32 from a seeded digest of the key's text, alike in any engine."""
+    return F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"/{seed}"))), 1, 8), 16, 10).cast("long")
+
+
 def kfold_by_hash(df: DataFrame, key: str, k: int = 5, seed: int = 3) -> DataFrame:
-    """The same for tables: folds by a seeded hash, without an order over all rows."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(k)).cast("int"))
+    """The same for tables: folds by a seeded digest, without an order over all rows."""
+    return df.withColumn("fold", (hashed(key, seed) % k).cast("int"))
 
 
 def autosplit(paths: list[str], weights: tuple[float, ...] = (0.9, 0.1, 0.0), seed: int = 0) -> list[tuple[str, str]]:
@@ -64,7 +69,7 @@ def autosplit(paths: list[str], weights: tuple[float, ...] = (0.9, 0.1, 0.0), se
 
 
 def autosplit_by_hash(df: DataFrame, key: str, weights: tuple[float, ...] = (0.9, 0.1, 0.0)) -> DataFrame:
-    share = F.pmod(F.xxhash64(key), F.lit(10**6)) / 10**6
+    share = hashed(key, 0) % 10**6 / 10**6
     return df.withColumn("split", F.when(share < weights[0], "train").when(share < weights[0] + weights[1], "val").otherwise("test"))
 
 

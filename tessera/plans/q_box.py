@@ -201,7 +201,7 @@ def polygon_centroid(spark, sf):
     return out.select("gt_id", F.round(x, 4).alias("cx"), F.round(y, 4).alias("cy"), F.round(area, 3).alias("area"))
 
 
-@query("utm_project")
+@query("utm_project", P.utm_sql("SELECT c_custkey, 31 + (c_custkey % 50)/25e0 lon, -3 + (c_custkey % 37)/20e0 lat FROM customer", 36))
 def utm_project(spark, sf):
     """GEO36: longitude and latitude of customers to UTM zone 36 south, by Krueger's series."""
     from tessera.plans.fixtures import table

@@ -29,6 +29,37 @@ CONF = PAIRS + """, b AS (SELECT * FROM pairs WHERE iou > 0.45 QUALIFY row_numbe
 m AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY image_id, gt_id ORDER BY iou DESC, det_id) = 1)"""
 
 
+def greedy_sql(rows: str, groups: str, threshold: float, keep: str) -> str:
+    """Greedy suppression as a recursion over ranks: a box stays unless one that stayed before overlaps it too much.
+
+    ``rows`` is the WITH list that ends in a relation ``p`` (image_id, det_id, cls, conf, box); ``keep`` is the select list.
+    """
+    on = " AND ".join(f"l.{g} = r.{g}" for g in groups.split(", "))
+    iou = f"({INTER} / ({AREA.format('l')} + {AREA.format('r')} - {INTER}))"
+    return f"""{rows.replace("WITH ", "WITH RECURSIVE ", 1)}, rk AS (SELECT *, row_number() OVER (PARTITION BY {groups} ORDER BY conf DESC, det_id) k FROM p),
+hits AS (SELECT l.det_id, list(r.det_id) others FROM p l JOIN p r ON {on} AND l.det_id <> r.det_id AND l.x1 < r.x2 AND r.x1 < l.x2 AND l.y1 < r.y2 AND r.y1 < l.y2 AND {iou} > {threshold} GROUP BY l.det_id),
+todo AS (SELECT rk.*, coalesce(others, []) others FROM rk LEFT JOIN hits USING (det_id)),
+walk AS (SELECT {groups}, CAST(0 AS BIGINT) k, CAST([] AS BIGINT[]) kept FROM p GROUP BY {groups}
+  UNION ALL SELECT {", ".join(f"walk.{g}" for g in groups.split(", "))}, t.k, CASE WHEN len(list_intersect(kept, others)) > 0 THEN kept ELSE list_append(kept, det_id) END FROM walk JOIN todo t ON {" AND ".join(f"t.{g} = walk.{g}" for g in groups.split(", "))} AND t.k = walk.k + 1),
+done AS (SELECT unnest(arg_max(kept, k)) det_id FROM walk GROUP BY {groups}) SELECT {keep} FROM p JOIN done USING (det_id)"""
+
+
+def radius_sql(nearest: bool, parity: bool) -> str:
+    """Sequential matching as a recursion over truth points: the first free candidate of each."""
+    order = "d, f.det_id" if nearest else "f.det_id"
+    return cte("gt", "pred").replace("WITH ", "WITH RECURSIVE ", 1) + f""", t AS (SELECT image_id, gt_id, (x1+x2)/2 x, (y1+y2)/2 y, row_number() OVER (PARTITION BY image_id ORDER BY gt_id) k FROM gt), f AS (SELECT image_id, det_id, (x1+x2)/2 x, (y1+y2)/2 y FROM pred),
+c AS (SELECT gt_id, list(det_id ORDER BY {order}) near FROM (SELECT t.gt_id, f.det_id, sqrt(power(t.x-f.x,2)+power(t.y-f.y,2)) d FROM t JOIN f ON f.image_id = t.image_id) f WHERE d < 5*sqrt(2) GROUP BY gt_id),
+n AS (SELECT image_id, count(*) np FROM f GROUP BY image_id),
+w AS (SELECT image_id, CAST(0 AS BIGINT) k, CAST([] AS BIGINT[]) used, CAST(0 AS BIGINT) fn FROM n
+  UNION ALL SELECT image_id, k, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, fn + CASE WHEN pick IS NULL AND ({"len(used) < np" if parity else "true"}) THEN 1 ELSE 0 END
+  FROM (SELECT w.image_id, t.k, w.used, w.fn, n.np, list_filter(coalesce(c.near, []), lambda x: NOT list_contains(w.used, x))[1] pick FROM w JOIN t ON t.image_id = w.image_id AND t.k = w.k + 1 JOIN n ON n.image_id = w.image_id LEFT JOIN c ON c.gt_id = t.gt_id) s)
+SELECT w.image_id, CAST(len(arg_max(used, k)) AS BIGINT) tp, CAST(any_value(np) - len(arg_max(used, k)) AS BIGINT) fp, CAST(max(fn) AS BIGINT) fn FROM w JOIN n USING (image_id) GROUP BY w.image_id"""
+
+
+_PRIOR = cte("gt", "pred") + """, p AS (SELECT image_id, det_id, cls, conf, x1, y1, x2, y2 FROM pred UNION ALL SELECT image_id, -1 - gt_id, cls, 1e0, x1, y1, x2, y2 FROM gt WHERE gt_id % 3 = 0
+UNION ALL SELECT image_id, det_id + 1000000000, cls, conf*0.9e0, x1+1, y1+1, x2+1, y2+1 FROM pred WHERE det_id % 2 = 0)"""
+
+
 def pairs(spark, sf):
     return M.pairs_iou(view(spark, sf, "gt"), view(spark, sf, "pred"), ["image_id"])
 
@@ -103,14 +134,14 @@ def nms_fast(spark, sf):
     return M.fast_nms(p, ["image_id", "cls"], lambda s, t: B.iou(B.box(s), B.box(t)), 0.5).select("image_id", "det_id")
 
 
-@query("nms_greedy")
+@query("nms_greedy", greedy_sql(cte("pred") + ", p AS (SELECT * FROM pred WHERE conf > 0.05 AND cls IN (0, 1, 2, 3))", "image_id, cls", 0.45, "image_id, det_id, cls, conf"))
 def nms_greedy(spark, sf):
     """NMS1, FLT1, FLT2: confident boxes of some classes, suppressed per image and class."""
     p = view(spark, sf, "pred").filter((F.col("conf") > 0.05) & F.col("cls").isin(0, 1, 2, 3))
     return M.greedy_nms(p, ["image_id", "cls"], 0.45).select("image_id", "det_id", "cls", "conf")
 
 
-@query("nms_with_priors")
+@query("nms_with_priors", greedy_sql(_PRIOR, "image_id, cls", 0.5, "image_id, det_id, cls, conf"))
 def nms_with_priors(spark, sf):
     """NMS3, NMS5: labels as detections of score 1 and a second model's boxes join before suppression."""
     p, g = view(spark, sf, "pred"), view(spark, sf, "gt").filter("gt_id % 3 = 0")
@@ -264,13 +295,13 @@ def _points(spark, sf):
     return g, p
 
 
-@query("radius_accuracy")
+@query("radius_accuracy", radius_sql(nearest=False, parity=True))
 def radius_accuracy(spark, sf):
     """JN15: sequential matching within a radius, per image."""
     return M.radius_matches(*_points(spark, sf), ["image_id"], 5.0)
 
 
-@query("radius_accuracy_nearest")
+@query("radius_accuracy_nearest", radius_sql(nearest=True, parity=False))
 def radius_accuracy_nearest(spark, sf):
     """JN16: the same with the nearest free point."""
     return M.radius_matches(*_points(spark, sf), ["image_id"], 5.0, nearest=True, parity=False)

@@ -101,13 +101,16 @@ def rect_batches(spark, sf):
     return D.rect_batches(i, 16, 640, 32, 0.5)
 
 
-@query("kfold_split")
+HASH = "CAST('0x' || substr(md5({0} || '/{1}'), 1, 8) AS BIGINT)"
+
+
+@query("kfold_split", f"SELECT c_custkey, CAST({HASH.format('c_custkey', 3)} % 5 AS INT) AS fold FROM customer")
 def kfold_split(spark, sf):
     """ORD3 by hash: folds of customers."""
     return D.kfold_by_hash(table(spark, sf, "customer").select("c_custkey"), "c_custkey")
 
 
-@query("autosplit")
+@query("autosplit", f"SELECT p_partkey, CASE WHEN {HASH.format('p_partkey', 0)} % 1000000 < 900000 THEN 'train' ELSE 'val' END AS split FROM part")
 def autosplit(spark, sf):
     """ORD4, SNK11 by hash."""
     return D.autosplit_by_hash(table(spark, sf, "part").select("p_partkey"), "p_partkey")
@@ -187,10 +190,10 @@ def label_text_lines(spark, sf):
     return K.label_lines(view(spark, sf, "pred").filter("x1 > 0 AND y1 > 0"), 1000, 1000, conf=True)
 
 
-@query("detections_json")
+@query("detections_json", PRED + f", o AS (SELECT image_id, conf, det_id, {{'name': {_NAME}, 'class': cls, 'confidence': round(conf, 5), 'box': {{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}}} o FROM pred WHERE conf > 0.05) SELECT image_id, CAST(to_json(list(o ORDER BY conf DESC, det_id)) AS VARCHAR) AS json FROM o GROUP BY image_id")
 def detections_json(spark, sf):
     """SNK2: a JSON text for each image."""
-    return K.detections_json(view(spark, sf, "pred"), names())
+    return K.detections_json(view(spark, sf, "pred").filter("conf > 0.05"), names())
 
 
 @query("coco_predictions", PRED + " SELECT CAST(image_id AS VARCHAR) image_id, cls + 1 AS category_id, round(x1, 3) x, round(x2-x1, 3) w, round(conf, 5) score FROM pred")
