@@ -150,8 +150,8 @@ def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     found = lines(html or "")
     top = max((inside for _, _, inside in found), default=0)
     weights = [len(t) * (inside == top) if top else (free if 2 * free >= len(t) else 0) for t, free, inside in found]
-    need = 0 if top else surge
     sums = [sum(weights[i : i + window]) for i in range(len(weights))]
+    need = surge if not top and max(sums, default=0) > surge else 0  # a page that never surges is short, not empty
     keep, on = [], False
     for i, (t, _, _) in enumerate(found):
         if not on and weights[i] and sums[i] > need:
