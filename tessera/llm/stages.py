@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stage, stored, table
+from tessera.llm.common import free, stage, stored, table
 from tessera.llm.jaccard import jaccard_components
 from tessera.llm.packing import pack
 from tessera.llm.quality_rules import base_failed, fitted, measured, posterior
@@ -17,11 +17,17 @@ from tessera.llm.secret_scan import linked, redacted, scanned, with_spans
 from tessera.llm.toxicity import fit_toxicity, with_toxicity
 
 
+def nested(docs: DataFrame) -> DataFrame:
+    """(row, text): whole rows apart, so that an operator's columns can't meet others of their names."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"))
+
+
 @stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that the ordinal model calls toxic go."""
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return with_toxicity(docs, model).filter(~F.col("_toxicity.toxic")).drop("_toxicity")
+    name = free(docs, "_toxicity")
+    return with_toxicity(docs, model, name).filter(~F.col(f"{name}.toxic")).drop(name)
 
 
 @stage
@@ -30,18 +36,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Texts are measured twice, for the votes and for the verdict: that costs less than a second copy of all texts.
     """
-    rows = measured(docs)
+    rows = measured(nested(docs))
     model = fitted(rows)
     m = F.col("_quality")
-    return rows.filter(~base_failed(m) & (posterior(m, model) >= 0.5)).select(*docs.columns)
+    return rows.filter(~base_failed(m) & (posterior(m, model) >= 0.5)).select("row.*")
 
 
 @stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of least doc_id stays. Rows without doc_id stay; repeated ids stay once."""
     groups = stored(jaccard_components(docs), "groups")
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first"))
-    kept = docs.join(first.distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_first")), "left_semi")
+    name = free(docs, "_first")
+    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name))
+    kept = docs.join(first.distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_semi")
     repeated = groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
     if not repeated:
         return kept
@@ -51,13 +58,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 @stage
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every reported span is replaced; n_chars follows the text."""
-    scan = scanned(docs)
+    scan = scanned(nested(docs))
     met = stored(linked(scan.select("_key", "_strong", "_weak")), "linked")
     scan = with_spans(scan, met)
-    hidden = scan.withColumn("text", redacted(F.col("text"), F.col("_spans")))
-    changed = F.size("_spans") > 0
-    out = hidden.withColumn("n_chars", F.when(changed, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else hidden
-    return out.select(*docs.columns)
+    hidden = scan.withColumn("text", redacted(F.col("text"), F.col("_spans"))).withColumn("changed", F.size("_spans") > 0)
+
+    def column(c: str):
+        if c == "text":
+            return F.col("text")
+        if c == "n_chars":
+            return F.when(F.col("changed"), F.char_length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType).alias(c)
+        return F.col(f"row.`{c}`").alias(c)
+
+    return hidden.select(*(column(c) for c in docs.columns))
 
 
 @stage

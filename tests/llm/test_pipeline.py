@@ -4,6 +4,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -96,3 +97,17 @@ def test_stages_take_odd_and_empty_tables(spark, documents):
             out = f(spark, docs, SF)
             got = out.count()
             assert got == n if name == "secret_scan" else got <= max(n, 100 * n)
+
+
+def test_clashing_columns_stay_as_they_are(spark, documents):
+    names = ["_quality", "_toxicity", "_strong", "_weak", "_key", "_spans", "_first", "row", "changed", "score", "n_words", "component_id", "ids", "key", "a b"]
+    text = " ".join(f"word{i}" for i in range(80))
+    docs = documents([text, text + " more", "token = abcdefghijklmnop " + text.upper()[:0] + "other ".join(map(str, range(90)))])
+    for n in names:
+        docs = docs.withColumn(n, F.lit(f"kept {n}"))
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        out = f(spark, docs, SF)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(r[n] == f"kept {n}" for r in got for n in names), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= 3
