@@ -31,12 +31,26 @@ from tessera.llm.tokens import unit_encoder
 DIMS, BITS, SEED = 4, 10, 17
 
 
+LANE = 16
+
+
 def directions(size: int, dims: int = DIMS, seed: int = SEED) -> np.ndarray:
-    """A hashed direction (-1 or 1 in each dimension) for each token id."""
+    """A hashed direction for each token id: a bit for each dimension (set: up, else down), one to a lane of 16 bits."""
     x = np.arange(size * dims, dtype=np.uint64) + np.uint64(seed)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (((x >> np.uint64(33)) & np.uint64(1)).astype(np.float32) * 2 - 1).reshape(size, dims)
+    bits = ((x >> np.uint64(33)) & np.uint64(1)).reshape(size, dims)
+    return (bits << (np.arange(dims, dtype=np.uint64) * np.uint64(LANE))).sum(axis=1, dtype=np.uint64)
+
+
+def mean_direction(towards: np.ndarray, ids: np.ndarray, dims: int = DIMS) -> list[float]:
+    """Mean over the ids of their directions, each -1 or 1 in each dimension. All lanes are added at once."""
+    most = (1 << LANE) - 1
+    up = [0] * dims
+    for at in range(0, len(ids), most):  # so that no lane runs over
+        total = int(towards[ids[at : at + most]].sum(dtype=np.uint64))
+        up = [u + (total >> (LANE * d) & most) for d, u in enumerate(up)]
+    return [2 * u / len(ids) - 1 for u in up]
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -81,7 +95,7 @@ def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 ids = [x + last for x in encoder.encode([t or "" for t in batch.column("text").to_pylist()])]
-                means = np.array([towards[np.frombuffer(x, dtype="<u2")].mean(axis=0) for x in ids], dtype=np.float64).reshape(-1, DIMS)
+                means = np.array([mean_direction(towards, np.frombuffer(x, dtype="<u2")) for x in ids], dtype=np.float64).reshape(-1, DIMS)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(hilbert(place(means))), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "key", "n", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, key long, n long, ids binary").withColumn("row", F.monotonically_increasing_id())

@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tessera.llm.chunked_bpe import ChunkEncoder, Decoder, cuts, decode, digests, encode
-from tessera.llm.packing import hilbert, pack
+from tessera.llm.packing import directions, hilbert, mean_direction, pack
 from tessera.llm.tokens import ODD as ODD_CHARS
 from tessera.llm.tokens import UnitEncoder
 from tests.llm.conftest import ODD
@@ -76,6 +76,14 @@ def test_hilbert_neighbours_are_adjacent():
     assert (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
 
 
+def test_lanes_add_up():
+    towards = directions(500)
+    for n in (1, 70, 200_000):
+        ids = np.random.default_rng(n).integers(0, 500, n)
+        want = [np.mean([1 if t >> (16 * d) & 1 else -1 for t in towards[ids].tolist()]) for d in range(4)]
+        assert mean_direction(towards, ids) == pytest.approx(want)
+
+
 def test_packing_keeps_each_id_once(spark, documents, library):
     some = texts(7)[:150] + ["long text here " * 3000]
     extra = [(None, "null id", "en", "s", 1), (3, "repeated id", "en", "s", 1)]
