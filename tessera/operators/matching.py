@@ -84,8 +84,11 @@ def pairs_iou(gt: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
 
 def true_positives(pairs: DataFrame, thresholds: list[float], image: str = "image_id") -> DataFrame:
     """One-to-one matches at each threshold, within classes: each detection takes its best label (ties by gt_id), then each
-    label keeps the detection of best confidence (ties by det_id), whatever the overlap."""
-    t = pairs.filter("gt_cls = det_cls").withColumn("thr", F.explode(F.array(*(F.lit(x) for x in thresholds)))).filter("iou >= thr")
+    label keeps the detection of best confidence (ties by det_id), whatever the overlap.
+
+    One shuffle by image, before each pair becomes a row for each threshold, serves both windows.
+    """
+    t = pairs.filter(f"gt_cls = det_cls AND iou >= {min(thresholds)!r}").repartition(image).withColumn("thr", F.explode(F.array(*(F.lit(x) for x in thresholds)))).filter("iou >= thr")
     best = t.withColumn("r", F.row_number().over(W.partitionBy("thr", image, "det_id").orderBy(F.desc("iou"), "gt_id"))).filter("r = 1")
     one = best.withColumn("r", F.row_number().over(W.partitionBy("thr", image, "gt_id").orderBy(F.desc("conf"), "det_id"))).filter("r = 1")
     return one.drop("r")
@@ -93,7 +96,7 @@ def true_positives(pairs: DataFrame, thresholds: list[float], image: str = "imag
 
 def confusion_matches(pairs: DataFrame, threshold: float = 0.45, image: str = "image_id") -> DataFrame:
     """Class-agnostic matches above ``threshold``: best label per detection, then best detection per label, both by overlap."""
-    t = pairs.filter(F.col("iou") > threshold)
+    t = pairs.filter(F.col("iou") > threshold).repartition(image)  # serves both windows
     best = t.withColumn("r", F.row_number().over(W.partitionBy(image, "det_id").orderBy(F.desc("iou"), "gt_id"))).filter("r = 1")
     return best.withColumn("r", F.row_number().over(W.partitionBy(image, "gt_id").orderBy(F.desc("iou"), "det_id"))).filter("r = 1").drop("r")
 
