@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import gc
+import sys
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -32,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Tables of the stage that runs, or ran last; tables made outside of stages are not listed and never deleted here.
 _MADE: list[str] = []
+#: Rows of an Arrow batch in the pipeline.
+RECORDS = "2000"
 _IN_STAGE = [False]
 
 
@@ -72,6 +77,7 @@ def stage(f):
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         release(spark, docs)
         tidy(spark)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", RECORDS)  # long texts: bounds a worker's memory
         _IN_STAGE[0] = True
         try:
             return f(spark, docs, sf_dir)
@@ -81,6 +87,22 @@ def stage(f):
     return run
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def fresh() -> None:
+    """For the start of a task in a Python worker: drops what tasks of another kind, the encoders, have remembered."""
+    for name in ("tessera.llm.tokens", "tessera.llm.chunked_bpe"):
+        if name in sys.modules:
+            sys.modules[name]._OPEN.clear()
+    gc.enable()
+    trim()
+
+
 def free(df: DataFrame, name: str) -> str:
     """``name``, lengthened until ``df`` has no column of that name."""
     taken = {c.lower() for c in df.columns}

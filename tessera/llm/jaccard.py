@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, table, tidy
+from tessera.llm.common import fresh, stored, table, tidy
 from tessera.llm.components import components
 
 K, PERCENT, GROUPS = 5, 80, 256
@@ -111,6 +111,7 @@ def described(docs: DataFrame, k: int) -> DataFrame:
     """Rows of documents (doc_id, dg, n, point, tk) and, with ``slab`` >= 0, slabs of each task's part of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         sketch = np.zeros(SKETCH, np.int64)
         names = ["doc_id", "dg", "n", "point", "tk", "slab", "sums"]
         for batch in batches:
@@ -152,6 +153,7 @@ def prefixes(docs: DataFrame, level: np.ndarray, k: int, percent: int) -> DataFr
     """(h, dg): the first shingles of each set, rare ones first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         sent: set[int] = set()
         for batch in batches:
             heads, owners = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -175,6 +177,7 @@ def shared(posts: DataFrame) -> DataFrame:
     """The distinct (h, dg) whose h has more than one dg; a sorted stream, so no block is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         held: tuple[int, int, bool] | None = None  # the last row, and whether one before shares its h
         for batch in batches:
             h, dg = (batch.column(c).to_numpy() for c in ("h", "dg"))
@@ -268,6 +271,7 @@ def searched(blocks: DataFrame, percent: int) -> DataFrame:
     names = ["h", "i", "j", "dg", "component", "slot", "n", "point", "hub"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         held: dict[str, list] = {c: [] for c in names}
 
         def give(a, b):
@@ -333,6 +337,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, info: DataFrame, k: int) -> DataF
     bits = marks(info.join(nodes, "dg", "left_semi").select("tk"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         sent: set[int] = set()
         for batch in batches:
             at = batch.column("tk").to_numpy().view(np.uint64) % np.uint64(FILTER)

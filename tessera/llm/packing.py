@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, table
+from tessera.llm.common import stored, table, trim
 from tessera.llm.tokens import unit_encoder
 
 DIMS, BITS, SEED = 4, 10, 17
@@ -87,16 +87,20 @@ def place(means: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # nothing here is cyclic, and the memory of units is large to walk
+        trim()
         encoder = unit_encoder(path)
         towards = directions(1 << 16)
         last = np.array([end], dtype="<u2").tobytes()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                ids = [x + last for x in encoder.encode([t or "" for t in batch.column("text").to_pylist()])]
-                means = np.array([mean_direction(towards, np.frombuffer(x, dtype="<u2")) for x in ids], dtype=np.float64).reshape(-1, DIMS)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(hilbert(place(means))), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "key", "n", "ids"])
+        gc.disable()  # nothing here is cyclic, and the memory of units is large to walk
+        try:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1000):
+                    batch = whole.slice(at, 1000)
+                    ids = [x + last for x in encoder.encode([t or "" for t in batch.column("text").to_pylist()])]
+                    means = np.array([mean_direction(towards, np.frombuffer(x, dtype="<u2")) for x in ids], dtype=np.float64).reshape(-1, DIMS)
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(hilbert(place(means))), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "key", "n", "ids"])
+        finally:
+            gc.enable()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, key long, n long, ids binary").withColumn("row", F.monotonically_increasing_id())
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import fresh, table
 
 GRADES, SAMPLE, MOST_FEATURES = 3, 12000, 3000
 WORD = re.compile(r"[^\W\d_]+")
@@ -44,9 +44,8 @@ class Model:
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def severity(self, texts) -> tuple[np.ndarray, np.ndarray]:
-        """(expected severity, P(grade >= 1)) of each text."""
-        memo: dict[str, tuple[int, ...]] = {}
+    def severity(self, texts, memo: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
+        """(expected severity, P(grade >= 1)) of each text. ``memo`` remembers words' features."""
         z = np.zeros(len(texts))
         for i, text in enumerate(texts):
             if text:
@@ -63,7 +62,7 @@ def counted(text: str, place: dict[str, int], memo: dict[str, tuple[int, ...]])
         hit = memo.get(word)
         if hit is None:
             hit = tuple(place[k] for k in keys(word) if k in place)
-            if len(memo) < 300_000:
+            if len(memo) < 150_000:
                 memo[word] = hit
         if hit:
             out.update(hit)
@@ -160,9 +159,12 @@ def with_toxicity(docs: DataFrame, model: Model, name: str = "_toxicity") -> Dat
     """``docs`` with a struct column (severity, p_toxic, toxic)."""
 
     @F.pandas_udf("severity double, p_toxic double, toxic boolean")
-    def of(text: pd.Series) -> pd.DataFrame:
-        severity, p = model.severity([t if isinstance(t, str) else None for t in text])
-        return pd.DataFrame({"severity": severity, "p_toxic": p, "toxic": p >= 0.5})
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        fresh()
+        memo: dict = {}
+        for text in batches:
+            severity, p = model.severity([t if isinstance(t, str) else None for t in text], memo)
+            yield pd.DataFrame({"severity": severity, "p_toxic": p, "toxic": p >= 0.5})
 
     return docs.withColumn(name, of(F.col("text")))
 
