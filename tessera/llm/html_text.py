@@ -3,8 +3,10 @@
 Markup is stripped into lines, one for each block element, in page order. What stands in elements that never hold main text
 (menus, footers, forms, scripts, adverts, reader comments: by tag, role or class words) weighs nothing, like markup. Text
 lengths of the remaining lines are summed over a sliding window of lines; the text surges where the sum rises above
-``SURGE`` and dives where it falls to 0; the lines between a surge and its dive are kept. A page that marks its main part
-(article, main) puts the lines outside of it at 0, and within it every line with text counts, however short.
+``SURGE`` and dives where it falls to 0; the lines between a surge and its dive are kept. Windows don't reach across the
+border of a main part that the page marks (article, main; or by class or id), and in it every line with text counts, however
+short. A mark is a factor of the text's weight: lines outside go to 0 unless they surge and outweigh the marked text, as the
+body of a page does whose articles are teasers; then both are kept.
 
 Plain density cannot tell a short paragraph from an advert of the same length, so the weights use the markup as well.
 
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 
-#: Lines in a window; characters that its sum needs for a surge on a page without a marked main part.
-WINDOW, SURGE = 3, 80
+#: Lines in a window; characters that its sum needs for a surge outside of marked main parts; weight of a mark's step.
+WINDOW, SURGE, FACTOR = 3, 80, 2
 
 MARKUP = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)>?|<[!?][^>]*>?", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -148,17 +150,24 @@ def lines(html: str) -> list[tuple[str, int, int]]:
 
 def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     found = lines(html or "")
-    top = max((inside for _, _, inside in found), default=0)
-    weights = [len(t) * (inside == top) if top else (free if 2 * free >= len(t) else 0) for t, free, inside in found]
-    sums = [sum(weights[i : i + window]) for i in range(len(weights))]
-    need = surge if not top and max(sums, default=0) > surge else 0  # a page that never surges is short, not empty
-    keep, on = [], False
-    for i, (t, _, _) in enumerate(found):
-        if not on and weights[i] and sums[i] > need:
+    weights = [len(t) if inside else (free if 2 * free >= len(t) else 0) for t, free, inside in found]
+    sums = [sum(w for w, f in zip(weights[i : i + window], found[i : i + window]) if f[2] == inside) for i, (_, _, inside) in enumerate(found)]
+    top = level = max((inside for _, _, inside in found), default=0)
+    mass = {m: sum(w for w, f in zip(weights, found) if f[2] == m) * FACTOR**m for m in range(top + 1)}
+    for m in range(top - 1, -1, -1):
+        if mass[m] > mass[level] and any(s > surge for s, f in zip(sums, found) if f[2] == m):
+            level = m
+    need = surge if not level and max((s for s, f in zip(sums, found) if not f[2]), default=0) > surge else 0  # a page that never surges is short, not empty
+    keep, on, last = [], False, 0
+    for (t, _, inside), weight, total in zip(found, weights, sums):
+        on, last = on and inside == last, inside
+        if inside < level:
+            continue
+        if not on and weight and total > (0 if inside else need):
             on = True  # surge
-        elif on and not sums[i]:
+        elif on and not total:
             on = False  # dive
-        if on and weights[i]:
+        if on and weight:
             keep.append(t)
     return " ".join(keep)
 

@@ -30,6 +30,17 @@ def test_parts_marked_by_class_or_id():
     assert main_text(page.replace("<h1>T</h1>", "<article>T</article>")) == "T"
 
 
+def test_body_outweighs_marked_teasers():
+    body = [f"{'word ' * 40}{i}." for i in range(5)]
+    cards = "".join(f"<article><h2>Card {i}</h2><p>More of it.</p></article>" for i in range(3))
+    for wrap in ("<div>", "<div class='content'>"):
+        page = f"<body><div>Site</div>{cards}{wrap}{''.join(f'<p>{x}</p>' for x in body)}</div><div>tiny</div></body>"
+        got = main_text(page)
+        assert all(x in got for x in body) and "Card 2" in got and "Site" not in got
+    assert main_text(f"<body><p>{'note ' * 30}</p><article><p>{body[0]}</p><p>b</p></article></body>") == f"{body[0]} b"
+    assert main_text(f"<body><p>{body[0]}</p><p>{body[1]}</p><article><p>T</p></article><p>tiny</p></body>") == f"{body[0]} {body[1]} T"
+
+
 def test_odd_pages():
     assert [main_text(x) for x in (None, "", " ", "<p", "<!--", "<script>", "<nav>menu")] == [""] * 7
     assert main_text("<body><nav><a href=x>menu</a></nav><h1>Short</h1><p>plain & short.</p></body>") == "Short plain & short."
