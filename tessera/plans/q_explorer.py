@@ -73,10 +73,8 @@ def softmax_retrieval(spark, sf):
 @query("moving_vectors")
 def moving_vectors(spark, sf):
     """VEC11: unit vectors averaged with factor 0.9 in order, renormalised at each step, per label."""
-    rows = vectors(spark, sf).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("l"))
-    step = lambda acc, x: X.unit(F.zip_with(acc, X.unit(x["embedding"]), lambda a, b: 0.9 * a + 0.1 * b))
-    out = F.aggregate(F.slice("l", 2, 50), X.unit(F.get("l", 0)["embedding"]), step)
-    return rows.select("label", F.transform(out, lambda x: F.round(x, 6)).alias("vector"))
+    out = X.moving_vectors(vectors(spark, sf), 0.9)
+    return out.select("label", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
 
 
 def images(spark, sf):
