@@ -135,15 +135,40 @@ def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((b, a) for a, b in out) if flip else sorted(out)
 
 
+def components(near: np.ndarray) -> list[tuple[list[int], list[int]]]:
+    """(rows, columns) of each group that pairs within ``near`` connect: no assignment under a limit crosses groups."""
+    by_row, by_col = [np.flatnonzero(r).tolist() for r in near], [np.flatnonzero(c).tolist() for c in near.T]
+    out, seen = [], set()
+    for start in range(len(by_row)):
+        if start in seen or not by_row[start]:
+            continue
+        seen.add(start)
+        rows, cols, todo = [start], set(), [start]
+        while todo:
+            for j in by_row[todo.pop()]:
+                if j not in cols:
+                    cols.add(j)
+                    more = [i for i in by_col[j] if i not in seen]
+                    seen.update(more)
+                    rows += more
+                    todo += more
+        out.append((sorted(rows), sorted(cols)))
+    return out
+
+
 def assign(cost: np.ndarray, limit: float) -> tuple[list[tuple[int, int]], list[int], list[int]]:
     """(pairs, free rows, free columns) of the assignment that leaves out pairs above ``limit`` at the cost of ``limit`` each."""
     n, m = cost.shape
     if not n or not m:
         return [], list(range(n)), list(range(m))
-    wide = np.full((n + m, n + m), limit / 2.0)
-    wide[n:, m:] = 0
-    wide[:n, :m] = cost
-    pairs = [(i, j) for i, j in hungarian(wide) if i < n and j < m and cost[i, j] <= limit]
+    pairs = []
+    for rows, cols in components(cost <= limit):
+        k, l = len(rows), len(cols)  # noqa: E741
+        wide = np.full((k + l, k + l), limit / 2.0)
+        wide[k:, l:] = 0
+        wide[:k, :l] = cost[np.ix_(rows, cols)]
+        pairs += [(rows[i], cols[j]) for i, j in hungarian(wide) if i < k and j < l and cost[rows[i], cols[j]] <= limit]
+    pairs.sort()
     return pairs, sorted(set(range(n)) - {i for i, _ in pairs}), sorted(set(range(m)) - {j for _, j in pairs})
 
 

@@ -110,3 +110,14 @@ def test_box_round_trips(spark):
             assert max(row) < 1e-12
     corners = B.obb_corners(F.lit(3.0), F.lit(4.0), F.lit(5.0), F.lit(2.0), F.lit(0.3))
     assert spark.range(1).select(*B.obb_from_corners(corners)).first()[:] == pytest.approx((3, 4, 5, 2, 0.3))
+
+
+def test_assignment_by_groups_costs_the_least():
+    r = np.random.default_rng(3)
+    for _ in range(60):
+        n, m = r.integers(1, 6, 2)
+        cost, limit = np.where(r.random((n, m)) < 0.5, r.random((n, m)), 1.0), 0.7
+        pairs, rows, cols = M.assign(cost, limit)
+        assert sorted([i for i, _ in pairs] + rows) == list(range(n)) and sorted([j for _, j in pairs] + cols) == list(range(m))
+        least = lambda i, left: 0.0 if i == n else min([least(i + 1, left)] + [cost[i, j] - limit + least(i + 1, left - {j}) for j in left if cost[i, j] <= limit])
+        assert abs(sum(cost[i, j] - limit for i, j in pairs) - least(0, frozenset(range(m)))) < 1e-9

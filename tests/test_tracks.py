@@ -99,3 +99,24 @@ def test_repetitions(spark):
     x = [150, 80, 120, 150, 100, 85, 160, 70]
     df = spark.createDataFrame([(0, 1, i, float(v)) for i, v in enumerate(x)], "stream_id long, track_id long, frame long, x double")
     assert T.count_repetitions(df, F.col("x")).first().reps == 3
+
+
+@pytest.mark.parametrize("name", ["two_stage_tracks", "two_stage_tracks_by_width"])
+def test_every_image_is_a_stream(spark, name):
+    from tessera.plans.fixtures import view
+    from tessera.plans.q_tracks import _detections
+    from tessera.plans.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    images = {r.image_id for r in view(spark, sf, "pred").select("image_id").distinct().collect()}
+    got: dict = {}
+    for r in QUERIES[name](spark, sf).collect():
+        got.setdefault(r.stream_id, []).append((r.frame, r.track_id, r.det_id))
+    assert len(images) > 3 and set(got) == images
+    rows = _detections(spark, sf).toPandas().sort_values(["frame", "det_id"])
+    for image in (min(images), max(images)):
+        tracker, want = T.Tracker(motion=T.Motion(by_width=name.endswith("width"))), []
+        for frame, d in rows[rows["stream_id"] == image].groupby("frame"):
+            seen = tracker.step(d[["x1", "y1", "x2", "y2"]].to_numpy(float), d["conf"].to_numpy(float), d["cls"].to_numpy())
+            want += [(frame, t, int(d["det_id"].iloc[i])) for t, i in seen]
+        assert sorted(got[image]) == sorted(want)
