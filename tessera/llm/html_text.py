@@ -45,6 +45,9 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form
 OUTSIDE_ONLY = {"header"}
 #: Whole class or id values that mark a main part where no element or role does.
 MARKS = {"content", "main", "article", "post", "entry", "main-content", "page-content", "post-content", "article-content", "entry-content", "article-body", "post-body", "story-body", "story"}
+#: What follows the first of these is what a page has, and an element that ends in the others holds more than what a word inside names.
+WITH = {"has", "no", "with", "without"}
+WRAPS = {"wrap", "wrapper", "container", "area", "layout", "inner", "outer", "content", "page", "row", "grid", "main", "body"}
 CLASS_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -52,20 +55,25 @@ def attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(text)}
 
 
-def is_aside(name: str, text: str, in_main: bool) -> bool:
-    """Whether the element never holds main text."""
+def aside(name: str, text: str, in_main: bool) -> int:
+    """2 for an element that never holds main text, 1 for one that only its class or id words call so, else 0."""
     if name in NEVER or name in OUTSIDE_ONLY and not in_main:
-        return True
+        return 2
     if not text or name in ("html", "body", "main"):
-        return False
+        return 0
     a = attributes(text)
     if a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
-        return True
+        return 2
     for one in f"{a.get('class', '')} {a.get('id', '')}".split():
         found = [w.lower() for w in CLASS_WORD.findall(one)]
-        if found and found[0] not in ("has", "no", "with", "without") and not WORDS.isdisjoint(found):
-            return True
-    return "header" in f"{a.get('class', '')} {a.get('id', '')}".lower().split() and not in_main
+        said = found[: next((i for i, w in enumerate(found) if w in WITH), len(found))]
+        if mark(name, text):  # a post's labels (category-social, tag-menu) hold any word
+            said = said if len(found) == 1 else []
+        elif found and found[-1] in WRAPS:
+            said = said[:1]
+        if not WORDS.isdisjoint(said):
+            return 1
+    return 2 if "header" in f"{a.get('class', '')} {a.get('id', '')}".lower().split() and not in_main else 0
 
 
 def mark(name: str, text: str) -> int:
@@ -80,13 +88,16 @@ def mark(name: str, text: str) -> int:
     return int(not MARKS.isdisjoint(f"{a.get('class', '')} {a.get('id', '')}".lower().split()))
 
 
-def lines(html: str) -> list[tuple[str, int, int]]:
-    """(text, characters outside of links, ``mark`` of the main part it is in) of each block with text, in page order."""
+def lines(html: str, lift: bool = False) -> list[tuple[str, int, int]]:
+    """(text, characters outside of links, ``mark`` of the main part it is in) of each block with text, in page order.
+
+    A main element within an element that class words put aside counts all the same; with ``lift`` any main part does.
+    """
     out: list[tuple[str, int, int]] = []
     text: list[str] = []
     free = 0
-    stack: list[tuple[str, bool, int, bool]] = []  # name, never main text, mark of the main part, in a link
-    off, main, link = False, 0, False
+    stack: list[tuple[str, int, int, bool]] = []  # name, ``aside``, mark of the main part, in a link
+    off, main, link = 0, 0, False
 
     def close() -> None:
         nonlocal text, free
@@ -120,7 +131,7 @@ def lines(html: str) -> list[tuple[str, int, int]]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
-                    off, main, link = stack[-1][1:] if stack else (False, 0, False)
+                    off, main, link = stack[-1][1:] if stack else (0, 0, False)
                     break
             continue
         if name in RAW:
@@ -139,9 +150,12 @@ def lines(html: str) -> list[tuple[str, int, int]]:
                     break
                 if stack[k][0] in BLOCK:
                     break
-            off, main, link = stack[-1][1:] if stack else (False, 0, False)
-        off = off or is_aside(name, m[3], main > 0)
-        main = 0 if off else max(main, mark(name, m[3]))
+            off, main, link = stack[-1][1:] if stack else (0, 0, False)
+        own, marked = aside(name, m[3], main > 0), mark(name, m[3])
+        if off == 1 and not own and marked and (lift or name == "main" or attributes(m[3]).get("role") == "main"):
+            off = 0
+        off = max(off, own)
+        main = 0 if off else max(main, marked)
         link = link or name == "a"
         stack.append((name, off, main, link))
     close()
@@ -150,6 +164,13 @@ def lines(html: str) -> list[tuple[str, int, int]]:
 
 def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     found = lines(html or "")
+    text = chosen(found, window, surge)
+    if len(text) <= surge and not any(inside for _, _, inside in found):  # the only main parts may stand in what class words put aside
+        text = max(text, chosen(lines(html or "", lift=True), window, surge), key=len)
+    return text
+
+
+def chosen(found: list[tuple[str, int, int]], window: int, surge: int) -> str:
     weights = [len(t) if inside else (free if 2 * free >= len(t) else 0) for t, free, inside in found]
     sums = [sum(w for w, f in zip(weights[i : i + window], found[i : i + window]) if f[2] == inside) for i, (_, _, inside) in enumerate(found)]
     top = level = max((inside for _, _, inside in found), default=0)

@@ -41,6 +41,22 @@ def test_body_outweighs_marked_teasers():
     assert main_text(f"<body><p>{body[0]}</p><p>{body[1]}</p><article><p>T</p></article><p>tiny</p></body>") == f"{body[0]} {body[1]} T"
 
 
+def test_wrappers_named_after_a_part_keep_the_page():
+    body = f"<p>{'word ' * 30}end.</p>"
+    want = f"{'word ' * 30}end."
+    for page in (
+        f"<div class='content-sidebar-wrap'><main>{body}</main><div class='sidebar'>Side</div></div>",
+        f"<div class='layout-with-sidebar'><article>{body}</article></div>",
+        f"<article class='post category-social tag-menu'>{body}<div class='post-share-buttons'>Share</div></article>",
+        f"<div id='page-widget-area'>{body}</div>",
+        f"<div class='sidebar-layout'><article>{body}</article><div>Side</div></div>",
+        f"<div class='sidebar-layout'><div role='main'>{body}</div></div><p>{'note ' * 20}</p>",
+        f"<article>{body}</article><div id='comments'><article class='comment'><p>{'reply ' * 90}</p></article></div>",
+        f"<article>{body}<div class='comments-area'><p>First!</p></div><div class='popup-with-form'>Join</div><div class='has-menu'></div></article>",
+    ):
+        assert main_text(f"<body>{page}</body>") == want, page
+
+
 def test_odd_pages():
     assert [main_text(x) for x in (None, "", " ", "<p", "<!--", "<script>", "<nav>menu")] == [""] * 7
     assert main_text("<body><nav><a href=x>menu</a></nav><h1>Short</h1><p>plain & short.</p></body>") == "Short plain & short."
