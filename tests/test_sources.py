@@ -150,3 +150,17 @@ def test_regions(spark):
     df = spark.createDataFrame([(7, y, x) for y, x in on], "k long, row long, col long")
     assert sorted(r.n for r in R.connected_regions(df, ["k"]).collect()) == [1, 2, 3]
     assert sorted(r.n for r in R.connected_regions(df, ["k"], diagonal=False).collect()) == [1, 1, 2, 2]
+
+
+def test_every_raster_is_cropped(spark):
+    from tessera.plans.fixtures import view
+    from tessera.plans.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    rasters = {r.raster_id: r for r in view(spark, sf, "raster").collect()}
+    got: dict = {}
+    for r in QUERIES["random_crops"](spark, sf).collect():
+        got.setdefault(r.raster_id, []).append((r.x, r.y))
+    assert len(rasters) > 20 and got.keys() == rasters.keys()
+    for i, r in rasters.items():
+        assert sorted(got[i]) == sorted(D.random_crops(i, 400, r.width, r.height, 336))
