@@ -2,7 +2,7 @@
 
 A payload is stored as 8-bit mono samples: a 44-byte RIFF/WAVE header, then the samples. A rolling gear hash cuts the
 samples by content (``LEAST`` to ``MOST`` bytes); a chunk's digest names it, a Spark join on digests keeps one copy of each,
-and every media file is its header and an ordered list of digests. Reading joins the lists to the chunks again, puts
+and every media file is its header and an ordered list of digests. Both are tables in the shared folder. Reading joins the lists to the chunks again, puts
 the samples together in order, and checks the digest of every chunk and of the whole.
 
 Equal media have one list. A file of one chunk (most texts) is whole where its chunk is; only chunks of longer files
@@ -76,7 +76,7 @@ def features(samples: bytes) -> str:
 
 
 def chunk_rows(docs: DataFrame, with_bytes: bool) -> DataFrame:
-    """A row for each file: doc_id, n_bytes, payload_bytes, media_sha256, digests; or one for each chunk: digest, packed."""
+    """A row for each file: doc_id, n_bytes, payload_bytes, media_sha256, header, digests; or one for each chunk: digest, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, sent = zstandard.ZstdCompressor(level=3), set()
@@ -100,16 +100,16 @@ def chunk_rows(docs: DataFrame, with_bytes: bool) -> DataFrame:
                         packed.append(packer.compress(data[last:end]))
                     last = end
                 if not with_bytes:
-                    media = header_of(len(data)) + data
-                    rows.append((doc, len((text or "").encode()), len(data), hashlib.sha256(media).hexdigest(), mine))
+                    header = header_of(len(data))
+                    rows.append((doc, len((text or "").encode()), len(data), hashlib.sha256(header + data).hexdigest(), header, mine))
             if with_bytes:
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(packed, pa.binary())], ["digest", "packed"])
             else:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.binary()))
-                cols = list(zip(*rows, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], ["doc_id", "n_bytes", "payload_bytes", "media_sha256", "digests"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.binary()))
+                cols = list(zip(*rows, strict=True)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], ["doc_id", "n_bytes", "payload_bytes", "media_sha256", "header", "digests"])
 
-    schema = "digest binary, packed binary" if with_bytes else "doc_id long, n_bytes long, payload_bytes long, media_sha256 string, digests array<binary>"
+    schema = "digest binary, packed binary" if with_bytes else "doc_id long, n_bytes long, payload_bytes long, media_sha256 string, header binary, digests array<binary>"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
@@ -117,13 +117,14 @@ READ = "media_sha256 string, payload_sha256 string, tail_crc32 long, media_bytes
 
 
 def read_media(pieces: DataFrame) -> DataFrame:
-    """Files put together from (media_sha256, seq, payload_bytes, digest, packed) that come in order; checked."""
+    """Files put together from (media_sha256, seq, payload_bytes, header, digest, packed) that come in order; checked. The
+    header comes with the first chunk; without that column it is made from payload_bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpacker, now, held = zstandard.ZstdDecompressor(), None, []
+        unpacker, now, top, held = zstandard.ZstdDecompressor(), None, b"", []
 
-        def row(name, total):
-            media = header_of(total) + b"".join(held)
+        def row(name):
+            media = top + b"".join(held)
             samples = samples_of(media)
             if hashlib.sha256(media).hexdigest() != name:
                 raise ValueError(f"media {name} is damaged")
@@ -132,18 +133,20 @@ def read_media(pieces: DataFrame) -> DataFrame:
         left = 0
         for batch in batches:
             out = []
-            for name, seq, total, digest, packed in zip(*(batch.column(c).to_pylist() for c in ("media_sha256", "seq", "payload_bytes", "digest", "packed")), strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("media_sha256", "seq", "payload_bytes", "digest", "packed")]
+            headers = batch.column("header").to_pylist() if "header" in batch.schema.names else map(header_of, columns[2])
+            for name, seq, total, digest, packed, header in zip(*columns, headers, strict=True):
                 if name != now:
                     if left:
                         raise ValueError(f"media {now} has too few chunks")
-                    now, held, left = name, [], total
+                    now, top, held, left = name, header or b"", [], total
                 data = unpacker.decompress(packed)
                 if hashlib.sha256(data).digest() != digest or seq != len(held):
                     raise ValueError(f"chunk {seq} of media {name} is damaged or out of order")
                 held.append(data)
                 left -= len(data)
                 if not left:
-                    out.append(row(name, total))
+                    out.append(row(name))
             if out:
                 kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["media_sha256", "payload_sha256", "tail_crc32", "media_bytes", "read_sha256", "feature"])
@@ -151,13 +154,24 @@ def read_media(pieces: DataFrame) -> DataFrame:
     return pieces.mapInArrow(run, READ)
 
 
-def media_columns(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_chunks."""
+def write_media(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The stored tables: files (a row for each of ``docs``, with header and digest list) and chunks (digest, packed), each once."""
     files = stored(chunk_rows(docs, with_bytes=False), "media")
-    lists = files.groupBy("media_sha256").agg(F.first("payload_bytes").alias("payload_bytes"), F.first("digests").alias("digests"))
-    wanted = lists.select("media_sha256", "payload_bytes", F.size("digests").alias("parts"), F.posexplode("digests").alias("seq", "digest"))
     chunks = chunk_rows(docs, with_bytes=True).groupBy("digest").agg(F.first("packed").alias("packed"))
-    joined = wanted.join(chunks.hint("merge"), "digest").select("media_sha256", "seq", "payload_bytes", "digest", "packed", "parts")
+    return files, stored(chunks, "chunks", codec="uncompressed")
+
+
+def media_columns(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_chunks."""
+    return read_columns(*write_media(docs))
+
+
+def read_columns(files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``media_columns`` from the stored tables alone."""
+    lists = files.groupBy("media_sha256").agg(*(F.first(c).alias(c) for c in ("payload_bytes", "header", "digests")))
+    wanted = lists.select("media_sha256", "payload_bytes", "header", F.size("digests").alias("parts"), F.posexplode("digests").alias("seq", "digest"))
+    wanted = wanted.withColumn("header", F.when(F.col("seq") == 0, F.col("header")))
+    joined = wanted.join(chunks.hint("merge"), "digest").select("media_sha256", "seq", "payload_bytes", "header", "digest", "packed", "parts")
     short = read_media(joined.filter("parts = 1").drop("parts"))
     long = read_media(joined.filter("parts > 1").drop("parts").repartition("media_sha256").sortWithinPartitions("media_sha256", "seq"))
     read = short.unionByName(long)

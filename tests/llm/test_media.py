@@ -69,3 +69,21 @@ def test_empty_table_and_clashing_columns(spark, documents):
     assert media_columns(documents([])).collect() == []
     df = documents(["a", None]).withColumn("digests", F.lit(1)).withColumn("media_sha256", F.lit("clash"))
     assert media_columns(df).count() == 2
+
+
+def test_stored_tables_alone_give_the_media(spark, documents):
+    import zstandard
+
+    some = texts()
+    files, chunks = media.write_media(documents(some))
+    assert all("mapinarrow" not in x._jdf.queryExecution().toString().lower() for x in (files, chunks))
+    held = [(bytes(c.digest), bytes(c.packed)) for c in chunks.collect()]
+    assert len(dict(held)) == len(held)
+    unpack, held = zstandard.ZstdDecompressor().decompress, dict(held)
+    for f in files.collect():
+        stored = bytes(f.header) + b"".join(unpack(held[bytes(d)]) for d in f.digests)
+        payload = payload_of(some[f.doc_id])
+        assert stored == header_of(len(payload)) + payload
+    other = files.withColumn("header", F.lit(bytes(44)))
+    with pytest.raises(Exception, match="not the stored form"):
+        media.read_columns(other, chunks).collect()
