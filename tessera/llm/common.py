@@ -6,11 +6,14 @@ import contextlib
 import ctypes
 import functools
 import gc
+import re
 import sys
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,21 +26,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a local one only where none is set."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``); a local one only where none is set and the
+    executors are threads of the driver."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file:///tmp/checkpoints"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path
 
 
-#: Tables of the stage that runs, or ran last; tables made outside of stages are not listed and never deleted here.
-_MADE: list[str] = []
+class _Stages(threading.local):
+    """Of each thread, so that pipelines in several threads leave each other's tables alone: whether a stage runs, and the
+    tables of the stage that runs or ran last. Tables made outside of stages are not listed and never deleted here."""
+
+    def __init__(self):
+        self.running, self.made = False, []
+
+
+_STAGES = _Stages()
 #: Rows of an Arrow batch in the pipeline.
 RECORDS = "2000"
-_IN_STAGE = [False]
 
 
 def stored(df: DataFrame, label: str, codec: str = "zstd", keep: bool = False) -> DataFrame:
@@ -48,8 +60,8 @@ def stored(df: DataFrame, label: str, codec: str = "zstd", keep: bool = False) -
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tessera-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    if _IN_STAGE[0] and not keep:
-        _MADE.append(path)
+    if _STAGES.running and not keep:
+        _STAGES.made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -61,32 +73,43 @@ def tidy(spark: SparkSession) -> None:
 
 def release(spark: SparkSession, still: DataFrame) -> None:
     """Deletes the tables that earlier stages have made, but those that ``still`` reads."""
-    read = "\n".join(still.inputFiles()) if _MADE else ""
-    for path in list(_MADE):
+    read = "\n".join(still.inputFiles()) if _STAGES.made else ""
+    for path in list(_STAGES.made):
         name = path.rsplit("/", 1)[1]
         if name not in read:
             where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-            _MADE.remove(path)
+            _STAGES.made.remove(path)
 
 
 def stage(f):
-    """A pipeline stage: its input is the written result of the one before, whose own tables can go then."""
+    """A pipeline stage: its input is the written result of the one before in the same thread, whose own tables can go then."""
 
     @functools.wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         release(spark, docs)
         tidy(spark)
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", RECORDS)  # long texts: bounds a worker's memory
-        _IN_STAGE[0] = True
+        _STAGES.running = True
         try:
             return f(spark, docs, sf_dir)
         finally:
-            _IN_STAGE[0] = False
+            _STAGES.running = False
 
     return run
 
 
+@contextlib.contextmanager
+def settings_kept(spark: SparkSession) -> Iterator[None]:
+    """What stages set in the session is as before afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def trim() -> None:
     """Gives freed memory back to the system, where the C library can."""
     gc.collect()
@@ -103,6 +126,40 @@ def fresh() -> None:
     trim()
 
 
+def with_rows(docs: DataFrame, file: str = "_file", at: str = "_at") -> DataFrame:
+    """``docs`` with the identity of each row: the file that it is read from and its place there, which are the same however
+    often and in whatever tasks the file is read. Rows that no one file holds are written first."""
+    mark = lambda df: df.select("*", F.xxhash64(df.metadataColumn("_metadata")["file_path"]).alias(file), df.metadataColumn("_metadata")["row_index"].alias(at))
+    try:
+        return mark(docs)
+    except AnalysisException:
+        return mark(stored(docs, "rows"))
+
+
+#: A key with more than this share of a table's rows is hot; so there are at most as many hot keys.
+HOT = 1000
+
+
+def dealt_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", count: str | None = None) -> DataFrame:
+    """``many`` joined with ``one``, which has a row for each key at most. Rows of hot keys, each more than 1 in ``HOT`` of all,
+    stay where they are and meet the at most ``HOT`` rows of ``one`` by broadcast; so no task gets more of one key than 1 in
+    ``HOT``. ``count`` is a column of ``one`` that says how often the key occurs in ``many`` (it is dropped). ``many`` is read
+    several times: store it. Null keys match nothing.
+    """
+    total = many.count()
+    if count:
+        hot = one.filter(F.col(count) * HOT > total).select(key)
+        one = one.drop(count)
+    else:
+        hot = many.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") * HOT > total).select(key)
+    names = [r[0] for r in hot.collect()]  # HOT at most
+    if not names:
+        return many.join(one, key, how)
+    hot = F.broadcast(many.sparkSession.createDataFrame([(x,) for x in names], many.select(key).schema))
+    cold = many.join(hot, key, "left_anti").join(one, key, how)
+    return cold.unionByName(many.join(hot, key, "left_semi").join(F.broadcast(one.join(hot, key, "left_semi")), key, how))
+
+
 def free(df: DataFrame, name: str) -> str:
     """``name``, lengthened until ``df`` has no column of that name."""
     taken = {c.lower() for c in df.columns}

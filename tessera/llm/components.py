@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import dealt_join, stored
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """One star step on edges u > v: hang the larger (or all smaller) neighbours of each node below its least one."""
     both = edges if not large else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least"))
-    joined = both.join(least, "u")
+    least = both.groupBy("u").agg(F.min("v").alias("least"), F.count("*").alias("n")).select("u", F.least("u", "least").alias("least"), "n")
+    joined = dealt_join(both, least, "u", count="n") if large else both.join(least.drop("n"), "u")
     if large:
         hung = joined.filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
     else:

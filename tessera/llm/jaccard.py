@@ -7,7 +7,8 @@ points, and what survives is verified on the sets themselves.
 
 One tree over a corpus would not prune (boxes of hundreds of dimensions all meet) nor fit a task. So trees are built within
 blocks that lose no pair: two sets with Jaccard t share one of their first n - ceil(t*n) + 1 shingles in any common order.
-The order is rare shingles first, by a count sketch of fixed size over all documents; a wrong count costs time only.
+The order is rare shingles first, by a count sketch over all documents, sized by their text up to a bound; a wrong count
+costs time only.
 
 Texts with equal sets are one node. In each block all members are tried against the member that is in most blocks
 (a star, linear in the block), which joins groups of near copies; then only blocks whose members are still in several
@@ -30,14 +31,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, stored, table, tidy
+from tessera.llm.common import dealt_join, fresh, stored, table, tidy
 from tessera.llm.components import components
 
 K, PERCENT, GROUPS = 5, 80, 256
-#: Counters of the sketch, in blocks; bytes that the driver gets are 4 * SKETCH whatever the input.
-SKETCH, SKETCH_BLOCK = 1 << 18, 1 << 10
-#: Bits of the filter that picks texts whose sets are verified.
-FILTER = 1 << 23
+#: Bits of the number of the sketch's counters, least and most: one for each ``PER_COUNTER`` bytes of text. The driver gets a byte
+#: for each, so 16 MB at most.
+SKETCH, PER_COUNTER, SKETCH_BLOCK = (18, 24), 32, 1 << 10
+#: Bits of the size of the filter that picks texts whose sets are verified, likewise: a bit for each ``PER_BIT`` bytes of text, so 16 MB at most.
+FILTER, PER_BIT = (23, 27), 64
+#: A shingle whose counter is 2**SALTED times the mean or more is dealt to that many tasks.
+SALTED = 6
 #: Members of a block that one search holds, and points in a leaf.
 SLOT, LEAF = 4096, 32
 
@@ -107,13 +111,18 @@ def digest(hashes: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes()))))
 
 
-def described(docs: DataFrame, k: int) -> DataFrame:
-    """Rows of documents (doc_id, dg, n, point, tk) and, with ``slab`` >= 0, slabs of each task's part of the sketch."""
+def sized(chars: int, per: int, bits: tuple[int, int]) -> int:
+    return 1 << min(max(bits[0], (chars // per).bit_length()), bits[1])
+
+
+def described(docs: DataFrame, k: int, size: int, carry: list[str]) -> DataFrame:
+    """Rows of documents (columns to ``carry``, all of them long, dg, n, point) and, with ``slab`` >= 0, slabs of each task's part of
+    the sketch of ``size`` counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh()
-        sketch = np.zeros(SKETCH, np.int64)
-        names = ["doc_id", "dg", "n", "point", "tk", "slab", "sums"]
+        sketch = np.zeros(size, np.uint32)
+        names = [*carry, "dg", "n", "point", "slab", "sums"]
         for batch in batches:
             dg, n, points = [], [], []
             for text in batch.column("text").to_pylist():
@@ -121,42 +130,50 @@ def described(docs: DataFrame, k: int) -> DataFrame:
                 n.append(len(s))
                 dg.append(digest(s) if len(s) else None)
                 points.append(counts(s) if len(s) else None)
-                np.add.at(sketch, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+                np.add.at(sketch, (s & np.uint64(size - 1)).astype(np.int64), 1)
             m = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(dg, pa.int64()), pa.array(n, pa.int64()), pa.array(points, pa.binary()), batch.column("tk"), pa.array([-1] * m, pa.int32()), pa.nulls(m, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(dg, pa.int64()), pa.array(n, pa.int64()), pa.array(points, pa.binary()), pa.array([-1] * m, pa.int32()), pa.nulls(m, pa.binary())], names)
         slabs = np.flatnonzero(sketch.reshape(-1, SKETCH_BLOCK).any(axis=1)).tolist()
-        m = len(slabs)
-        sums = [sketch[i * SKETCH_BLOCK : (i + 1) * SKETCH_BLOCK].tobytes() for i in slabs]
-        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.array(slabs, pa.int32()), pa.array(sums, pa.binary())], names)
+        for at in range(0, len(slabs), 1024):
+            some = slabs[at : at + 1024]
+            m = len(some)
+            sums = [sketch[i * SKETCH_BLOCK : (i + 1) * SKETCH_BLOCK].tobytes() for i in some]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(m, pa.int64()) for _ in [*carry, "dg", "n"]), pa.nulls(m, pa.binary()), pa.array(some, pa.int32()), pa.array(sums, pa.binary())], names)
 
-    return docs.mapInArrow(run, "doc_id long, dg long, n long, point binary, tk long, slab int, sums binary")
+    return docs.mapInArrow(run, f"{''.join(f'{c} long, ' for c in carry)}dg long, n long, point binary, slab int, sums binary")
 
 
-def levels(slabs: DataFrame) -> np.ndarray:
-    """How frequent each counter's shingles are: 0 up to the mean, one more for each doubling."""
+def levels(slabs: DataFrame, size: int) -> np.ndarray:
+    """How frequent each counter's shingles are: 0 up to the mean, one more for each doubling; a byte for each counter."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, sums in zip(batch.column("slab").to_pylist(), batch.column("sums").to_pylist(), strict=True):
-                x = np.frombuffer(sums, np.int64)
+                x = np.frombuffer(sums, np.uint32).astype(np.int64)
                 total[i] = total[i] + x if i in total else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slab", "sums"])
+        sums = [int(x.sum()) for x in total.values()]
+        # logs in eighths, so that a counter fits in a byte
+        logs = [np.round(8 * np.log2(np.maximum(x, 1))).clip(0, 255).astype(np.uint8).tobytes() for x in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(sums, pa.int64()), pa.array(logs, pa.binary())], ["slab", "total", "logs"])
 
-    out = np.zeros(SKETCH, np.int64)
-    for r in slabs.select("slab", "sums").repartition("slab").mapInArrow(add, "slab int, sums binary").collect():  # a row for each slab
-        out[r.slab * SKETCH_BLOCK : (r.slab + 1) * SKETCH_BLOCK] = np.frombuffer(r.sums, np.int64)
-    return np.floor(np.log2(np.maximum(out / max(1.0, out.mean()), 1))).astype(np.uint8)
+    out, total = np.zeros(size, np.uint8), 0
+    for r in slabs.select("slab", "sums").repartition("slab").mapInArrow(add, "slab int, total long, logs binary").toLocalIterator():  # a row for each slab
+        out[r.slab * SKETCH_BLOCK : (r.slab + 1) * SKETCH_BLOCK] = np.frombuffer(r.logs, np.uint8)
+        total += r.total
+    mean = np.log2(max(1.0, total / size))
+    return np.floor(np.maximum(out / np.float32(8) - np.float32(mean), 0) + np.float32(0.1)).astype(np.uint8)
 
 
 def prefixes(docs: DataFrame, level: np.ndarray, k: int, percent: int) -> DataFrame:
-    """(h, dg): the first shingles of each set, rare ones first."""
+    """(h, salt, dg): the first shingles of each set, rare ones first; ``salt`` deals frequent ones, else it is -1."""
+    mask = np.uint64(len(level) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh()
         sent: set[int] = set()
         for batch in batches:
-            heads, owners = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            heads, salts, owners = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int64)]
             for text in batch.column("text").to_pylist():
                 s = shingles(text, k)
                 if not len(s) or (dg := digest(s)) in sent:
@@ -165,37 +182,39 @@ def prefixes(docs: DataFrame, level: np.ndarray, k: int, percent: int) -> DataFr
                     sent.clear()  # a set may be sent twice; that does no harm
                 sent.add(dg)
                 size = len(s) + (-percent * len(s) // 100) + 1
-                order = np.argsort((level[(s & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6)), kind="stable")
-                heads.append(s[order[:size]].view(np.int64))
+                often = level[(s & mask).astype(np.int64)]
+                order = np.argsort((often.astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6)), kind="stable")[:size]
+                heads.append(s[order].view(np.int64))
+                salts.append(np.where(often[order] >= SALTED, dg % (1 << np.minimum(often[order], 30).astype(np.int64)), -1).astype(np.int32))
                 owners.append(np.full(size, dg, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads)), pa.array(np.concatenate(owners))], ["h", "dg"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (heads, salts, owners)], ["h", "salt", "dg"])
 
-    return docs.mapInArrow(run, "h long, dg long")
+    return docs.mapInArrow(run, "h long, salt int, dg long")
 
 
 def shared(posts: DataFrame) -> DataFrame:
-    """The distinct (h, dg) whose h has more than one dg; a sorted stream, so no block is held."""
+    """The distinct (h, dg) whose h has more than one dg, or is dealt; a sorted stream, so no block is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh()
-        held: tuple[int, int, bool] | None = None  # the last row, and whether one before shares its h
+        held: tuple[int, int, int, bool] | None = None  # the last row, and whether one before shares its h
         for batch in batches:
-            h, dg = (batch.column(c).to_numpy() for c in ("h", "dg"))
+            h, salt, dg = (batch.column(c).to_numpy() for c in ("h", "salt", "dg"))
             if held:
-                h, dg = np.concatenate([[held[0]], h]), np.concatenate([[held[1]], dg])
+                h, salt, dg = np.concatenate([[held[0]], h]), np.concatenate([[held[1]], salt]), np.concatenate([[held[2]], dg])
             if not len(h):
                 continue
             first = np.concatenate([[True], (h[1:] != h[:-1]) | (dg[1:] != dg[:-1])])
-            h, dg = h[first], dg[first]
+            h, salt, dg = h[first], salt[first], dg[first]
             same = h[1:] == h[:-1]
-            before = np.concatenate([[bool(held and held[2])], same])
-            on = (before | np.concatenate([same, [False]]))[:-1]
-            held = (h[-1], dg[-1], bool(before[-1]))
+            before = np.concatenate([[bool(held and held[3])], same])
+            on = ((before | np.concatenate([same, [False]])) | (salt >= 0))[:-1]
+            held = (h[-1], salt[-1], dg[-1], bool(before[-1]))
             yield pa.RecordBatch.from_arrays([pa.array(h[:-1][on]), pa.array(dg[:-1][on])], ["h", "dg"])
-        if held and held[2]:
-            yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int64())], ["h", "dg"])
+        if held and (held[3] or held[1] >= 0):
+            yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[2]], pa.int64())], ["h", "dg"])
 
-    return posts.repartition("h").sortWithinPartitions("h", "dg").mapInArrow(run, "h long, dg long")
+    return posts.repartition("h", "salt").sortWithinPartitions("h", "salt", "dg").mapInArrow(run, "h long, dg long")
 
 
 def least_overlap(n, m, percent: int):
@@ -303,13 +322,13 @@ def searched(blocks: DataFrame, percent: int) -> DataFrame:
     return blocks.select(*names).repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n").mapInArrow(run, "a long, b long")
 
 
-def marks(keys: DataFrame) -> np.ndarray:
-    """A bit for each value of ``tk`` modulo the filter's size; of fixed size whatever the input."""
+def marks(keys: DataFrame, size: int) -> np.ndarray:
+    """A bit for each value of ``tk`` modulo ``size``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER, bool)
+        bits = np.zeros(size, bool)
         for batch in batches:
-            bits[(batch.column("tk").to_numpy().view(np.uint64) % np.uint64(FILTER)).astype(np.int64)] = True
+            bits[(batch.column("tk").to_numpy().view(np.uint64) % np.uint64(size)).astype(np.int64)] = True
         packed = np.packbits(bits).reshape(-1, SKETCH_BLOCK)
         slabs = np.flatnonzero(packed.any(axis=1)).tolist()
         yield pa.RecordBatch.from_arrays([pa.array(slabs, pa.int32()), pa.array([packed[i].tobytes() for i in slabs], pa.binary())], ["slab", "bits"])
@@ -322,25 +341,25 @@ def marks(keys: DataFrame) -> np.ndarray:
                 total[i] = total[i] | x if i in total else x
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slab", "bits"])
 
-    out = np.zeros((FILTER // 8 // SKETCH_BLOCK, SKETCH_BLOCK), np.uint8)
-    for r in keys.mapInArrow(run, "slab int, bits binary").repartition("slab").mapInArrow(join, "slab int, bits binary").collect():  # a row for each slab
+    out = np.zeros((size // 8 // SKETCH_BLOCK, SKETCH_BLOCK), np.uint8)
+    for r in keys.mapInArrow(run, "slab int, bits binary").repartition("slab").mapInArrow(join, "slab int, bits binary").toLocalIterator():  # a row for each slab
         out[r.slab] = np.frombuffer(r.bits, np.uint8)
     return out.reshape(-1)
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, info: DataFrame, k: int) -> DataFrame:
+def sets_of(docs: DataFrame, nodes: DataFrame, info: DataFrame, k: int, size: int) -> DataFrame:
     """(dg, s): the shingles of the given nodes (and of few others), made again from their texts where those are.
 
-    A bit filter of fixed size picks the texts, so texts are never shuffled; where so many nodes are asked for that the filter
+    A bit filter of ``size`` picks the texts, so texts are never shuffled; where so many nodes are asked for that the filter
     is full, more sets travel, and none is lost.
     """
-    bits = marks(info.join(nodes, "dg", "left_semi").select("tk"))
+    bits = marks(info.join(nodes, "dg", "left_semi").select("tk"), size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh()
         sent: set[int] = set()
         for batch in batches:
-            at = batch.column("tk").to_numpy().view(np.uint64) % np.uint64(FILTER)
+            at = batch.column("tk").to_numpy().view(np.uint64) % np.uint64(size)
             on = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1
             dg, sets = [], [np.empty(0, np.int64)]
             for text in batch.column("text").filter(pa.array(on.astype(bool))).to_pylist():
@@ -356,9 +375,9 @@ def sets_of(docs: DataFrame, nodes: DataFrame, info: DataFrame, k: int) -> DataF
     return docs.select("text", "tk").mapInArrow(run, "dg long, s array<long>").dropDuplicates(["dg"])
 
 
-def verified(docs: DataFrame, pairs: DataFrame, info: DataFrame, k: int, percent: int) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, info: DataFrame, k: int, percent: int, size: int) -> DataFrame:
     """Those of the stored (a, b) that reach the percentage, by their sets. Both joins read one exchange of the sets."""
-    sets = sets_of(docs, pairs.select(F.col("a").alias("dg")).unionByName(pairs.select(F.col("b").alias("dg"))).distinct(), info, k)
+    sets = sets_of(docs, pairs.select(F.col("a").alias("dg")).unionByName(pairs.select(F.col("b").alias("dg"))).distinct(), info, k, size)
     left = sets.select(F.col("dg").alias("a"), F.col("s").alias("s_a"))
     right = sets.select(F.col("dg").alias("b"), F.col("s").alias("s_b"))
     both = F.size(F.array_intersect("s_a", "s_b"))
@@ -366,13 +385,17 @@ def verified(docs: DataFrame, pairs: DataFrame, info: DataFrame, k: int, percent
     return stored(kept.select("a", "b"), "links")
 
 
-def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tk"))
-    all_rows = stored(described(docs, k), "described")
+def jaccard_rows(docs: DataFrame, carry: list[str], k: int = K, percent: int = PERCENT) -> DataFrame:
+    """A row for each of ``docs``: the (long) columns to ``carry``, tk (hash of the text), n_shingles and component, a key of the
+    group of rows that links join; null for rows without words, which are alone."""
+    docs = docs.select(*carry, "text", F.xxhash64("text").alias("tk"))
+    carry = [*carry, "tk"]
+    chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = sized(chars, PER_BIT, FILTER)
+    counters = sized(chars, PER_COUNTER, SKETCH)
+    all_rows = stored(described(docs, k, counters, carry), "described")
     rows = all_rows.filter("slab < 0")
-    level = levels(all_rows.filter("slab >= 0"))
-    posts = stored(shared(prefixes(docs.select("text"), level, k, percent)), "posts")
+    posts = stored(shared(prefixes(docs.select("text"), levels(all_rows.filter("slab >= 0"), counters), k, percent)), "posts")
 
     info = rows.filter("dg is not null").join(posts.select("dg").distinct(), "dg", "left_semi").groupBy("dg").agg(F.first("n").alias("n"), F.first("point").alias("point"), F.min("tk").alias("tk"))
     info = stored(info, "info")
@@ -381,39 +404,48 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> D
 
     degree = posts.groupBy("dg").agg(F.count("*").alias("degree"))
     members = (F.count("*").alias("members"), F.sum(F.xxhash64("dg").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("dg", F.lit(2))).alias("xor"))
-    blocks = posts.join(degree, "dg").groupBy("h").agg(F.max(F.struct("degree", "dg")).alias("top"), *members)
+    blocks = posts.join(degree, "dg").groupBy("h").agg(F.max(F.struct("degree", "dg")).alias("top"), *members).filter("members > 1")
     # blocks of the same members (most shingles that two texts share) are one block
     hubs = stored(blocks.groupBy("members", "sum", "xor").agg(F.min("h").alias("h"), F.first("top.dg").alias("hub")).select("h", "members", "hub"), "hubs")
-    stars = posts.join(hubs, "h").filter("dg <> hub").select(F.least("dg", "hub").alias("a"), F.greatest("dg", "hub").alias("b")).distinct()
+    held = stored(dealt_join(posts, hubs.withColumn("n", F.col("members")), "h", count="n"), "held")
+    stars = held.filter("dg <> hub").select(F.least("dg", "hub").alias("a"), F.greatest("dg", "hub").alias("b")).distinct()
     tried = stored(bounded(stars.join(side("a"), "a").join(side("b"), "b"), percent), "stars")
-    links = verified(docs, tried, info, k, percent)
+    links = verified(docs, tried, info, k, percent, bits)
     tidy(docs.sparkSession)
     first = stored(components(links, "a", "b"), "first")
 
-    named = posts.join(hubs.filter("members > 2"), "h").join(first.withColumnRenamed("node", "dg"), "dg", "left").withColumn("component", F.coalesce("component", "dg"))
+    named = held.filter("members > 2").join(first.withColumnRenamed("node", "dg"), "dg", "left").withColumn("component", F.coalesce("component", "dg"))
     named = stored(named, "named")
-    open_ = named.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("h")
+    open_ = named.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low < high").select("h", "n", F.lit(True).alias("open"))
     slots = F.ceil(F.col("members") / SLOT)
-    rows_open = named.join(open_, "h", "left_semi").join(coarse(info), "dg").withColumn("slot", F.pmod(F.xxhash64("dg", F.lit(1)), slots))
+    rows_open = dealt_join(named, open_, "h", count="n").join(coarse(info), "dg").withColumn("slot", F.pmod(F.xxhash64("dg", F.lit(1)), slots))
     blocks = rows_open.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), slots - 1))).withColumn("i", F.least("slot", "other")).withColumn("j", F.greatest("slot", "other"))
     tidy(docs.sparkSession)
     may = stored(searched(blocks, percent).distinct().join(tried, ["a", "b"], "left_anti"), "may")
     more = stored(bounded(may.join(side("a"), "a").join(side("b"), "b"), percent), "more")
     tidy(docs.sparkSession)
-    links = verified(docs, more, info, k, percent)
+    links = verified(docs, more, info, k, percent, bits)
     tidy(docs.sparkSession)
     named_a, named_b = (first.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in "ab")
     bridges = links.join(named_a, "a", "left").join(named_b, "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
     second = stored(components(bridges, "a", "b"), "second")
     last = first.join(second.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
     alone = second.join(first, "node", "left_anti").select("node", "component")
-    names = stored(last.unionByName(alone), "names")
+    names = stored(last.unionByName(alone), "names").select(F.col("node").alias("dg"), "component")
 
-    has = rows.filter("dg is not null").select("doc_id", "n", "dg")
-    placed = has.join(names.select(F.col("node").alias("dg"), "component"), "dg", "left").withColumn("component", F.coalesce("component", "dg"))
-    least = stored(placed.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
-    out = placed.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionByName(rows.filter("dg is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    has = rows.filter("dg is not null").select(*carry, "n", "dg")
+    placed = dealt_join(has, names, "dg", "left")
+    out = placed.unionByName(rows.filter("dg is null").select(*carry, "n", "dg"), allowMissingColumns=True)
+    return out.select(*carry, F.col("n").alias("n_shingles"), F.coalesce("component", "dg").alias("component"))
+
+
+def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row."""
+    rows = stored(jaccard_rows(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id"], k, percent), "placed")
+    sets = rows.filter("component is not null")
+    least = sets.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+    out = dealt_join(sets, stored(least, "least"), "component", count="n").select("doc_id", "n_shingles", "component_id")
+    return out.unionByName(rows.filter("component is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import free, stage, stored, table
-from tessera.llm.jaccard import jaccard_components
+from tessera.llm.common import free, stage, stored, table, with_rows
+from tessera.llm.jaccard import jaccard_rows
 from tessera.llm.packing import pack
 from tessera.llm.quality_rules import base_failed, fitted, measured, posterior
 from tessera.llm.secret_scan import linked, redacted, scanned, with_spans
@@ -44,15 +44,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 @stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of least doc_id stays. Rows without doc_id stay; repeated ids stay once."""
-    groups = stored(jaccard_components(docs), "groups")
-    name = free(docs, "_first")
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name))
-    kept = docs.join(first.distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_semi")
-    repeated = groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    if not repeated:
-        return kept
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    """Of each group of near copies one row stays: that of least doc_id (null last), then least hash of the text, then the first
+    read. Rows are told apart by where they are read, not by doc_id; so a text whose id another text has as well stays unless
+    it is a near copy, and rows without words all stay. An empty table gives no rows."""
+    file, at = free(docs, "_file"), free(docs, "_at")
+    rows = with_rows(docs, file, at)
+    plain = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(file).alias("file"), F.col(at).alias("at"))
+    found = stored(jaccard_rows(plain, ["doc_id", "file", "at"]), "groups")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk", "file", "at")
+    first = found.filter("component is not null").groupBy("component").agg(F.min(order).alias("row")).select("row.file", "row.at")
+    kept = first.unionByName(found.filter("component is null").select("file", "at")).select(F.col("file").alias(file), F.col("at").alias(at))
+    return rows.join(kept, [file, at], "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 @stage
