@@ -38,8 +38,8 @@ def secrets() -> str:
     mixed = " AND ".join(f"regexp_matches(m, '{x}')" for x in S.MIXED)
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') t FROM documents), f AS ({found}), s AS (SELECT *, st + length(m) en FROM f WHERE length(g) >= need AND (kind <> 'opaque' OR {mixed})),
-p AS (SELECT * FROM s WHERE NOT weak OR NOT EXISTS (SELECT 1 FROM s o WHERE o.doc_id = s.doc_id AND NOT o.weak AND o.st < s.en AND s.st < o.en)),
-l AS (SELECT w.doc_id, w.rk, w.st, w.part_role own, bool_or(c.part_role = 'identifier') i, bool_or(c.part_role = 'secret') s, bool_or(c.part_role = 'endpoint') e FROM p w JOIN p c ON c.doc_id = w.doc_id AND w.weak AND c.part_role <> w.part_role AND abs(c.st - w.st) <= {S.SCOPE} GROUP BY ALL),
+p AS (SELECT * FROM s WHERE NOT weak OR NOT EXISTS (SELECT 1 FROM s o WHERE o.doc_id = s.doc_id AND NOT o.weak AND o.st <= s.st AND s.en <= o.en)),
+l AS (SELECT w.doc_id, w.rk, w.st, w.part_role own, bool_or(c.part_role = 'identifier') i, bool_or(c.part_role = 'secret') s, bool_or(c.part_role = 'endpoint') e FROM p w JOIN p c ON c.doc_id = w.doc_id AND w.weak AND c.part_role <> w.part_role AND c.st <= w.en + {S.SCOPE} AND c.en >= w.st - {S.SCOPE} GROUP BY ALL),
 k AS (SELECT * FROM l WHERE CASE own WHEN 'identifier' THEN s WHEN 'secret' THEN i OR e ELSE i AND s END),
 a AS (SELECT p.*, kind || ':' || st || ':' || en txt, NOT weak OR EXISTS (SELECT 1 FROM k WHERE k.doc_id = p.doc_id AND k.rk = p.rk AND k.st = p.st) AS told FROM p),
 o AS (SELECT doc_id, {", ".join(f"count(*) FILTER (WHERE kind = '{x}') n_{x}" for x in S.STRONG)}, sha256(coalesce(string_agg(txt, ',' ORDER BY st, rk) FILTER (WHERE NOT weak), '')) base_sha256, coalesce(string_agg(txt, ',' ORDER BY st, rk) FILTER (WHERE told), '') spans FROM a GROUP BY doc_id)

@@ -59,11 +59,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 @stage
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every reported span is replaced; n_chars follows the text."""
-    scan = scanned(nested(docs))
-    met = stored(linked(scan.select("_key", "_strong", "_weak")), "linked")
-    scan = with_spans(scan, met)
-    hidden = scan.withColumn("text", redacted(F.col("text"), F.col("_spans"))).withColumn("changed", F.size("_spans") > 0)
+    """Every reported span is replaced; n_chars follows the text. Null and empty texts and texts without secrets stay as they are, so do
+    repeated rows, each with its own columns; an empty table gives no rows."""
+    scan = stored(scanned(nested(docs)).drop("text"), "scan")
+    scan = with_spans(scan, stored(linked(scan.select("_key", "_strong", "_weak")), "linked"))
+    hidden = scan.withColumn("text", redacted(F.col("row.text"), F.col("_spans"))).withColumn("changed", F.size("_spans") > 0)
 
     def column(c: str):
         if c == "text":
