@@ -1,14 +1,18 @@
 """Operator 4 [native]: weak supervision over quality rules.
 
-Each rule votes bad (-1) or good (1) or abstains (0). How often each vote goes with good and with bad texts is estimated without
-labels by expectation-maximisation, and a text's posterior probability of being good replaces an all-must-pass filter.
-All texts vote; the driver gets a count for each combination of votes, of which there are at most 2**len(RULES),
+Each rule looks at evidence of its own and votes bad (-1) or good (1), or abstains (0). How often good and bad texts get each
+vote is estimated without labels by expectation-maximisation from assumed accuracies (``ASSUMED``, worth ``WORTH`` texts in
+each round as well), and a text's posterior probability of being good replaces an all-must-pass filter: a vote against that
+texts get which all other rules call good weighs little and is outvoted. Texts that fail the base test are decided
+by it and do not take part in the estimate.
+
+All other texts vote; the driver gets a count for each combination of votes, of which there are at most 3**len(RULES),
 however many texts there are, and runs the iterations on those counts. The verdict is an expression again. Everything
 that touches rows is a DataFrame function.
 
 Defined results: a null or empty text has no words, fails the base test and is not kept; rows are independent, so repeated rows
-get equal results; an empty table gives no rows (the estimates then stay at their start); a row keeps its other columns,
-and columns of ``MEASURES`` that it has already are overwritten only in ``measured``'s own result; texts are whole.
+get equal results; an empty table gives no rows (the estimates are then the assumed ones); a row keeps its other columns,
+and a column ``_quality`` that it has already is overwritten only in ``measured``'s own result; texts are whole.
 Repeated windows are found by 64-bit hashes.
 """
 
@@ -51,7 +55,9 @@ def repeat_words(w: Column) -> Column:
     return F.when(F.size(w) < 4, F.lit(0)).otherwise(let(hashes, of))
 
 
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_shouts"]
+#: Signs that end a clause, before white space or the end; and words without a letter or digit.
+STOPS = r"[.?!:](?=[\x20\x09-\x0D]|\z)"
+BARE = r"(?<![^\x20\x09-\x0D])[^\p{L}\p{N}\x20\x09-\x0D]+(?![^\x20\x09-\x0D])"
 
 
 def measures(text: Column) -> Column:
@@ -61,31 +67,28 @@ def measures(text: Column) -> Column:
     by_lines = F.filter(F.split(t, "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     lines = let(by_lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
     of_words = let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"), repeat_words(w).cast("long").alias("n_repeat_words")))
-    parts = F.struct(of_words.alias("w"), lines.alias("l"), drop(t, "[#*$%&|<>]+").cast("long").alias("n_symbols"), drop(t, "\\p{Lu}+").cast("long").alias("n_upper"), drop(t, "!+").cast("long").alias("n_shouts"))
-    return let(parts, lambda p: F.struct(*(p["w"][c].alias(c) for c in ("n_words", "word_chars", "n_repeat_words")), *(p["l"][c].alias(c) for c in ("n_lines", "n_dup_lines")), *(p[c].alias(c) for c in ("n_symbols", "n_upper", "n_shouts"))))
-
-
-def _against(bad: Column) -> Column:
-    return F.when(bad, -1).otherwise(0)
+    signs = {"n_symbols": drop(t, "[#*$%&|<>]+"), "n_upper": drop(t, "\\p{Lu}+"), "n_shouts": drop(t, "!+"), "n_stops": F.regexp_count(t, F.lit(STOPS)), "n_bare": F.regexp_count(t, F.lit(BARE))}
+    parts = F.struct(of_words.alias("w"), lines.alias("l"), *(x.cast("long").alias(c) for c, x in signs.items()))
+    return let(parts, lambda p: F.struct(*(p["w"][c].alias(c) for c in ("n_words", "word_chars", "n_repeat_words")), *(p["l"][c].alias(c) for c in ("n_lines", "n_dup_lines")), *(p[c].alias(c) for c in signs)))
 
 
-def _plain(m) -> Column:
-    few = (100 * m("n_symbols") <= m("word_chars")) & (100 * m("n_shouts") <= m("word_chars")) & (100 * m("n_upper") <= 15 * m("word_chars"))
-    fresh = (100 * m("n_dup_lines") <= 10 * m("n_lines")) & (100 * m("n_repeat_words") <= 20 * m("n_words"))
-    return F.when(few & fresh & m("word_chars").between(3 * m("n_words"), 9 * m("n_words")), 1).otherwise(0)
+def _vote(bad: Column, good: Column) -> Column:
+    return F.when(bad, -1).when(good, 1).otherwise(0)
 
 
-#: name -> vote, from the measures by name. A text that is bad in one way is fine in the others, so a rule that finds
-#: nothing against a text abstains; only a text that is plain in all respects gets a vote for it.
+#: name -> vote, from the measures by name. Shares are of the characters in words, of words, or of lines.
 RULES = {
-    "symbols": lambda m: _against(100 * m("n_symbols") > 4 * m("word_chars")),
-    "capitals": lambda m: _against(100 * m("n_upper") > 35 * m("word_chars")),
-    "shouting": lambda m: _against(100 * m("n_shouts") > 5 * m("word_chars")),
-    "repeated_lines": lambda m: _against((m("n_dup_lines") >= 2) & (100 * m("n_dup_lines") > 30 * m("n_lines"))),
-    "repeated_words": lambda m: _against(100 * m("n_repeat_words") > 45 * m("n_words")),
-    "word_length": lambda m: _against((m("word_chars") > 12 * m("n_words")) | (m("word_chars") < 2 * m("n_words"))),
-    "plain": _plain,
+    "symbols": lambda m: _vote(100 * m("n_symbols") > 4 * m("word_chars"), 1000 * m("n_symbols") <= 2 * m("word_chars")),
+    "capitals": lambda m: _vote(100 * m("n_upper") > 30 * m("word_chars"), (1000 * m("n_upper")).between(3 * m("word_chars"), 80 * m("word_chars"))),
+    "shouting": lambda m: _vote(100 * m("n_shouts") > 4 * m("word_chars"), 200 * m("n_shouts") <= m("word_chars")),
+    "repeated_lines": lambda m: _vote((m("n_dup_lines") >= 2) & (100 * m("n_dup_lines") > 20 * m("n_lines")), (m("n_lines") >= 4) & (m("n_dup_lines") == 0)),
+    "repeated_words": lambda m: _vote(100 * m("n_repeat_words") > 20 * m("n_words"), 100 * m("n_repeat_words") <= 5 * m("n_words")),
+    "word_length": lambda m: _vote((m("word_chars") > 7 * m("n_words")) | (m("word_chars") < 3 * m("n_words")), (10 * m("word_chars")).between(40 * m("n_words"), 62 * m("n_words"))),
+    "sentences": lambda m: _vote((200 * m("n_stops") < m("n_words")) | (4 * m("n_stops") > m("n_words")), (40 * m("n_stops") >= m("n_words")) & (6 * m("n_stops") <= m("n_words"))),
+    "bare_signs": lambda m: _vote(100 * m("n_bare") > 8 * m("n_words"), 100 * m("n_bare") <= m("n_words")),
 }
+#: Assumed shares of the votes -1, 0 and 1 on good and on bad texts, how many texts they count for, and the assumed share of good texts.
+ASSUMED, WORTH, GOOD = {True: (0.05, 0.35, 0.6), False: (0.4, 0.3, 0.3)}, 2, 0.85
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -97,31 +100,28 @@ def votes(m: Column) -> list[Column]:
     return [rule(lambda c: m[c]).cast("int").alias(name) for name, rule in RULES.items()]
 
 
-def estimate(counts: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[float, list[dict[int, float]]]:
-    """(log odds of good, per rule the log-likelihood ratio of each vote) by expectation-maximisation on vote counts.
-
-    An abstention says nothing. A vote against never speaks for a text, nor the other way round.
-    """
+def estimate(counts: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> tuple[float, list[dict[int, float]]]:
+    """(log odds of good, per rule the log-likelihood ratio of each vote) by expectation-maximisation on vote counts."""
     total = sum(n for _, n in counts)
-    if not total:
-        return math.log(9), [{-1: -3.0, 0: 0.0, 1: 3.0} for _ in RULES]
-    good = {v: 0.05 if min(v) < 0 else 0.95 for v, _ in counts}
-    prior, ratios = 0.0, [{-1: 0.0, 0: 0.0, 1: 0.0} for _ in RULES]
-    for _ in range(rounds):
+    prior = math.log(GOOD / (1 - GOOD))
+    ratios = [{v: math.log(ASSUMED[True][v + 1] / ASSUMED[False][v + 1]) for v in (-1, 0, 1)} for _ in RULES]
+    for _ in range(rounds if total else 0):
+        logits = {v: max(-500.0, min(500.0, prior + sum(ratios[r][x] for r, x in enumerate(v)))) for v, _ in counts}
+        good = {v: 1 / (1 + math.exp(-x)) for v, x in logits.items()}
         n_good = sum(n * good[v] for v, n in counts)
         prior = math.log((n_good + 1) / (total - n_good + 1))
         for r, ratio in enumerate(ratios):
-            for vote, sign in ((-1, min), (1, max)):
+            for vote in (-1, 0, 1):
                 a = sum(n * good[v] for v, n in counts if v[r] == vote)
                 b = sum(n * (1 - good[v]) for v, n in counts if v[r] == vote)
-                ratio[vote] = sign(0.0, math.log((a + 0.1) / (n_good + 1)) - math.log((b + 0.1) / (total - n_good + 1)))
-        good = {v: 1 / (1 + math.exp(-max(-500.0, min(500.0, prior + sum(ratios[r][x] for r, x in enumerate(v)))))) for v in good}
+                a, b = a + WORTH * ASSUMED[True][vote + 1], b + WORTH * ASSUMED[False][vote + 1]
+                ratio[vote] = math.log(a / (n_good + WORTH)) - math.log(b / (total - n_good + WORTH))
     return prior, ratios
 
 
 def fitted(docs_measured: DataFrame) -> tuple[float, list[dict[int, float]]]:
-    names = list(RULES)
-    rows = docs_measured.select(*votes(F.col("_quality"))).groupBy(*names).count().collect()  # at most 2**len(RULES) rows
+    names, m = list(RULES), F.col("_quality")
+    rows = docs_measured.filter(~base_failed(m)).select(*votes(m)).groupBy(*names).count().collect()  # at most 3**len(RULES) rows
     return estimate(sorted((tuple(r[c] for c in names), r["count"]) for r in rows))
 
 
