@@ -1,32 +1,48 @@
 """Operator 5: BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling (gear) hash over the UTF-8 bytes picks cuts by content, so equal passages get equal chunks wherever they stand.
-Each chunk that a task meets again, in whatever document, is taken from a bounded memory instead of being encoded.
-The cuts may fall inside words. A join of two chunks is repaired by re-encoding the text around it, widened to the next
-white space on both sides: white space parts units for good (see ``tokens``), so beyond it both encodings agree exactly.
-A chunk without white space is all join. Texts with characters outside the fast path go to the library whole.
+Chunks are named by digest, and a Spark join on digests finds those that occur more than once in all texts. Each such chunk is
+encoded once, where it comes first, and its ids travel to its other places; chunks that occur once are encoded where
+they are.
+
+What is encoded of a chunk is its core, from its first to its last whole unit between white space, which does not depend on
+what stands around the chunk. Between two cores lies a join: the text's own units there are cut by the chunks. A join is
+repaired by re-encoding it with the library together with the last unit of the core before and the first unit of the core
+after it: where the ids of both are those that the cores have for them, both encodings agree and the ids between them are
+put in. Where they don't, the window gets twice as many units of the cores, until it agrees or is the whole text. A chunk
+without a whole unit is part of a join.
+
+Steps: (1) cut, digest and store (digest, row, place); (2) join the digests' counts and first places back, by row; (3) read
+the texts again with their rows' marks, encode, repair; texts without chunks from elsewhere are done there; (4) join
+the others' references with the chunks' ids, and put them together in order, a text at a time.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; rows are independent, so repeated rows and
-ties give equal results; an empty table gives no rows; other columns are not read.
+ties give equal results, null and repeated doc_ids a row each; an empty table gives no rows; other columns are not read.
+Equal 128-bit digests are taken as equal chunks.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
-from tessera.llm.tokens import ODD, UnitEncoder, unit_encoder
+from tessera.llm.common import dealt_join, stored, table, with_rows
+from tessera.llm.tokens import UnitEncoder, unit_encoder
 
 #: Cuts fall about every 2**CHUNK_BITS bytes.
 CHUNK_BITS, WINDOW_BITS = 10, 16
+#: Texts that a task encodes at once.
+BATCH = 512
 
 
+@functools.cache
 def gear(seed: int = 5) -> np.ndarray:
     x = np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
@@ -54,85 +70,137 @@ def cuts(data: bytes, bits: int = CHUNK_BITS) -> list[int]:
     return [*at.tolist(), len(data)]
 
 
-class ChunkEncoder:
-    """Encodes by chunks. ``room`` bounds the bytes of ids and text that are remembered for reuse."""
-
-    def __init__(self, path: str, room: int = 48_000_000):
-        self.units = unit_encoder(path)
-        self.seen: dict[bytes, tuple[str, bytes | None, str]] = {}
-        self.room = room
-        self.reused = self.encoded = 0
-
-    def parts(self, texts: list[str]) -> list[list[bytes] | None]:
-        out: list[list[bytes] | None] = []
-        for t in texts:
-            if ODD.search(t):
-                out.append(None)
-            else:
-                data, at = t.encode(), 0
-                mine = []
-                for end in cuts(data):
-                    mine.append(data[at:end])
-                    at = end
-                out.append(mine)
-        return out
+def core(chunk: bytes) -> tuple[int, int] | None:
+    """Where the whole units of a chunk begin and end, by the chunk alone; None if it has none."""
+    head = 0 if chunk[0] <= 32 and chunk[:1].isspace() else len(chunk.split(None, 1)[0])
+    rest = chunk[head:]
+    inner = rest.rstrip() if rest[-1:].isspace() else rest[: len(rest) - len(rest.rsplit(None, 1)[-1])].rstrip() if rest else b""
+    start = len(inner) - len(inner.lstrip())
+    return (head + start, head + len(inner)) if inner and start < len(inner) else None
+
+
+def cores(data: bytes) -> list[tuple[int, int, int]]:
+    """(chunk's place among the text's chunks, begin and end of its core) of each chunk with a core."""
+    out, at = [], 0
+    for k, end in enumerate(cuts(data)):
+        c = core(data[at:end])
+        if c:
+            out.append((k, at + c[0], at + c[1]))
+        at = end
+    return out
+
+
+def name(chunk_core: bytes) -> bytes:
+    return hashlib.blake2b(chunk_core, digest_size=16).digest()
+
+
+@dataclass
+class Join:
+    """The text between two cores, given by their ends: ``low`` of the one before (-1: none), ``high`` of the one after."""
+
+    text: int
+    low: tuple[int, int] | None
+    high: tuple[int, int] | None
+    units: int = 1  # units of each core in the window
+    cut: tuple[int, int] = (0, 0)  # ids of the cores, before and after, that the join has instead
+    ids: bytes = b""
+    agreed: tuple[bytes, bytes] = (b"", b"")  # ids of the units on which both agree
+
+
+class Encoder:
+    """Encodes texts by cores and joins."""
+
+    def __init__(self, units: UnitEncoder):
+        self.units = units
+
+    def repaired(self, data: list[bytes], joins: list[Join]) -> set[int]:
+        """Fills the joins in; gives the texts whose window is the whole text before it agrees."""
+        whole: set[int] = set()
+        todo = joins
+        while todo:
+            windows, edges = [], []
+            for j in todo:
+                d = data[j.text]
+                low, high = d[slice(*j.low)] if j.low else b"", d[slice(*j.high)] if j.high else b""
+                b, a = low.rsplit(None, j.units), high.split(None, j.units)
+                before, after = b[-j.units :], a[: j.units]
+                # what of the cores lies beyond the window; the units that must agree are its outermost
+                start = (j.low[0] + (len(low) - len(low[len(b[0]) :].lstrip()) if len(b) > j.units else 0)) if j.low else 0
+                end = j.high[1] - (len(a[-1]) if len(a) > j.units else 0) if j.high else len(d)
+                windows.append(d[start:end].decode())
+                edges.append((before, after))
+            found = self.units.library(windows)
+            each = [u.decode() for b, a in edges for u in (*b, *a)]
+            own = iter(self.units.encode(each))
+            again = []
+            for j, ids, (before, after) in zip(todo, found, edges, strict=True):
+                b, a = [next(own) for _ in before], [next(own) for _ in after]
+                left, right = b[0] if b else b"", a[-1] if a else b""
+                if ids.startswith(left) and ids.endswith(right) and len(ids) >= len(left) + len(right):
+                    j.cut = (sum(map(len, b[1:])) // 2, sum(map(len, a[:-1])) // 2)
+                    j.ids, j.agreed = ids[len(left) : len(ids) - len(right)], (left, right)
+                elif (not j.low or len(before) < j.units) and (not j.high or len(after) < j.units):
+                    whole.add(j.text)
+                else:
+                    j.units *= 2
+                    again.append(j)
+            todo = again
+        return whole
+
+    def pieces(self, texts: list[str], elsewhere: list[dict[int, bool]]) -> tuple[list[list], dict[bytes, bytes]]:
+        """(per text its pieces in order, ids by name of the chunks that come first here).
+
+        A piece is ids, or (name, ids to drop in front, and at the end, ids that must then come first, and last) of a chunk that
+        is encoded elsewhere. ``elsewhere`` has, by a repeated chunk's place in its text, whether it comes first here.
+        """
+        data = [t.encode() for t in texts]
+        split = [cores(d) for d in data]
+        joins = [Join(i, here[n - 1][1:] if n else None, here[n][1:] if n < len(here) else None) for i, here in enumerate(split) for n in range(len(here) + 1)]
+        whole = self.repaired(data, joins)
+        for j, after in zip(joins, joins[1:], strict=False):  # windows that meet within a core leave nothing of it
+            if j.high and j.units + after.units > 2 and j.units + after.units > len(data[j.text][slice(*j.high)].split()) + 1:
+                whole.add(j.text)
+        own = [(i, n) for i, here in enumerate(split) for n, (k, _, _) in enumerate(here) if i in whole or elsewhere[i].get(k, True)]
+        ids = dict(zip(own, self.units.encode([data[i][slice(*split[i][n][1:])].decode() for i, n in own]), strict=True))
+        first = {name(data[i][slice(*split[i][n][1:])]): ids[i, n] for i, n in own if elsewhere[i].get(split[i][n][0])}
+        out: list[list] = [[] for _ in texts]
+        at = iter(joins)
+        for i, here in enumerate(split):
+            mine = [next(at) for _ in range(len(here) + 1)]
+            if i in whole:
+                out[i] = self.units.library([texts[i]])
+                continue
+            run = [mine[0].ids]
+            for n, (_, a, b) in enumerate(here):
+                front, back = mine[n].cut[1], mine[n + 1].cut[0]
+                agreed = (mine[n].agreed[1], mine[n + 1].agreed[0])
+                if (i, n) in ids:
+                    run.append(put_together([(ids[i, n], front, back, *agreed)]))
+                else:
+                    out[i] += [b"".join(run), (name(data[i][a:b]), front, back, *agreed)]
+                    run = []
+                run.append(mine[n + 1].ids)
+            out[i].append(b"".join(run))
+        return out, first
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = self.parts(texts)
-        new = {c for p in split if p for c in p if c not in self.seen}
-        self.encoded += len(new)
-        self.reused += sum(map(len, filter(None, split))) - len(new)
-        heads: dict[bytes, tuple[str, str | None, str]] = {}
-        for c in new:
-            text = c.decode()
-            inner = text.split(maxsplit=1) if text[0] > " " else ["", text]
-            if len(inner) < 2 and text[-1] > " ":  # no white space at all
-                heads[c] = (text, None, "")
-                continue
-            head, rest = (inner[0], inner[1]) if len(inner) == 2 else (inner[0] if inner else "", "")
-            tail = "" if text[-1] <= " " else rest.rsplit(maxsplit=1)[-1] if rest else ""
-            heads[c] = (head, rest[: len(rest) - len(tail)], tail)
-        bodies = [b for _, b, _ in heads.values() if b is not None]
-        ids = iter(self.units.encode(bodies))
-        found = {c: (head, None if b is None else next(ids), tail) for c, (head, b, tail) in heads.items()}
-        for c, v in found.items():
-            cost = len(c) + len(v[1] or b"") + 300
-            if cost <= self.room:
-                self.room -= cost
-                self.seen[c] = v
-        joins: list[str] = []
-        plan: list[list | None] = []
-        for p in split:
-            if p is None:
-                plan.append(None)
-                continue
-            mine, left = [], ""
-            for c in p:
-                head, body, tail = found.get(c) or self.seen[c]
-                if body is None:
-                    left += head
-                    continue
-                if left or head:
-                    mine.append(len(joins))
-                    joins.append(left + head)
-                mine.append(body)
-                left = tail
-            if left:
-                mine.append(len(joins))
-                joins.append(left)
-            plan.append(mine)
-        fixed = self.units.encode(joins)
-        return [self.units.library([t])[0] if p is None else b"".join(x if isinstance(x, bytes) else fixed[x] for x in p) for t, p in zip(texts, plan, strict=True)]
-
-
-_OPEN: dict[str, ChunkEncoder] = {}
-
-
-def chunk_encoder(path: str) -> ChunkEncoder:
-    """The chunk encoder of this process; see ``unit_encoder``."""
-    if path not in _OPEN:
-        _OPEN[path] = ChunkEncoder(path)
-    return _OPEN[path]
+        """Of texts alone, without chunks from elsewhere."""
+        return [b"".join(p) for p in self.pieces(texts, [{}] * len(texts))[0]]
+
+
+def put_together(pieces: list) -> bytes:
+    """Ids of a text from its pieces, with the chunks' ids in place of their names."""
+    out = []
+    for p in pieces:
+        if isinstance(p, tuple):
+            ids, front, back, first, last = p
+            ids = ids[2 * front : len(ids) - 2 * back]
+            if not ids.startswith(first) or not ids.endswith(last):
+                raise ValueError("a chunk's ids do not agree with its joins")
+            out.append(ids)
+        else:
+            out.append(p)
+    return b"".join(out)
 
 
 class Decoder:
@@ -153,19 +221,119 @@ class Decoder:
         return " ".join(self.decimal[ids].tolist())
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids (array<int>): the ids of each text."""
+def chunk_places(rows: DataFrame) -> DataFrame:
+    """(d, _file, _at, k) of each chunk with a core."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = chunk_encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                ids = [np.frombuffer(x, dtype="<u2") for x in encoder.encode([t or "" for t in some.column("text").to_pylist()])]
-                flat = pa.ListArray.from_arrays(np.cumsum([0, *map(len, ids)]).astype(np.int32), pa.array(np.concatenate([*ids, np.empty(0, "<u2")]).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), flat], ["doc_id", "ids"])
+            names, owner, places = [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                d = (text or "").encode()
+                for k, a, b in cores(d):
+                    names.append(name(d[a:b]))
+                    owner.append(i)
+                    places.append(k)
+            at = pa.array(owner, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), batch.column("_file").take(at), batch.column("_at").take(at), pa.array(places, pa.int32())], ["d", "_file", "_at", "k"])
+
+    return rows.select("text", "_file", "_at").mapInArrow(run, "d binary, _file long, _at long, k int")
+
+
+Finish = Callable[[list[bytes]], list[pa.Array]]
+PIECES = "_file long, _at long, doc_id long, pos int, d binary, ids binary, front int, back int, first binary, last binary"
+
+
+def coded(docs: DataFrame, path: str, finish: Callable[[], Finish], schema: str) -> DataFrame:
+    """doc_id and the columns of ``schema``, which ``finish()`` of a task makes of its texts' ids."""
+    rows = with_rows(docs.select(F.col("doc_id").cast("long"), "text"))
+    places = stored(chunk_places(rows), "chunk-places")
+    place = F.struct("_file", "_at", "k")
+    repeated = stored(places.groupBy("d").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1"), "repeated")
+    marked = dealt_join(places, repeated, "d", count="n").select("_file", "_at", F.struct("k", (F.col("first") == place).alias("first")).alias("mark"))
+    marks = marked.groupBy("_file", "_at").agg(F.collect_list("mark").alias("marks"))
+    empty = [pa.nulls(0, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary())]
+    names = [x.split()[0] for x in PIECES.split(", ")]
+    done_names = [x.split()[0] for x in schema.split(", ")]
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, made = Encoder(unit_encoder(path)), finish()
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(at, BATCH)
+                elsewhere = [{m["k"]: m["first"] for m in x or ()} for x in batch.column("marks").to_pylist()]
+                pieces, first = encoder.pieces([t or "" for t in batch.column("text").to_pylist()], elsewhere)
+                done = [i for i, p in enumerate(pieces) if not any(isinstance(x, tuple) for x in p)]
+                left = [(i, pos, x) for i, p in enumerate(pieces) if any(isinstance(y, tuple) for y in p) for pos, x in enumerate(p) if x]
+                named = [x if isinstance(x, tuple) else (None, None, None, None, None) for _, _, x in left]
+                owner = pa.array([i for i, _, _ in left], pa.int64())
+                none = lambda n, t: pa.nulls(n, t)
+                kinds = [e.type for e in empty]
+                of_left = [
+                    *(batch.column(c).take(owner) for c in ("_file", "_at", "doc_id")),
+                    pa.array([pos for _, pos, _ in left], pa.int32()),
+                    pa.array([x[0] for x in named], pa.binary()),
+                    pa.array([x if isinstance(x, bytes) else None for _, _, x in left], pa.binary()),
+                    *(pa.array([x[c] for x in named], t) for c, t in zip(range(1, 5), kinds[6:], strict=True)),
+                ]
+                of_done = made([b"".join(pieces[i]) for i in done])
+                of_chunks = [pa.array(list(first), pa.binary()), pa.array(list(first.values()), pa.binary())]
+                doc_ids = batch.column("doc_id").take(pa.array(done, pa.int64()))
+                sizes = (len(done), len(left), len(first))
+                kind = pa.array([0] * sizes[0] + [1] * sizes[1] + [2] * sizes[2], pa.int8())
+                cols = []
+                for c, t in zip(names, kinds, strict=True):
+                    parts = [doc_ids if c == "doc_id" else none(sizes[0], t), of_left[names.index(c)], of_chunks[("d", "ids").index(c)] if c in ("d", "ids") else none(sizes[2], t)]
+                    cols.append(pa.concat_arrays(parts))
+                for x in of_done:
+                    cols.append(pa.concat_arrays([x, none(sizes[1] + sizes[2], x.type)]))
+                yield pa.RecordBatch.from_arrays([kind, *cols], ["kind", *names, *done_names])
+
+    texts = rows.join(marks, ["_file", "_at"], "left")
+    out = stored(texts.select("doc_id", "text", "_file", "_at", "marks").mapInArrow(run, f"kind byte, {PIECES}, {schema}"), "coded")
+    done = out.filter("kind = 0").select("doc_id", *done_names)
+
+    chunks = out.filter("kind = 2").select("d", F.col("ids").alias("_ids"))
+    left = out.filter("kind = 1").select(*names)
+    joined = dealt_join(left.filter("d is not null").drop("ids"), chunks, "d").withColumnRenamed("_ids", "ids").select(*names)
+    pieces = left.filter("d is null").unionByName(joined)
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, now, doc, held, ready = finish(), None, None, [], []
+
+        def given():
+            ids, docs_of = [put_together(p) for _, p in ready], [d for d, _ in ready]
+            return pa.RecordBatch.from_arrays([pa.array(docs_of, pa.int64()), *made(ids)], ["doc_id", *done_names])
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if row[:2] != now:
+                    if held:
+                        ready.append((doc, held))
+                    now, doc, held = row[:2], row[2], []
+                _, _, _, _, d, ids, front, back, first, last = row
+                held.append(ids if d is None else (ids, front, back, first, last))
+            if len(ready) >= BATCH:
+                yield given()
+                ready = []
+        if held:
+            ready.append((doc, held))
+        yield given()
+
+    rest = pieces.repartition("_file", "_at").sortWithinPartitions("_file", "_at", "pos").mapInArrow(assemble, f"doc_id long, {schema}")
+    return done.unionByName(rest)
+
+
+def encode(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids (array<int>): the ids of each text."""
+
+    def finish() -> Finish:
+        def of(texts: list[bytes]) -> list[pa.Array]:
+            ids = [np.frombuffer(x, dtype="<u2") for x in texts]
+            return [pa.ListArray.from_arrays(np.cumsum([0, *map(len, ids)]).astype(np.int32), pa.array(np.concatenate([*ids, np.empty(0, "<u2")]).astype(np.int32)))]
+
+        return of
+
+    return coded(docs, path, finish, "encoded array<int>").withColumnRenamed("encoded", "ids")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -184,23 +352,19 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: ``encode`` and ``decode`` in one pass, so that ids stay in the task."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each text: its ids are encoded, and decoded from the ids, in one task."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = chunk_encoder(path)
-        decoder = Decoder(encoder.units)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                n, a, b = [], [], []
-                for x in encoder.encode([t or "" for t in some.column("text").to_pylist()]):
-                    ids = np.frombuffer(x, dtype="<u2")
-                    n.append(len(ids))
-                    a.append(hashlib.sha256(decoder.digits(ids).encode()).hexdigest())
-                    b.append(hashlib.sha256(decoder.text(ids).encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def finish() -> Finish:
+        decoder = Decoder(unit_encoder(path))
+
+        def of(texts: list[bytes]) -> list[pa.Array]:
+            ids = [np.frombuffer(x, dtype="<u2") for x in texts]
+            sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+            return [pa.array([len(x) for x in ids], pa.int64()), pa.array([sha(decoder.digits(x)) for x in ids], pa.string()), pa.array([sha(decoder.text(x)) for x in ids], pa.string())]
+
+        return of
+
+    return coded(docs, path, finish, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

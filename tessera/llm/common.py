@@ -119,9 +119,8 @@ def trim() -> None:
 
 def fresh() -> None:
     """For the start of a task in a Python worker: drops what tasks of another kind, the encoders, have remembered."""
-    for name in ("tessera.llm.tokens", "tessera.llm.chunked_bpe"):
-        if name in sys.modules:
-            sys.modules[name]._OPEN.clear()
+    if "tessera.llm.tokens" in sys.modules:
+        sys.modules["tessera.llm.tokens"]._OPEN.clear()
     gc.enable()
     trim()
 

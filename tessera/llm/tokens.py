@@ -1,9 +1,9 @@
 """Exact, reuse-heavy encoding with a public word-level BPE file.
 
-A text is lower-cased and split at ASCII white space into units. On characters on which Python's and the library's Unicode
-rules agree (``ODD`` finds the others, and control strings) white space separates units for good: neither
-normalisation nor pre-tokenisation nor merges reach across it. So the ids of a text are the ids of its units in a row, and
-equal units are encoded once. A text with an odd unit goes to the library as a whole.
+A text is split at ASCII white space into units, which separates them for good: neither normalisation nor pre-tokenisation
+nor merges reach across it, and control strings hold none. So the ids of a text are the ids of its units in a row, and equal
+units are encoded once. On characters on which Python's and the library's Unicode rules agree, units are lower-cased,
+split and merged here, many at once; units with others (``ODD`` finds them, and control strings) go to the library.
 """
 
 from __future__ import annotations
@@ -28,9 +28,13 @@ STRANGE = b"?"
 
 
 class UnitEncoder:
-    """Ids of texts as little-endian uint16 bytes. ``limit`` bounds the remembered units."""
+    """Ids of texts as little-endian uint16 bytes.
 
-    def __init__(self, path: str, limit: int = 600_000):
+    Units are remembered in two generations of ``limit`` each: when the young one is full it becomes the old one, and what is
+    met again moves back; so memory is bounded, and rare units go, however much is encoded.
+    """
+
+    def __init__(self, path: str, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -41,7 +45,7 @@ class UnitEncoder:
         if size > 1 << 16:
             raise ValueError(f"{size} ids do not fit in 16 bits")
         self.merges = Merges(self.tokenizer)
-        self.limit, self.known, self.odd = limit, {}, False
+        self.limit, self.known, self.old, self.odd = limit, {}, {}, False
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u2").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -53,21 +57,28 @@ class UnitEncoder:
         return out
 
     def _remember(self, found: dict) -> None:
-        if len(self.known) + len(found) <= self.limit:
-            self.known.update(found)
+        self.known.update(found)
+        if len(self.known) > self.limit:
+            self.old, self.known = self.known, {}
+
+    def _recalled(self, keys) -> dict[bytes, bytes]:
+        known, old = self.known, self.old
+        return {k: v for k in keys if (v := known.get(k) or old.get(k)) is not None}
 
     def _units(self, units: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of new units, by their pieces; ``STRANGE`` for odd ones."""
+        """Ids of units that are not among the young, by their pieces; ``STRANGE`` for odd ones."""
+        found = self._recalled(units)
+        units = units.difference(found)
         whole = [u for u in units if u.isalpha()]  # ASCII letters alone: one piece
-        found = dict(zip(whole, self._merged(whole), strict=True))
+        found.update(zip(whole, self._merged(whole), strict=True))
         split = {}
         for u in units.difference(whole):
             t = u.decode()
             split[u] = None if ODD.search(t) else [x.encode() for x in PIECE.findall(t)]
-        new = {x for p in split.values() if p for x in p}
-        new = [x for x in new if x not in found and x not in self.known]
-        now = dict(zip(new, self._merged(new), strict=True))
-        known = {**{x: self.known[x] for p in split.values() if p for x in p if x in self.known}, **found, **now}
+        pieces = {x for p in split.values() if p for x in p}
+        known = {**self._recalled(pieces), **found}
+        new = [x for x in pieces if x not in known]
+        known.update(zip(new, self._merged(new), strict=True))
         for u, p in split.items():
             if p is None:
                 found[u], self.odd = STRANGE, True
@@ -76,6 +87,15 @@ class UnitEncoder:
         self._remember(found)
         return found
 
+    def _odd_units(self, units: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of units as they are written, by the library; remembered with a byte in front that no text has."""
+        keys = {b"\xff" + u for u in units}
+        found = self._recalled(keys)
+        new = [k for k in keys if k not in found]
+        found.update(zip(new, self.library([k[1:].decode() for k in new]), strict=True))
+        self._remember(found)
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
         get = self.known.get
         units = [t.lower().encode().split() for t in texts]
@@ -91,8 +111,12 @@ class UnitEncoder:
         new = self._units({u for _, _, u in gaps})
         for i, k, u in gaps:
             out[i][k] = new[u]
-        odd = self.odd and any(STRANGE in p for p in out)
-        return [self.library([t])[0] if odd and STRANGE in p else b"".join(p) for p, t in zip(out, texts, strict=True)]
+        if self.odd:
+            strange = [(i, texts[i].encode().split()) for i, p in enumerate(out) if STRANGE in p]
+            ids = self._odd_units({u for i, written in strange for u, x in zip(written, out[i], strict=True) if x == STRANGE})
+            for i, written in strange:
+                out[i] = [ids[b"\xff" + u] if x == STRANGE else x for u, x in zip(written, out[i], strict=True)]
+        return [b"".join(p) for p in out]
 
 
 _OPEN: dict[str, UnitEncoder] = {}

@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tessera.llm.chunked_bpe import ChunkEncoder, Decoder, cuts, decode, digests, encode
+from tessera.llm.chunked_bpe import Decoder, Encoder, core, cores, cuts, decode, digests, encode, op5_bpe
 from tessera.llm.packing import directions, hilbert, mean_direction, pack
 from tessera.llm.tokens import ODD as ODD_CHARS
 from tessera.llm.tokens import UnitEncoder
@@ -33,15 +33,53 @@ def texts(seed=1):
 def test_encoders_equal_the_library(library):
     some = texts()
     want = [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
-    units, chunks = UnitEncoder(PATH, limit=50), ChunkEncoder(PATH)
-    for e in (units, chunks):
+    units = UnitEncoder(PATH, limit=50)
+    for e in (units, Encoder(units)):
         for _ in range(2):
             assert [np.frombuffer(x, "<u2").tolist() for x in e.encode(some)] == want
-    assert chunks.reused > chunks.encoded
+    assert len(units.known) <= 50 + max(len(t.split()) for t in some)
     d = Decoder(units)
     assert [d.text(np.array(x, dtype=int)) for x in want[:100]] == [library.decode(x, skip_special_tokens=False) for x in want[:100]]
 
 
+def multilingual(seed=3):
+    """Texts that are mostly outside the fast path, long enough for several chunks."""
+    r = random.Random(seed)
+    kinds = ["абвгдежзийклмнопрстуфхцчшщъыьэюя АБВГД", "αβγδεζηθικλμνξοπρσςτυφχψωΣ άέ", "的一是不了人我在有他这为之大来以个中上们 。，", "हिन्दी में लिखा गया है ", "العربية نص قصير هنا ", "ไทยภาษาไทย ", "한국어 문장 입니다 ", "e\u0301 a\u0308 İstanbul ıI ß ﬁ Å \u3000 \x85 \u2028 ", "\U0001f600\U0001f468\u200d\U0001f469 ok "]
+    return ["".join(r.choice(k) if r.random() < 0.95 else r.choice(" \n\t") for _ in range(r.randrange(200, 6000))) for k in kinds for _ in range(4)]
+
+
+def test_odd_characters_take_the_same_way(library):
+    some = multilingual()
+    units = UnitEncoder(PATH)
+    want = [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u2").tolist() for x in Encoder(units).encode(some)] == want
+    assert sum(len(cores(t.encode())) > 1 for t in some) > 10
+
+
+def test_cores_do_not_depend_on_what_is_around():
+    assert core(b"abc") is None and core(b" abc") is None and core(b"ab cd") is None and core(b"  \n") is None
+    assert core(b"ab cd ef") == (3, 5) and core(b" cd ") == (1, 3) and core(b"x cd\n") == (2, 4) and core(b" cd ef gh") == (1, 6)
+
+
+def test_joins_widen_until_both_encodings_agree():
+    """With a library that goes wrong on windows of few units, the windows must grow."""
+
+    class Library:
+        def encode(self, texts):
+            return [np.array([x for u in t.split() for x in range(len(u))], "<u2").tobytes() for t in texts]
+
+        def library(self, texts):
+            return [x if len(t.split()) >= 7 else bytes(b ^ 255 for b in x) for t, x in zip(texts, self.encode(texts), strict=True)]
+
+    e = Encoder(Library())
+    r = random.Random(4)
+    for _ in range(20):
+        t = " ".join(r.choice(["aa", "bbb", "xc", "xdd", "longer", "x"]) for _ in range(3000))
+        assert len(cores(t.encode())) > 3
+        assert e.encode([t]) == Library().library([t])
+
+
 def test_fast_path_agrees_on_every_character_it_takes(library):
     e = UnitEncoder(PATH)
     some = [t for c in map(chr, range(0x20, 0x2100)) if not ODD_CHARS.search(c) for t in (f"a{c}b 1{c}{c}", f"{c}'s 'S{c} x {c} y")]
@@ -57,16 +95,44 @@ def test_cuts_follow_content():
 
 
 def test_queries_round_trip(spark, documents, library):
-    some = texts(5)[:200]
-    df = documents(some)
-    ids = {r.doc_id: r.ids for r in encode(df, PATH).collect()}
-    assert ids == {i: library.encode(t, add_special_tokens=False).ids for i, t in enumerate(some)}
-    back = {r.doc_id: r.text for r in decode(encode(df, PATH), PATH).collect()}
-    assert back == {i: library.decode(x, skip_special_tokens=False) for i, x in ids.items()}
-    assert {r.doc_id: r.n_tokens for r in digests(df, PATH).collect()} == {i: len(x) for i, x in ids.items()}
+    r = random.Random(5)
+    passage = " ".join(f"Shared{r.randrange(999)} passage" for _ in range(400))
+    some = [*texts(5)[:150], *multilingual()[::3], *(f"{r.random()} words before {passage} and after {r.random()}" for _ in range(12)), passage, passage, passage * 3]
+    df = documents(some, [(None, passage, "en", "s", 1), (3, "repeated id", "en", "s", 1)])
+    ids = sorted(((x.doc_id, x.ids) for x in encode(df, PATH).collect()), key=repr)
+    given = [*enumerate(some), (None, passage), (3, "repeated id")]
+    assert ids == sorted(((i, library.encode(t or "", add_special_tokens=False).ids) for i, t in given), key=repr)
+    back = sorted(((x.doc_id, x.text) for x in decode(encode(df, PATH), PATH).collect()), key=repr)
+    assert back == sorted(((i, library.decode(x, skip_special_tokens=False)) for i, x in ids), key=repr)
     assert digests(documents([]), PATH).collect() == []
 
 
+def test_whole_query_equals_the_library(spark, library):
+    import hashlib
+
+    import pyarrow.parquet as pq
+
+    sf = "/root/testdata/sf0.001"
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = {x.doc_id: (x.n_tokens, x.ids_sha256, x.decoded_sha256) for x in op5_bpe(spark, sf).collect()}
+    want = {}
+    for d in pq.read_table(f"{sf}/documents.parquet").to_pylist():
+        ids = library.encode(d["text"] or "", add_special_tokens=False).ids
+        want[d["doc_id"]] = (len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))
+    assert got == want
+
+
+def test_repeated_chunks_are_encoded_once(spark, documents):
+    from tessera.llm.chunked_bpe import chunk_places
+    from tessera.llm.common import with_rows
+
+    r = random.Random(6)
+    passage = " ".join(f"w{r.randrange(10**5)}" for _ in range(2000))
+    df = documents([f"{i} x {passage} y {i}" for i in range(20)])
+    places = chunk_places(with_rows(df))
+    assert places.count() > 19 * places.select("d").distinct().count() * 0.7
+
+
 def test_hilbert_neighbours_are_adjacent():
     import itertools
 
