@@ -1,9 +1,9 @@
 """Operator 5: BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling (gear) hash over the UTF-8 bytes picks cuts by content, so equal passages get equal chunks wherever they stand.
-Chunks are named by digest, and a Spark join on digests finds those that occur more than once in all texts. Each such chunk is
-encoded once, where it comes first, and its ids travel to its other places; chunks that occur once are encoded where
-they are.
+Chunks are named by digest, and counts of the digests over all texts tell those that occur more than once. Each such chunk is
+encoded once, wherever it occurs, and a Spark join on digests brings its ids to all its places; chunks that occur once
+are encoded where they are.
 
 What is encoded of a chunk is its core, from its first to its last whole unit between white space, which does not depend on
 what stands around the chunk. Between two cores lies a join: the text's own units there are cut by the chunks. A join is
@@ -12,9 +12,10 @@ after it: where the ids of both are those that the cores have for them, both enc
 put in. Where they don't, the window gets twice as many units of the cores, until it agrees or is the whole text. A chunk
 without a whole unit is part of a join.
 
-Steps: (1) cut, digest and store (digest, row, place); (2) join the digests' counts and first places back, by row; (3) read
-the texts again with their rows' marks, encode, repair; texts without chunks from elsewhere are done there; (4) join
-the others' references with the chunks' ids, and put them together in order, a text at a time.
+Steps: (1) cut and count the digests; a bit filter, sized by the text up to 16 MB, holds the repeated ones; (2) read the
+texts again and repair the joins; chunks outside the filter are encoded there, and texts of such chunks alone are done;
+(3) the others, by digest: keep one of each, encode it; (4) join the references with the ids, and put texts together in
+order. Where the filter is full, more chunks take the longer way, and none is lost. Texts don't travel, only repeated chunks do.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; rows are independent, so repeated rows and
 ties give equal results, null and repeated doc_ids a row each; an empty table gives no rows; other columns are not read.
@@ -33,13 +34,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import dealt_join, stored, table, with_rows
+from tessera.llm.common import bit_filter, dealt_join, in_filter, sized, stored, table
 from tessera.llm.tokens import UnitEncoder, unit_encoder
 
 #: Cuts fall about every 2**CHUNK_BITS bytes.
 CHUNK_BITS, WINDOW_BITS = 10, 16
 #: Texts that a task encodes at once.
 BATCH = 512
+#: Bits of the size of the filter of repeated chunks, least and most: a bit for each ``PER_BIT`` bytes of text.
+FILTER, PER_BIT = (20, 27), 32
+#: Chunks that a task remembers to have sent.
+SENT = 200_000
 
 
 @functools.cache
@@ -79,13 +84,13 @@ def core(chunk: bytes) -> tuple[int, int] | None:
     return (head + start, head + len(inner)) if inner and start < len(inner) else None
 
 
-def cores(data: bytes) -> list[tuple[int, int, int]]:
-    """(chunk's place among the text's chunks, begin and end of its core) of each chunk with a core."""
+def cores(data: bytes) -> list[tuple[int, int]]:
+    """Begin and end of the core of each chunk that has one."""
     out, at = [], 0
-    for k, end in enumerate(cuts(data)):
+    for end in cuts(data):
         c = core(data[at:end])
         if c:
-            out.append((k, at + c[0], at + c[1]))
+            out.append((at + c[0], at + c[1]))
         at = end
     return out
 
@@ -147,22 +152,27 @@ class Encoder:
             todo = again
         return whole
 
-    def pieces(self, texts: list[str], elsewhere: list[dict[int, bool]]) -> tuple[list[list], dict[bytes, bytes]]:
-        """(per text its pieces in order, ids by name of the chunks that come first here).
+    def pieces(self, texts: list[str], repeated: np.ndarray | None = None) -> tuple[list[list], dict[bytes, bytes]]:
+        """(per text its pieces in order, cores by name of the chunks that are to be encoded elsewhere).
 
         A piece is ids, or (name, ids to drop in front, and at the end, ids that must then come first, and last) of a chunk that
-        is encoded elsewhere. ``elsewhere`` has, by a repeated chunk's place in its text, whether it comes first here.
+        the filter ``repeated`` has.
         """
         data = [t.encode() for t in texts]
         split = [cores(d) for d in data]
-        joins = [Join(i, here[n - 1][1:] if n else None, here[n][1:] if n < len(here) else None) for i, here in enumerate(split) for n in range(len(here) + 1)]
+        joins = [Join(i, here[n - 1] if n else None, here[n] if n < len(here) else None) for i, here in enumerate(split) for n in range(len(here) + 1)]
         whole = self.repaired(data, joins)
         for j, after in zip(joins, joins[1:], strict=False):  # windows that meet within a core leave nothing of it
             if j.high and j.units + after.units > 2 and j.units + after.units > len(data[j.text][slice(*j.high)].split()) + 1:
                 whole.add(j.text)
-        own = [(i, n) for i, here in enumerate(split) for n, (k, _, _) in enumerate(here) if i in whole or elsewhere[i].get(k, True)]
-        ids = dict(zip(own, self.units.encode([data[i][slice(*split[i][n][1:])].decode() for i, n in own]), strict=True))
-        first = {name(data[i][slice(*split[i][n][1:])]): ids[i, n] for i, n in own if elsewhere[i].get(split[i][n][0])}
+        every = [(i, n) for i, here in enumerate(split) if i not in whole for n in range(len(here))]
+        names: dict[tuple[int, int], bytes] = {}
+        if repeated is not None and every:
+            named = [name(data[i][slice(*split[i][n])]) for i, n in every]
+            away = in_filter(repeated, np.frombuffer(b"".join(x[:8] for x in named), np.int64))
+            names = {at: x for at, x, on in zip(every, named, away.tolist(), strict=True) if on}
+        own = [at for at in every if at not in names]
+        ids = dict(zip(own, self.units.encode([data[i][slice(*split[i][n])].decode() for i, n in own]), strict=True))
         out: list[list] = [[] for _ in texts]
         at = iter(joins)
         for i, here in enumerate(split):
@@ -171,21 +181,20 @@ class Encoder:
                 out[i] = self.units.library([texts[i]])
                 continue
             run = [mine[0].ids]
-            for n, (_, a, b) in enumerate(here):
-                front, back = mine[n].cut[1], mine[n + 1].cut[0]
-                agreed = (mine[n].agreed[1], mine[n + 1].agreed[0])
+            for n in range(len(here)):
+                how = (mine[n].cut[1], mine[n + 1].cut[0], mine[n].agreed[1], mine[n + 1].agreed[0])
                 if (i, n) in ids:
-                    run.append(put_together([(ids[i, n], front, back, *agreed)]))
+                    run.append(put_together([(ids[i, n], *how)]))
                 else:
-                    out[i] += [b"".join(run), (name(data[i][a:b]), front, back, *agreed)]
+                    out[i] += [b"".join(run), (names[i, n], *how)]
                     run = []
                 run.append(mine[n + 1].ids)
             out[i].append(b"".join(run))
-        return out, first
+        return out, {x: data[i][slice(*split[i][n])] for (i, n), x in names.items()}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Of texts alone, without chunks from elsewhere."""
-        return [b"".join(p) for p in self.pieces(texts, [{}] * len(texts))[0]]
+        """Of texts alone."""
+        return [b"".join(p) for p in self.pieces(texts)[0]]
 
 
 def put_together(pieces: list) -> bytes:
@@ -221,81 +230,72 @@ class Decoder:
         return " ".join(self.decimal[ids].tolist())
 
 
-def chunk_places(rows: DataFrame) -> DataFrame:
-    """(d, _file, _at, k) of each chunk with a core."""
+def chunk_names(docs: DataFrame) -> DataFrame:
+    """(tk): the first 64 bits of the name of each chunk with a core."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, owner, places = [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                d = (text or "").encode()
-                for k, a, b in cores(d):
-                    names.append(name(d[a:b]))
-                    owner.append(i)
-                    places.append(k)
-            at = pa.array(owner, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), batch.column("_file").take(at), batch.column("_at").take(at), pa.array(places, pa.int32())], ["d", "_file", "_at", "k"])
+            data = ((t or "").encode() for t in batch.column("text").to_pylist())
+            names = b"".join(name(d[a:b])[:8] for d in data for a, b in cores(d))
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(names, np.int64))], ["tk"])
 
-    return rows.select("text", "_file", "_at").mapInArrow(run, "d binary, _file long, _at long, k int")
+    return docs.select("text").mapInArrow(run, "tk long")
 
 
 Finish = Callable[[list[bytes]], list[pa.Array]]
-PIECES = "_file long, _at long, doc_id long, pos int, d binary, ids binary, front int, back int, first binary, last binary"
+PIECES = {"row": pa.int64(), "doc_id": pa.int64(), "pos": pa.int32(), "d": pa.binary(), "ids": pa.binary(), "front": pa.int32(), "back": pa.int32(), "first": pa.binary(), "last": pa.binary()}
 
 
 def coded(docs: DataFrame, path: str, finish: Callable[[], Finish], schema: str) -> DataFrame:
     """doc_id and the columns of ``schema``, which ``finish()`` of a task makes of its texts' ids."""
-    rows = with_rows(docs.select(F.col("doc_id").cast("long"), "text"))
-    places = stored(chunk_places(rows), "chunk-places")
-    place = F.struct("_file", "_at", "k")
-    repeated = stored(places.groupBy("d").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1"), "repeated")
-    marked = dealt_join(places, repeated, "d", count="n").select("_file", "_at", F.struct("k", (F.col("first") == place).alias("first")).alias("mark"))
-    marks = marked.groupBy("_file", "_at").agg(F.collect_list("mark").alias("marks"))
-    empty = [pa.nulls(0, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary())]
-    names = [x.split()[0] for x in PIECES.split(", ")]
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("row"))
+    size = sized(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, PER_BIT, FILTER)
+    repeated = bit_filter(chunk_names(docs).groupBy("tk").count().filter("count > 1").select("tk"), size)
+    names = list(PIECES)
+    of_pieces = "row long, doc_id long, pos int, d binary, ids binary, front int, back int, first binary, last binary"
     done_names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, made = Encoder(unit_encoder(path)), finish()
+        encoder, made, sent = Encoder(unit_encoder(path)), finish(), set()
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(at, BATCH)
-                elsewhere = [{m["k"]: m["first"] for m in x or ()} for x in batch.column("marks").to_pylist()]
-                pieces, first = encoder.pieces([t or "" for t in batch.column("text").to_pylist()], elsewhere)
-                done = [i for i, p in enumerate(pieces) if not any(isinstance(x, tuple) for x in p)]
-                left = [(i, pos, x) for i, p in enumerate(pieces) if any(isinstance(y, tuple) for y in p) for pos, x in enumerate(p) if x]
-                named = [x if isinstance(x, tuple) else (None, None, None, None, None) for _, _, x in left]
-                owner = pa.array([i for i, _, _ in left], pa.int64())
-                none = lambda n, t: pa.nulls(n, t)
-                kinds = [e.type for e in empty]
-                of_left = [
-                    *(batch.column(c).take(owner) for c in ("_file", "_at", "doc_id")),
-                    pa.array([pos for _, pos, _ in left], pa.int32()),
-                    pa.array([x[0] for x in named], pa.binary()),
-                    pa.array([x if isinstance(x, bytes) else None for _, _, x in left], pa.binary()),
-                    *(pa.array([x[c] for x in named], t) for c, t in zip(range(1, 5), kinds[6:], strict=True)),
-                ]
-                of_done = made([b"".join(pieces[i]) for i in done])
-                of_chunks = [pa.array(list(first), pa.binary()), pa.array(list(first.values()), pa.binary())]
-                doc_ids = batch.column("doc_id").take(pa.array(done, pa.int64()))
-                sizes = (len(done), len(left), len(first))
-                kind = pa.array([0] * sizes[0] + [1] * sizes[1] + [2] * sizes[2], pa.int8())
-                cols = []
-                for c, t in zip(names, kinds, strict=True):
-                    parts = [doc_ids if c == "doc_id" else none(sizes[0], t), of_left[names.index(c)], of_chunks[("d", "ids").index(c)] if c in ("d", "ids") else none(sizes[2], t)]
-                    cols.append(pa.concat_arrays(parts))
-                for x in of_done:
-                    cols.append(pa.concat_arrays([x, none(sizes[1] + sizes[2], x.type)]))
-                yield pa.RecordBatch.from_arrays([kind, *cols], ["kind", *names, *done_names])
-
-    texts = rows.join(marks, ["_file", "_at"], "left")
-    out = stored(texts.select("doc_id", "text", "_file", "_at", "marks").mapInArrow(run, f"kind byte, {PIECES}, {schema}"), "coded")
-    done = out.filter("kind = 0").select("doc_id", *done_names)
+                pieces, chunks = encoder.pieces([t or "" for t in batch.column("text").to_pylist()], repeated)
+                chunks = {k: v for k, v in chunks.items() if k not in sent}
+                if len(sent) > SENT:
+                    sent.clear()  # a chunk may be sent twice; one is kept
+                sent.update(chunks)
+                open_ = [any(isinstance(x, tuple) for x in p) for p in pieces]
+                done = [i for i, x in enumerate(open_) if not x]
+                left = [(i, pos, *(x if isinstance(x, tuple) else (x, None, None, None, None))) for i, p in enumerate(pieces) if open_[i] for pos, x in enumerate(p) if x]
+                named = [x[3] is not None for x in left]
+                owner = pa.array([x[0] for x in left], pa.int64())
+                columns = {
+                    "row": batch.column("row").take(owner),
+                    "doc_id": batch.column("doc_id").take(owner),
+                    "pos": [x[1] for x in left],
+                    "d": [x[2] if on else None for x, on in zip(left, named, strict=True)],
+                    "ids": [None if on else x[2] for x, on in zip(left, named, strict=True)],
+                    **{c: [x[k] for x in left] for k, c in enumerate(("front", "back", "first", "last"), 3)},
+                }
+                of_done = {"doc_id": batch.column("doc_id").take(pa.array(done, pa.int64()))}
+                of_chunks = {"d": list(chunks), "ids": list(chunks.values())}
+                kind = pa.array([0] * len(done) + [1] * len(left) + [2] * len(chunks), pa.int8())
+                parts = lambda c, t: [pa.nulls(n, t) if c not in have else have[c] if isinstance(have[c], pa.Array) else pa.array(have[c], t) for have, n in ((of_done, len(done)), (columns, len(left)), (of_chunks, len(chunks)))]
+                ends = [pa.concat_arrays([x, pa.nulls(len(left) + len(chunks), x.type)]) for x in made([b"".join(pieces[i]) for i in done])]
+                yield pa.RecordBatch.from_arrays([kind, *(pa.concat_arrays(parts(c, t)) for c, t in PIECES.items()), *ends], ["kind", *names, *done_names])
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units = unit_encoder(path)
+        for batch in batches:
+            ids = units.encode([x.decode() for x in batch.column("ids").to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(ids, pa.binary())], ["d", "ids"])
 
-    chunks = out.filter("kind = 2").select("d", F.col("ids").alias("_ids"))
+    out = stored(docs.mapInArrow(run, f"kind byte, {of_pieces}, {schema}"), "coded")
+    done = out.filter("kind = 0").select("doc_id", *done_names)
+    chunks = stored(out.filter("kind = 2").groupBy("d").agg(F.first("ids").alias("ids")).mapInArrow(encoded, "d binary, ids binary"), "chunk-ids")
     left = out.filter("kind = 1").select(*names)
-    joined = dealt_join(left.filter("d is not null").drop("ids"), chunks, "d").withColumnRenamed("_ids", "ids").select(*names)
-    pieces = left.filter("d is null").unionByName(joined)
+    pieces = left.filter("d is null").unionByName(dealt_join(left.filter("d is not null").drop("ids"), chunks, "d"))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, now, doc, held, ready = finish(), None, None, [], []
@@ -306,11 +306,11 @@ def coded(docs: DataFrame, path: str, finish: Callable[[], Finish], schema: str)
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                if row[:2] != now:
+                at, of, _, d, ids, front, back, first, last = row
+                if at != now:
                     if held:
                         ready.append((doc, held))
-                    now, doc, held = row[:2], row[2], []
-                _, _, _, _, d, ids, front, back, first, last = row
+                    now, doc, held = at, of, []
                 held.append(ids if d is None else (ids, front, back, first, last))
             if len(ready) >= BATCH:
                 yield given()
@@ -319,7 +319,7 @@ def coded(docs: DataFrame, path: str, finish: Callable[[], Finish], schema: str)
             ready.append((doc, held))
         yield given()
 
-    rest = pieces.repartition("_file", "_at").sortWithinPartitions("_file", "_at", "pos").mapInArrow(assemble, f"doc_id long, {schema}")
+    rest = pieces.select(*names).repartition("row").sortWithinPartitions("row", "pos").mapInArrow(assemble, f"doc_id long, {schema}")
     return done.unionByName(rest)
 
 

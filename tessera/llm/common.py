@@ -12,6 +12,7 @@ import threading
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -159,6 +160,46 @@ def dealt_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", co
     return cold.unionByName(many.join(hot, key, "left_semi").join(F.broadcast(one.join(hot, key, "left_semi")), key, how))
 
 
+def sized(amount: int, per: int, bits: tuple[int, int]) -> int:
+    """A power of two near ``amount / per``, between 2**bits[0] and 2**bits[1]."""
+    return 1 << min(max(bits[0], (amount // per).bit_length()), bits[1])
+
+
+#: Bytes of a filter that travel as one row.
+SLAB = 1 << 10
+
+
+def bit_filter(keys: DataFrame, size: int) -> np.ndarray:
+    """A bit for each value of the long column ``tk`` modulo ``size``: of a fixed size, for Python workers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, bool)
+        for batch in batches:
+            bits[(batch.column("tk").to_numpy().view(np.uint64) % np.uint64(size)).astype(np.int64)] = True
+        packed = np.packbits(bits).reshape(-1, SLAB)
+        slabs = np.flatnonzero(packed.any(axis=1)).tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(slabs, pa.int32()), pa.array([packed[i].tobytes() for i in slabs], pa.binary())], ["slab", "bits"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, bits in zip(batch.column("slab").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+                x = np.frombuffer(bits, np.uint8)
+                total[i] = total[i] | x if i in total else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slab", "bits"])
+
+    out = np.zeros((size // 8 // SLAB, SLAB), np.uint8)
+    for r in keys.mapInArrow(run, "slab int, bits binary").repartition("slab").mapInArrow(join, "slab int, bits binary").toLocalIterator():  # a row for each slab
+        out[r.slab] = np.frombuffer(r.bits, np.uint8)
+    return out.reshape(-1)
+
+
+def in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each of the 64-bit keys may be one that the filter was made of."""
+    at = keys.view(np.uint64) % np.uint64(8 * len(bits))
+    return ((bits[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1).astype(bool)
+
+
 def free(df: DataFrame, name: str) -> str:
     """``name``, lengthened until ``df`` has no column of that name."""
     taken = {c.lower() for c in df.columns}

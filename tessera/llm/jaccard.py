@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import dealt_join, fresh, stored, table, tidy
+from tessera.llm.common import bit_filter, dealt_join, fresh, in_filter, sized, stored, table, tidy
 from tessera.llm.components import components
 
 K, PERCENT, GROUPS = 5, 80, 256
@@ -111,10 +111,6 @@ def digest(hashes: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes()))))
 
 
-def sized(chars: int, per: int, bits: tuple[int, int]) -> int:
-    return 1 << min(max(bits[0], (chars // per).bit_length()), bits[1])
-
-
 def described(docs: DataFrame, k: int, size: int, carry: list[str]) -> DataFrame:
     """Rows of documents (columns to ``carry``, all of them long, dg, n, point) and, with ``slab`` >= 0, slabs of each task's part of
     the sketch of ``size`` counters."""
@@ -322,47 +318,21 @@ def searched(blocks: DataFrame, percent: int) -> DataFrame:
     return blocks.select(*names).repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n").mapInArrow(run, "a long, b long")
 
 
-def marks(keys: DataFrame, size: int) -> np.ndarray:
-    """A bit for each value of ``tk`` modulo ``size``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(size, bool)
-        for batch in batches:
-            bits[(batch.column("tk").to_numpy().view(np.uint64) % np.uint64(size)).astype(np.int64)] = True
-        packed = np.packbits(bits).reshape(-1, SKETCH_BLOCK)
-        slabs = np.flatnonzero(packed.any(axis=1)).tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(slabs, pa.int32()), pa.array([packed[i].tobytes() for i in slabs], pa.binary())], ["slab", "bits"])
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, bits in zip(batch.column("slab").to_pylist(), batch.column("bits").to_pylist(), strict=True):
-                x = np.frombuffer(bits, np.uint8)
-                total[i] = total[i] | x if i in total else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slab", "bits"])
-
-    out = np.zeros((size // 8 // SKETCH_BLOCK, SKETCH_BLOCK), np.uint8)
-    for r in keys.mapInArrow(run, "slab int, bits binary").repartition("slab").mapInArrow(join, "slab int, bits binary").toLocalIterator():  # a row for each slab
-        out[r.slab] = np.frombuffer(r.bits, np.uint8)
-    return out.reshape(-1)
-
-
 def sets_of(docs: DataFrame, nodes: DataFrame, info: DataFrame, k: int, size: int) -> DataFrame:
     """(dg, s): the shingles of the given nodes (and of few others), made again from their texts where those are.
 
     A bit filter of ``size`` picks the texts, so texts are never shuffled; where so many nodes are asked for that the filter
     is full, more sets travel, and none is lost.
     """
-    bits = marks(info.join(nodes, "dg", "left_semi").select("tk"), size)
+    bits = bit_filter(info.join(nodes, "dg", "left_semi").select("tk"), size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh()
         sent: set[int] = set()
         for batch in batches:
-            at = batch.column("tk").to_numpy().view(np.uint64) % np.uint64(size)
-            on = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1
+            on = in_filter(bits, batch.column("tk").to_numpy())
             dg, sets = [], [np.empty(0, np.int64)]
-            for text in batch.column("text").filter(pa.array(on.astype(bool))).to_pylist():
+            for text in batch.column("text").filter(pa.array(on)).to_pylist():
                 s = shingles(text, k)
                 if len(s) and (d := digest(s)) not in sent:
                     if len(sent) >= 300_000:

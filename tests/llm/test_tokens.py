@@ -122,15 +122,22 @@ def test_whole_query_equals_the_library(spark, library):
     assert got == want
 
 
-def test_repeated_chunks_are_encoded_once(spark, documents):
-    from tessera.llm.chunked_bpe import chunk_places
-    from tessera.llm.common import with_rows
+def test_repeated_chunks_go_one_way_and_come_back(library):
+    from tessera.llm.chunked_bpe import put_together
 
     r = random.Random(6)
     passage = " ".join(f"w{r.randrange(10**5)}" for _ in range(2000))
-    df = documents([f"{i} x {passage} y {i}" for i in range(20)])
-    places = chunk_places(with_rows(df))
-    assert places.count() > 19 * places.select("d").distinct().count() * 0.7
+    some = [f"{i} x {passage} y {i}" for i in range(20)]
+    e = Encoder(UnitEncoder(PATH))
+    pieces, chunks = e.pieces(some, np.full(1 << 17, 255, np.uint8))  # a full filter: every chunk goes
+    refs = [x for p in pieces for x in p if isinstance(x, tuple)]
+    assert len(refs) > 19 * len(chunks) * 0.7 and {x[0] for x in refs} == set(chunks)
+    ids = dict(zip(chunks, e.units.encode([x.decode() for x in chunks.values()])))
+    back = [put_together([(ids[x[0]], *x[1:]) if isinstance(x, tuple) else x for x in p]) for p in pieces]
+    assert back == e.units.library(some)
+    assert not e.pieces(some, np.zeros(1 << 17, np.uint8))[1]
+    with pytest.raises(ValueError, match="agree"):
+        put_together([(b"\1\0", 0, 0, b"\2\0", b"")])
 
 
 def test_hilbert_neighbours_are_adjacent():
