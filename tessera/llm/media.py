@@ -1,12 +1,15 @@
 """Operator 10: media columns by content-defined payload chunking.
 
 A payload is stored as 8-bit mono samples: a 44-byte RIFF/WAVE header, then the samples. A rolling gear hash cuts the
-samples by content (``LEAST`` to ``MOST`` bytes); a chunk's digest names it, a Spark join on digests keeps one copy of each,
-and every media file is its header and an ordered list of digests. Both are tables in the shared folder. Reading joins the lists to the chunks again, puts
-the samples together in order, and checks the digest of every chunk and of the whole.
+samples by content (``LEAST`` to ``MOST`` bytes) and a digest names each chunk. Counts of digests over all payloads tell which
+chunks may occur more than once; these go, by digest, to a table of chunks that has each once. Chunks that occur once are stored with
+their file. So the store is two tables in the shared folder: files (header, ordered list of digests, own chunks) and
+shared chunks. Reading takes these tables alone: a Spark join brings the shared chunks to the files that list them, the
+samples are put together in order, and the digest of every chunk and of the whole is checked.
 
-Equal media have one list. A file of one chunk (most texts) is whole where its chunk is; only chunks of longer files
-travel to a common place, in order, and are read there as a stream of one file at a time.
+The digests of repeated chunks reach the writers as a bit filter, sized by the text up to 16 MB; where it is full, more chunks
+go the shared way, and none is lost. Files with shared chunks are read once for each different media, as a stream of one
+file at a time; others are whole where they are.
 
 Defined results: a null text is an empty payload, which is padded to 64 zero bytes; repeated rows and repeated or null
 doc_ids give a row each; an empty table gives no rows; other columns are not read; payloads are whole.
@@ -26,9 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.chunked_bpe import gear_hashes
-from tessera.llm.common import stored, table
+from tessera.llm.common import bit_filter, dealt_join, in_filter, sized, stored, table
 
-LEAST, MASK, MOST, RATE = 4096, (1 << 12) - 1, 65536, 8000
+LEAST, MASK, MOST, RATE = 1024, (1 << 11) - 1, 65536, 8000
+#: Bits of the size of the filter of repeated chunks, least and most: a bit for each ``PER_BIT`` bytes of text.
+FILTER, PER_BIT = (20, 27), 32
 HEADER = struct.Struct("<4sI4s4sIHHIIHH4sI")
 
 
@@ -75,90 +80,151 @@ def features(samples: bytes) -> str:
     return f"mean={x.mean():.4f};rms={np.sqrt((wave.astype(np.float64) ** 2).mean()):.4f};zero={crossings};levels={','.join(map(str, levels.tolist()))}"
 
 
-def chunk_rows(docs: DataFrame, with_bytes: bool) -> DataFrame:
-    """A row for each file: doc_id, n_bytes, payload_bytes, media_sha256, header, digests; or one for each chunk: digest, packed."""
+def digests_of(data: bytes) -> list[tuple[bytes, int, int]]:
+    """(digest, begin, end) of each chunk, in order."""
+    ends = chunk_ends(data)
+    return [(hashlib.sha256(data[a:b]).digest(), a, b) for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def chunk_names(docs: DataFrame) -> DataFrame:
+    """(tk): the first 64 bits of the digest of each chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, sent = zstandard.ZstdCompressor(level=3), set()
         for batch in batches:
-            if with_bytes:
-                names, packed = [], []
-            else:
-                rows: list[tuple] = []
-            docs_of = batch.column("doc_id").to_pylist() if not with_bytes else [None] * batch.num_rows
-            for doc, text in zip(docs_of, batch.column("text").to_pylist(), strict=True):
-                data = payload_of(text)
-                last, mine = 0, []
-                for end in chunk_ends(data):
-                    digest = hashlib.sha256(data[last:end]).digest()
-                    mine.append(digest)
-                    if with_bytes and digest not in sent:
-                        if len(sent) >= 200_000:
-                            sent.clear()  # a chunk may be sent twice; the join keeps one
-                        sent.add(digest)
-                        names.append(digest)
-                        packed.append(packer.compress(data[last:end]))
-                    last = end
-                if not with_bytes:
-                    header = header_of(len(data))
-                    rows.append((doc, len((text or "").encode()), len(data), hashlib.sha256(header + data).hexdigest(), header, mine))
-            if with_bytes:
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(packed, pa.binary())], ["digest", "packed"])
-            else:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.binary()))
-                cols = list(zip(*rows, strict=True)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], ["doc_id", "n_bytes", "payload_bytes", "media_sha256", "header", "digests"])
-
-    schema = "digest binary, packed binary" if with_bytes else "doc_id long, n_bytes long, payload_bytes long, media_sha256 string, header binary, digests array<binary>"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
-
-
-READ = "media_sha256 string, payload_sha256 string, tail_crc32 long, media_bytes long, read_sha256 string, feature string"
+            names = b"".join(d[:8] for t in batch.column("text").to_pylist() for d, _, _ in digests_of(payload_of(t)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(names, np.int64))], ["tk"])
 
+    return docs.select("text").mapInArrow(run, "tk long")
 
-def read_media(pieces: DataFrame) -> DataFrame:
-    """Files put together from (media_sha256, seq, payload_bytes, header, digest, packed) that come in order; checked. The
-    header comes with the first chunk; without that column it is made from payload_bytes."""
+
+FILE = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "media_sha256": pa.string(), "header": pa.binary(), "digests": pa.list_(pa.binary()), "own": pa.list_(pa.binary())}
+CHUNK = {"digest": pa.binary(), "packed": pa.binary()}
+FILE_ROW = "doc_id long, n_bytes long, payload_bytes long, media_sha256 string, header binary, digests array<binary>, own array<binary>"
+
+
+def written(docs: DataFrame, repeated: np.ndarray) -> DataFrame:
+    """A row for each file (with ``own`` the packed chunks, null where a chunk is shared), and one for each shared chunk of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, sent = zstandard.ZstdCompressor(level=6), set()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                files: dict[str, list] = {c: [] for c in FILE}
+                chunks: dict[bytes, bytes] = {}
+                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    data = payload_of(text)
+                    mine, header = digests_of(data), header_of(len(data))
+                    away = in_filter(repeated, np.frombuffer(b"".join(d[:8] for d, _, _ in mine), np.int64)).tolist()
+                    for (d, a, b), on in zip(mine, away, strict=True):
+                        if on and d not in sent:
+                            if len(sent) >= 200_000:
+                                sent.clear()  # a chunk may be sent twice; one is kept
+                            sent.add(d)
+                            chunks[d] = packer.compress(data[a:b])
+                    own = [None if on else packer.compress(data[a:b]) for (_, a, b), on in zip(mine, away, strict=True)]
+                    row = (doc, len((text or "").encode()), len(data), hashlib.sha256(header + data).hexdigest(), header, [d for d, _, _ in mine], own)
+                    for c, v in zip(FILE, row, strict=True):
+                        files[c].append(v)
+                n, m = batch.num_rows, len(chunks)
+                cols = [pa.concat_arrays([pa.array(files[c], t), pa.nulls(m, t)]) for c, t in FILE.items()]
+                cols += [pa.concat_arrays([pa.nulls(n, t), pa.array(x, t)]) for (_, t), x in zip(CHUNK.items(), (list(chunks), list(chunks.values())), strict=True)]
+                yield pa.RecordBatch.from_arrays(cols, [*FILE, *CHUNK])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"{FILE_ROW}, digest binary, packed binary")
+
+
+def write_media(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The stored tables: files (a row for each of ``docs``) and shared chunks (digest, packed), each once."""
+    size = sized(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, PER_BIT, FILTER)
+    repeated = bit_filter(chunk_names(docs).groupBy("tk").count().filter("count > 1").select("tk"), size)
+    rows = stored(written(docs, repeated), "media", codec="lz4")
+    chunks = rows.filter("digest is not null").groupBy("digest").agg(F.first("packed").alias("packed"))
+    return rows.filter("digest is null").select(*FILE), stored(chunks, "chunks", codec="uncompressed")
+
+
+READ = {"payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "read_sha256": pa.string(), "feature": pa.string()}
+READ_ROW = "payload_sha256 string, tail_crc32 long, media_bytes long, read_sha256 string, feature string"
+
+
+def read_one(name: str, header: bytes, chunks: list[bytes]) -> tuple:
+    """The values of a file from its stored parts, checked."""
+    media = header + b"".join(chunks)
+    samples = samples_of(media)
+    if hashlib.sha256(media).hexdigest() != name:
+        raise ValueError(f"media {name} is damaged")
+    return hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(media), hashlib.sha256(media).hexdigest(), features(samples)
+
+
+def unpacked(unpacker: zstandard.ZstdDecompressor, packed: bytes, digest: bytes) -> bytes:
+    data = unpacker.decompress(packed)
+    if hashlib.sha256(data).digest() != digest:
+        raise ValueError("a chunk is damaged")
+    return data
+
+
+def read_whole(files: DataFrame) -> DataFrame:
+    """Files that have all their chunks, with the values read from them."""
+    keep = [c for c in FILE if c not in ("header", "own", "digests")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpacker, now, top, held = zstandard.ZstdDecompressor(), None, b"", []
+        unpacker = zstandard.ZstdDecompressor()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                columns = (batch.column(c).to_pylist() for c in ("media_sha256", "header", "digests", "own"))
+                rows = [read_one(name, header, [unpacked(unpacker, p, d) for p, d in zip(own, digests, strict=True)]) for name, header, digests, own in zip(*columns, strict=True)]
+                parts = [len(x) for x in batch.column("digests").to_pylist()]
+                values = [pa.array([r[k] for r in rows], t) for k, t in enumerate(READ.values())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *values, pa.array(parts, pa.int32())], [*keep, *READ, "n_chunks"])
 
-        def row(name):
-            media = top + b"".join(held)
-            samples = samples_of(media)
-            if hashlib.sha256(media).hexdigest() != name:
-                raise ValueError(f"media {name} is damaged")
-            return name, hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(media), hashlib.sha256(media).hexdigest(), features(samples)
+    return files.mapInArrow(run, f"doc_id long, n_bytes long, payload_bytes long, media_sha256 string, {READ_ROW}, n_chunks int")
 
-        left = 0
+
+def read_media(pieces: DataFrame) -> DataFrame:
+    """(media_sha256 and the values) of files put together from (media_sha256, seq, payload_bytes, header, digest, packed) that come in
+    order; the header is that of the first piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacker, now, top, held, left = zstandard.ZstdDecompressor(), None, b"", [], 0
         for batch in batches:
             out = []
-            columns = [batch.column(c).to_pylist() for c in ("media_sha256", "seq", "payload_bytes", "digest", "packed")]
-            headers = batch.column("header").to_pylist() if "header" in batch.schema.names else map(header_of, columns[2])
-            for name, seq, total, digest, packed, header in zip(*columns, headers, strict=True):
+            for name, seq, total, header, digest, packed in zip(*(batch.column(c).to_pylist() for c in ("media_sha256", "seq", "payload_bytes", "header", "digest", "packed")), strict=True):
                 if name != now:
                     if left:
                         raise ValueError(f"media {now} has too few chunks")
                     now, top, held, left = name, header or b"", [], total
-                data = unpacker.decompress(packed)
-                if hashlib.sha256(data).digest() != digest or seq != len(held):
-                    raise ValueError(f"chunk {seq} of media {name} is damaged or out of order")
-                held.append(data)
-                left -= len(data)
+                if seq != len(held):
+                    raise ValueError(f"chunk {seq} of media {name} is out of order")
+                held.append(unpacked(unpacker, packed, digest))
+                left -= len(held[-1])
                 if not left:
-                    out.append(row(name))
+                    out.append((name, *read_one(name, top, held)))
             if out:
-                kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["media_sha256", "payload_sha256", "tail_crc32", "media_bytes", "read_sha256", "feature"])
+                kinds = [pa.string(), *READ.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["media_sha256", *READ])
+        if left:
+            raise ValueError(f"media {now} has too few chunks")
 
-    return pieces.mapInArrow(run, READ)
+    return pieces.mapInArrow(run, f"media_sha256 string, {READ_ROW}")
 
 
-def write_media(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The stored tables: files (a row for each of ``docs``, with header and digest list) and chunks (digest, packed), each once."""
-    files = stored(chunk_rows(docs, with_bytes=False), "media")
-    chunks = chunk_rows(docs, with_bytes=True).groupBy("digest").agg(F.first("packed").alias("packed"))
-    return files, stored(chunks, "chunks", codec="uncompressed")
+def read_columns(files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``media_columns`` from the stored tables alone."""
+    out = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.col("read_sha256").alias("media_sha256"), "feature", "n_chunks"]
+    has_all = ~F.exists("own", lambda x: x.isNull())
+    whole = read_whole(files.filter(has_all)).select(*out)
+
+    others = files.filter(~has_all)
+    each = others.groupBy("media_sha256").agg(*(F.first(c).alias(c) for c in ("payload_bytes", "header", "digests", "own")))
+    pieces = each.select("media_sha256", "payload_bytes", "header", F.posexplode(F.arrays_zip("digests", "own")).alias("seq", "c"))
+    pieces = pieces.select("media_sha256", "seq", "payload_bytes", F.when(F.col("seq") == 0, F.col("header")).alias("header"), F.col("c.digests").alias("digest"), F.col("c.own").alias("packed"))
+    pieces = stored(pieces, "pieces", codec="lz4")
+    joined = dealt_join(pieces.filter("packed is null").drop("packed"), chunks, "digest").select(pieces.columns)
+    ordered = pieces.filter("packed is not null").unionByName(joined).repartition("media_sha256").sortWithinPartitions("media_sha256", "seq")
+    read = stored(read_media(ordered), "read")
+    shared = dealt_join(others.select("doc_id", "n_bytes", "payload_bytes", "media_sha256", F.size("digests").alias("n_chunks")), read, "media_sha256")
+    return whole.unionByName(shared.select(*out))
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
@@ -166,17 +232,5 @@ def media_columns(docs: DataFrame) -> DataFrame:
     return read_columns(*write_media(docs))
 
 
-def read_columns(files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``media_columns`` from the stored tables alone."""
-    lists = files.groupBy("media_sha256").agg(*(F.first(c).alias(c) for c in ("payload_bytes", "header", "digests")))
-    wanted = lists.select("media_sha256", "payload_bytes", "header", F.size("digests").alias("parts"), F.posexplode("digests").alias("seq", "digest"))
-    wanted = wanted.withColumn("header", F.when(F.col("seq") == 0, F.col("header")))
-    joined = wanted.join(chunks.hint("merge"), "digest").select("media_sha256", "seq", "payload_bytes", "header", "digest", "packed", "parts")
-    short = read_media(joined.filter("parts = 1").drop("parts"))
-    long = read_media(joined.filter("parts > 1").drop("parts").repartition("media_sha256").sortWithinPartitions("media_sha256", "seq"))
-    read = short.unionByName(long)
-    return files.join(read, "media_sha256").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.col("read_sha256").alias("media_sha256"), "feature", F.size("digests").alias("n_chunks"))
-
-
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))

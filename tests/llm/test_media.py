@@ -56,13 +56,16 @@ def test_damage_is_found(spark):
     import zstandard
 
     data = payload_of("x")
-    name = hashlib.sha256(header_of(len(data)) + data).hexdigest()
-    good = (name, 0, len(data), hashlib.sha256(data).digest(), zstandard.ZstdCompressor().compress(data))
-    bad = (*good[:4], zstandard.ZstdCompressor().compress(b"y" + data[1:]))
-    schema = "media_sha256 string, seq int, payload_bytes long, digest binary, packed binary"
+    header = header_of(len(data))
+    name = hashlib.sha256(header + data).hexdigest()
+    good = (name, 0, len(data), header, hashlib.sha256(data).digest(), zstandard.ZstdCompressor().compress(data))
+    bad = (*good[:5], zstandard.ZstdCompressor().compress(b"y" + data[1:]))
+    schema = "media_sha256 string, seq int, payload_bytes long, header binary, digest binary, packed binary"
     assert read_media(spark.createDataFrame([good], schema)).count() == 1
     with pytest.raises(Exception, match="damaged"):
         read_media(spark.createDataFrame([bad], schema)).collect()
+    with pytest.raises(Exception, match="out of order"):
+        read_media(spark.createDataFrame([(name, 1, *good[2:])], schema)).collect()
 
 
 def test_empty_table_and_clashing_columns(spark, documents):
@@ -78,12 +81,38 @@ def test_stored_tables_alone_give_the_media(spark, documents):
     files, chunks = media.write_media(documents(some))
     assert all("mapinarrow" not in x._jdf.queryExecution().toString().lower() for x in (files, chunks))
     held = [(bytes(c.digest), bytes(c.packed)) for c in chunks.collect()]
-    assert len(dict(held)) == len(held)
+    assert len(dict(held)) == len(held) > 10
     unpack, held = zstandard.ZstdDecompressor().decompress, dict(held)
+    own = []
     for f in files.collect():
-        stored = bytes(f.header) + b"".join(unpack(held[bytes(d)]) for d in f.digests)
+        stored = bytes(f.header) + b"".join(unpack(held[bytes(d)] if x is None else x) for d, x in zip(f.digests, f.own, strict=True))
         payload = payload_of(some[f.doc_id])
         assert stored == header_of(len(payload)) + payload
+        own += [bytes(d) for d, x in zip(f.digests, f.own) if x is not None]
+    assert len(set(own)) == len(own) and not held.keys() & set(own)  # each chunk is stored once
     other = files.withColumn("header", F.lit(bytes(44)))
     with pytest.raises(Exception, match="not the stored form"):
         media.read_columns(other, chunks).collect()
+
+
+def test_a_full_filter_changes_nothing(spark, documents, monkeypatch):
+    import numpy as np
+
+    some = texts()[:14]
+    want = sorted(map(str, media_columns(documents(some)).collect()))
+    monkeypatch.setattr(media, "bit_filter", lambda keys, size: np.full(size // 8, 255, np.uint8))
+    assert sorted(map(str, media_columns(documents(some)).collect())) == want
+
+
+def test_whole_query_equals_brute_force(spark):
+    import pyarrow.parquet as pq
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.doc_id: r for r in media.op10_media(spark, sf).collect()}
+    given = pq.read_table(f"{sf}/documents.parquet").to_pylist()
+    assert len(got) == len(given)
+    for d in given:
+        payload, r = payload_of(d["text"]), got[d["doc_id"]]
+        stored = header_of(len(payload)) + payload
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len((d["text"] or "").encode()), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r.media_bytes, r.media_sha256, r.tail_crc32, r.feature) == (len(stored), hashlib.sha256(stored).hexdigest(), zlib.crc32(payload[-64:]), features(payload))
