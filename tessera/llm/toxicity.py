@@ -4,13 +4,18 @@ Severity has grades 0 (clean) to ``GRADES``. One weight vector is shared by all
 t_1 <= t_2 <= ...; the expected severity is the sum of these. x holds log(1 + count) of sparse text features: words and
 word beginnings of 4 to 6 letters. Features are those that enough labelled toxic texts have and few clean ones do.
 
-Labels know only toxic or not, so a toxic training text's grade is 1, 2 or 3 by how many of its words carry such
-features (1, up to 3, more). The fit sees at most ``SAMPLE`` labelled rows, those of least hash of the doc_id, each different
-text once; scoring covers all rows and whole texts.
+Labels know only toxic or not. Which of the grades 1 to 3 a toxic training text has is said by an annotator that the model does not
+share anything with: a quarter of the sampled texts, by hash, gives it a word list of its own, and a text's grade is 1, 2 or 3 by
+how many of its words are on that list (1, up to 3, more). The regression is fitted on the other three quarters with features
+chosen from these alone. Rows whose crc32(doc_id as text) mod 5 is 0 are held out: their labels are used for neither.
+
+The fit sees the labelled rows of at most ``SAMPLE`` doc_ids, of least hash, each different text once, and the model has at most
+``MOST_FEATURES`` features, the most frequent; both are parameters of the model. Scoring covers all rows and whole texts.
 
 Defined results: null and empty texts have no features, so they are as severe as a text without any sign, which is clean;
 rows are independent, so repeated rows get equal results; null and repeated labels and labels without a document do no
-harm; without toxic labels nothing is toxic; an empty table gives no rows; ``with_toxicity`` keeps all other columns.
+harm; without toxic labels nothing is toxic; an empty table gives no rows; ``with_toxicity`` keeps all other columns and
+overwrites one of the name that it is given.
 """
 
 from __future__ import annotations
@@ -28,8 +33,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import fresh, table
+from tessera.llm.pu_quality import held_out
 
-GRADES, SAMPLE, MOST_FEATURES = 3, 12000, 3000
+GRADES, SAMPLE, MOST_FEATURES = 3, 16000, 3000
+#: One in so many sampled texts makes the annotator's list.
+ANNOTATES = 4
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -123,28 +131,32 @@ def chosen_features(sample: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """The driver gets at most MOST_FEATURES features and ``sample`` rows of their counts."""
-    known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).filter("toxic in (0, 1)")
-    chosen = known.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(sample)
+    """The driver gets two lists of at most MOST_FEATURES features and a row of their counts for each text of the sample."""
+    known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).filter("toxic in (0, 1)").filter(~held_out(F.col("doc_id")))
+    chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
-    counts = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    texts = texts.withColumn("annotates", F.pmod(F.xxhash64("text", F.lit(11)), F.lit(ANNOTATES)) == 0)
+    counts = {(r.annotates, r.toxic): r["count"] for r in texts.groupBy("annotates", "toxic").count().collect()}
     nothing = Model({}, np.zeros(0), np.linspace(9, 11, GRADES))
-    if not counts.get(1):
+    if not counts.get((False, 1)):
         return nothing
-    names = chosen_features(texts, counts[1], counts.get(0, 0))
-    place = {k: i for i, k in enumerate(names)}
+    names, of_others = (chosen_features(texts.filter(F.col("annotates") == a), counts.get((a, 1), 0), counts.get((a, 0), 0)) for a in (False, True))
+    place, told = ({k: i for i, k in enumerate(x)} for x in (names, of_others))
     if not place:
         return nothing
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
+        others: dict = {}
         for batch in batches:
-            found = [counted(t or "", place, memo) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([n for _, n in found], pa.int32()), pa.array([list(c) for c, _ in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c, _ in found], pa.list_(pa.int32()))], ["toxic", "carriers", "at", "n"])
+            given = batch.column("text").to_pylist()
+            found = [counted(t or "", place, memo)[0] for t in given]
+            carriers = [counted(t or "", told, others)[1] for t in given]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(carriers, pa.int32()), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], ["toxic", "carriers", "at", "n"])
 
-    rows = texts.select("text", "toxic").mapInArrow(run, "toxic int, carriers int, at array<int>, n array<int>").limit(sample).collect()
+    rows = texts.filter("not annotates").select("text", "toxic").mapInArrow(run, "toxic int, carriers int, at array<int>, n array<int>")
     alike: Counter = Counter()  # most clean texts have no feature at all
-    for r in rows:
+    for r in rows.toLocalIterator():  # texts of ``sample`` ids
         grade = 0 if not r.toxic else 1 if r.carriers <= 1 else 2 if r.carriers <= 3 else 3
         alike[(grade, *sorted(zip(r.at, r.n, strict=True)))] += 1
     seen = sorted(alike.items())

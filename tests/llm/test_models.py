@@ -103,10 +103,34 @@ def test_ordinal_model_orders_its_thresholds():
     assert (np.diff(t) > 0).all() and abs(w[0] / -w[1] - 2) < 0.4 and abs(w[2]) < 0.2
 
 
-def test_toxicity_on_labels(spark):
-    rows = op7_toxicity(spark, SF).collect()
-    assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
+def test_toxicity_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"  # sf0.01 holds out six toxic texts
+    rows = op7_toxicity(spark, sf).collect()
+    labels = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"{sf}/labels.parquet").to_pylist()}
+    assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert all(0 <= r.severity <= GRADES for r in rows)
-    toxic = [r.toxic for r in rows if r.doc_id in LABELS and LABELS[r.doc_id]["toxic"]]
-    clean = [r.toxic for r in rows if r.doc_id in LABELS and not LABELS[r.doc_id]["toxic"]]
-    assert np.mean(toxic) > 0.9 and np.mean(clean) < 0.01
+    for held, least in ((True, 0.9), (False, 0.9)):
+        known = [(r, labels[r.doc_id]) for r in rows if r.doc_id in labels and (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) == held]
+        assert np.mean([r.toxic for r, t in known if t]) > least and np.mean([r.toxic for r, t in known if not t]) < 0.02
+    severe = [r.severity for r in rows if r.toxic]
+    assert len(set(severe)) > 10 and max(severe) > 2 * min(severe)
+
+
+def test_severity_equals_brute_force(spark, documents):
+    """Counts, weights and thresholds put together by hand."""
+    import math
+    import re
+
+    texts = [*ODD, "You trash, TRASHY pathetic trash!", "a pathetic-loser idiotic idiot"]
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = fit_toxicity(spark.read.parquet(f"{SF}/documents.parquet"), labels)
+    rows = {r.doc_id: r["_toxicity"] for r in with_toxicity(documents(texts), model).collect()}
+    for i, t in enumerate(texts):
+        z = 0.0
+        words = re.findall(r"[^\W\d_]+", (t or "").lower())
+        for key, k in model.place.items():
+            n = sum(w == key[:-1] if key.endswith("$") else len(w) >= len(key) and w.startswith(key) and len(key) in (4, 5, 6) for w in words)
+            z += model.weights[k] * math.log1p(n)
+        p = [1 / (1 + math.exp(-max(-50, min(50, z - c)))) for c in model.thresholds]
+        assert abs(rows[i].severity - sum(p)) < 1e-6 and abs(rows[i].p_toxic - p[0]) < 1e-6 and rows[i].toxic == (p[0] >= 0.5)
+    assert rows[len(texts) - 1].toxic and not rows[0].toxic
