@@ -1,14 +1,18 @@
 """Operator 1: main text of HTML pages by line-block distribution.
 
 Markup is stripped into lines, one for each block element, in page order. What stands in elements that never hold main text
-(menus, footers, forms, scripts, adverts, reader comments: by tag, role or class words) weighs nothing, like markup. Text
-lengths of the remaining lines are summed over a sliding window of lines; the text surges where the sum rises above
-``SURGE`` and dives where it falls to 0; the lines between a surge and its dive are kept. Windows don't reach across the
-border of a main part that the page marks (article, main; or by class or id), and in it every line with text counts, however
-short. A mark is a factor of the text's weight: lines outside go to 0 unless they surge and outweigh the marked text, as the
-body of a page does whose articles are teasers; then both are kept.
+(menus, footers, scripts, adverts, reader comments: by tag, role or class words) is no line. A line weighs its characters
+outside of links, and more in a main part that the page marks (article, main; or by class or id): a mark is a factor.
+Weights are summed over a sliding window of lines. A run of lines dives where a window holds nothing but links; it is kept if
+its sums surge above ``SURGE`` somewhere, so in marked parts, too, runs of links and crumbs between them go. Where no run of a marked
+part surges, or none of the page, it is a short one and all its runs are kept. Within a marked run lines that are links alone are text like the
+others; elsewhere they are left out.
 
-Plain density cannot tell a short paragraph from an advert of the same length, so the weights use the markup as well.
+Windows don't reach across the border of a marked part, and lines outside of it go unless they surge and outweigh it, as the
+body of a page does whose articles are teasers; then both are kept. Forms go unless they hold a main part, or the page
+has no other text (a form around the whole page).
+
+Plain density cannot tell a short paragraph from an advert of the same length, so marks weigh and bound as well.
 
 Defined results: null or empty html, and pages without text, give an empty text; rows are independent (repeated rows give
 repeated results); an empty table gives no rows; columns other than page_id, url and html are not read; texts are whole.
@@ -26,8 +30,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 
-#: Lines in a window; characters that its sum needs for a surge outside of marked main parts; weight of a mark's step.
-WINDOW, SURGE, FACTOR = 3, 80, 2
+#: Lines in a window; weight that a run's largest sum must pass; factor of each step of a mark (two for an element or role).
+WINDOW, SURGE, FACTOR = 3, 80, 3
 
 MARKUP = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)>?|<[!?][^>]*>?", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -36,18 +40,23 @@ ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-NEVER = {"nav", "footer", "aside", "form", "script", "style", "noscript", "iframe", "svg", "math", "button", "select", "textarea", "dialog", "menu", "template", "object", "canvas", "head", "title", "datalist", "audio", "video"}
+NEVER = {"nav", "footer", "aside", "script", "style", "noscript", "iframe", "svg", "math", "button", "select", "textarea", "dialog", "menu", "template", "object", "canvas", "head", "title", "datalist", "audio", "video"}
 #: A start tag of these ends an open element of the same group.
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Words of a class or id, and roles, that name what is not main text.
-WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "widget", "widgets", "footer", "masthead", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "comment", "comments", "disqus", "adsbygoogle", "replies", "respond", "related", "recommended", "share", "sharing", "social", "searchform", "toolbar", "pagination", "pager", "copyright", "disclaimer", "skip"}
-ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
+WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "widget", "widgets", "footer", "masthead", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "comment", "comments", "commentlist", "disqus", "adsbygoogle", "replies", "reply", "respond", "responses", "reactions", "discussion", "feedback", "talkback", "related", "recommended", "share", "sharing", "social", "searchform", "toolbar", "pagination", "pager", "copyright", "disclaimer", "skip"}
+ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
 OUTSIDE_ONLY = {"header"}
 #: Whole class or id values that mark a main part where no element or role does.
 MARKS = {"content", "main", "article", "post", "entry", "main-content", "page-content", "post-content", "article-content", "entry-content", "article-body", "post-body", "story-body", "story"}
 #: What follows the first of these is what a page has, and an element that ends in the others holds more than what a word inside names.
 WITH = {"has", "no", "with", "without"}
 WRAPS = {"wrap", "wrapper", "container", "area", "layout", "inner", "outer", "content", "page", "row", "grid", "main", "body"}
+#: Headings of reader comments; what follows them in their element is comments.
+COMMENTS = re.compile(r"(?i)\d[\d.,]* (?:reader |user )?comments?|(?:reader |user )?comments? \(\d[\d.,]*\)|(?:reader|user) comments|leave a (?:comment|reply)")
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Why a part is off: a form, class words, its kind.
+FORM, WORDED, OFF = 1, 2, 3
 CLASS_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -56,14 +65,18 @@ def attributes(text: str) -> dict[str, str]:
 
 
 def aside(name: str, text: str, in_main: bool) -> int:
-    """2 for an element that never holds main text, 1 for one that only its class or id words call so, else 0."""
+    """``OFF`` for an element that never holds main text, ``WORDED`` for one that only its class or id words call so, ``FORM``, else 0."""
     if name in NEVER or name in OUTSIDE_ONLY and not in_main:
-        return 2
+        return OFF
+    form = FORM if name == "form" else 0
     if not text or name in ("html", "body", "main"):
-        return 0
+        return form
     a = attributes(text)
-    if a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
-        return 2
+    role = a.get("role", "").lower()
+    if role in ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
+        return OFF
+    if role == "form":
+        form = FORM
     for one in f"{a.get('class', '')} {a.get('id', '')}".split():
         found = [w.lower() for w in CLASS_WORD.findall(one)]
         said = found[: next((i for i, w in enumerate(found) if w in WITH), len(found))]
@@ -72,8 +85,8 @@ def aside(name: str, text: str, in_main: bool) -> int:
         elif found and found[-1] in WRAPS:
             said = said[:1]
         if not WORDS.isdisjoint(said):
-            return 1
-    return 2 if "header" in f"{a.get('class', '')} {a.get('id', '')}".lower().split() and not in_main else 0
+            return WORDED
+    return OFF if "header" in f"{a.get('class', '')} {a.get('id', '')}".lower().split() and not in_main else form
 
 
 def mark(name: str, text: str) -> int:
@@ -91,7 +104,8 @@ def mark(name: str, text: str) -> int:
 def lines(html: str, lift: bool = False) -> list[tuple[str, int, int]]:
     """(text, characters outside of links, ``mark`` of the main part it is in) of each block with text, in page order.
 
-    A main element within an element that class words put aside counts all the same; with ``lift`` any main part does.
+    A main element within an element that class words put aside counts all the same, and an article or main element in a form does;
+    with ``lift`` any main part does, and forms are no reason.
     """
     out: list[tuple[str, int, int]] = []
     text: list[str] = []
@@ -124,7 +138,7 @@ def lines(html: str, lift: bool = False) -> list[tuple[str, int, int]]:
         at = m.end()
         if not m[2]:
             continue
-        name = m[2].lower()
+        name, before = m[2].lower(), len(out)
         if name in BLOCK:
             close()
         if m[1]:
@@ -133,6 +147,11 @@ def lines(html: str, lift: bool = False) -> list[tuple[str, int, int]]:
                     del stack[k:]
                     off, main, link = stack[-1][1:] if stack else (0, 0, False)
                     break
+            if name in HEADINGS and len(out) > before and COMMENTS.fullmatch(out[-1][0]):
+                out.pop()
+                off, main = OFF, 0
+                if stack:
+                    stack[-1] = (stack[-1][0], off, main, link)
             continue
         if name in RAW:
             stop = re.compile(f"</{name}", re.I).search(html, at)
@@ -152,7 +171,10 @@ def lines(html: str, lift: bool = False) -> list[tuple[str, int, int]]:
                     break
             off, main, link = stack[-1][1:] if stack else (0, 0, False)
         own, marked = aside(name, m[3], main > 0), mark(name, m[3])
-        if off == 1 and not own and marked and (lift or name == "main" or attributes(m[3]).get("role") == "main"):
+        if lift and (own == FORM or own == WORDED and marked):
+            own = 0
+        is_main = name == "main" or attributes(m[3]).get("role") == "main"
+        if not own and marked and (off == FORM and marked > 1 or off == WORDED and (lift or is_main)):
             off = 0
         off = max(off, own)
         main = 0 if off else max(main, marked)
@@ -165,32 +187,41 @@ def lines(html: str, lift: bool = False) -> list[tuple[str, int, int]]:
 def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     found = lines(html or "")
     text = chosen(found, window, surge)
-    if len(text) <= surge and not any(inside for _, _, inside in found):  # the only main parts may stand in what class words put aside
+    if len(text) <= surge and not any(inside for _, _, inside in found):  # what there is may stand in what class words or a form put aside
         text = max(text, chosen(lines(html or "", lift=True), window, surge), key=len)
     return text
 
 
+def runs(weights: list[int], sums: list[int], inside: list[int]) -> list[tuple[int, int]]:
+    """(begin, end) of the lines from each rise of the weights to the next dive, within a part."""
+    out, begin = [], None
+    for i, (weight, total) in enumerate(zip(weights, sums, strict=True)):
+        if begin is not None and (not total or inside[i] != inside[begin]):
+            out.append((begin, i))
+            begin = None
+        if begin is None and weight:
+            begin = i
+    return out if begin is None else [*out, (begin, len(weights))]
+
+
 def chosen(found: list[tuple[str, int, int]], window: int, surge: int) -> str:
-    weights = [len(t) if inside else (free if 2 * free >= len(t) else 0) for t, free, inside in found]
-    sums = [sum(w for w, f in zip(weights[i : i + window], found[i : i + window]) if f[2] == inside) for i, (_, _, inside) in enumerate(found)]
-    top = level = max((inside for _, _, inside in found), default=0)
-    mass = {m: sum(w for w, f in zip(weights, found) if f[2] == m) * FACTOR**m for m in range(top + 1)}
+    inside = [x for _, _, x in found]
+    weights = [free * FACTOR**x if x or 2 * free >= len(t) else 0 for t, free, x in found]
+    sums = [sum(w for w, x in zip(weights[i : i + window], inside[i : i + window]) if x == inside[i]) for i in range(len(found))]
+    top = level = max(inside, default=0)
+    mass = {m: sum(w for w, x in zip(weights, inside) if x == m) for m in range(top + 1)}
     for m in range(top - 1, -1, -1):
-        if mass[m] > mass[level] and any(s > surge for s, f in zip(sums, found) if f[2] == m):
+        if mass[m] > mass[level] and any(s > surge for s, x in zip(sums, inside) if x == m):
             level = m
-    need = surge if not level and max((s for s, f in zip(sums, found) if not f[2]), default=0) > surge else 0  # a page that never surges is short, not empty
-    keep, on, last = [], False, 0
-    for (t, _, inside), weight, total in zip(found, weights, sums):
-        on, last = on and inside == last, inside
-        if inside < level:
-            continue
-        if not on and weight and total > (0 if inside else need):
-            on = True  # surge
-        elif on and not total:
-            on = False  # dive
-        if on and weight:
-            keep.append(t)
-    return " ".join(keep)
+    kept = [(a, b) for a, b in runs(weights, sums, inside) if inside[a] >= level]
+    part = [0] * len(found)  # stretches of lines of one mark
+    for i in range(1, len(found)):
+        part[i] = part[i - 1] + (inside[i] != inside[i - 1])
+    surging = {(a, b) for a, b in kept if max(sums[a:b]) > surge}
+    full = {part[a] for a, _ in surging}
+    # a marked part that never surges is a short one, as is a page
+    kept = [r for r in kept if not surging or r in surging or inside[r[0]] and part[r[0]] not in full]
+    return " ".join(found[i][0] for a, b in kept for i in range(a, b) if weights[i] or inside[i])
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -57,6 +57,51 @@ def test_wrappers_named_after_a_part_keep_the_page():
         assert main_text(f"<body>{page}</body>") == want, page
 
 
+def test_windows_decide_within_a_mark():
+    words = "plain words of a paragraph, enough to count. "
+    links = "".join(f"<li><a href='/{i}'>Another story number {i} of this week</a></li>" for i in range(5))
+    page = f"<article><h1>Head</h1><p>{words}</p><p><a href='/x'>A link alone.</a></p><p>{words}</p><ul>{links}</ul><p>ad</p><ul>{links}</ul><p>{words}</p></article>"
+    w = words.strip()
+    assert main_text(f"<body>{page}</body>") == f"Head {w} A link alone. {w} {w}"
+    assert main_text("<body><article><p>Two words</p></article></body>") == "Two words"  # a short page
+
+
+def test_the_same_pages_without_marks():
+    """The windows alone, against the text of the marked pages: most of it is found."""
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()
+    same = total = both = 0
+    for p in pages:
+        want, got = main_text(p["html"]), main_text(re.sub("</?article>", "", p["html"]))
+        a, b = set(want.split(". ")), set(got.split(". "))
+        same += want == got
+        both, total = both + len(a & b), total + len(a | b)
+    assert same > 0.3 * len(pages) and both > 0.95 * total
+
+
+def test_forms():
+    body = f"<h1>T</h1><p>{'word ' * 60}end.</p>"
+    want = f"T {'word ' * 60}end."
+    for page in (f"<form><article>{body}</article></form>", f"<form id='aspnet'><div>{body}</div><input></form>", f"<form class='notice'><main>{body}</main></form>", f"<article>{body}<form><p>{'subscribe now to all of our letters ' * 4}</p></form></article>", f"<div>{body}</div><form><div class='content'><p>{'tell us what you think ' * 9}</p></div></form>"):
+        assert main_text(f"<body>{page}</body>") == want, page
+
+
+def test_reader_comments():
+    body = f"<p>{'word ' * 40}end.</p>"
+    want = f"{'word ' * 40}end."
+    said = f"<p>{'I think that this is so, and more of it. ' * 6}</p>"
+    for part in (f"<div class='reactions'>{said}</div>", f"<ol class='commentlist'><li>{said}</li></ol>", f"<div class='xyz'><h3>12 Comments</h3>{said}{said}</div>", f"<section><h2>Leave a reply</h2>{said}</section>", f"<div id='disqus_thread'>{said}</div>", f"<div class='comments'><div class='comments'><article>{said}</article></div>{said}</div>"):
+        assert main_text(f"<body><article>{body}{part}</article></body>") == want, part
+        assert main_text(f"<body><article>{body}</article>{part}</body>") == want, part
+    assert main_text(f"<body><article>{body}<h2>Comments</h2><p>are what a parser skips in a program.</p></article></body>") == want + " Comments are what a parser skips in a program."
+
+
+def test_words_around_or_on_the_only_part():
+    body = f"<p>{'word ' * 40}end.</p>"
+    want = f"{'word ' * 40}end."
+    for page in (f"<div class='share-page'><article>{body}</article></div>", f"<article class='related'>{body}</article>", f"<div class='alert'><div class='notice'><article>{body}</article></div></div>"):
+        assert main_text(f"<body>{page}</body>") == want, page
+
+
 def test_odd_pages():
     assert [main_text(x) for x in (None, "", " ", "<p", "<!--", "<script>", "<nav>menu")] == [""] * 7
     assert main_text("<body><nav><a href=x>menu</a></nav><h1>Short</h1><p>plain & short.</p></body>") == "Short plain & short."
