@@ -24,7 +24,8 @@ def nested(docs: DataFrame) -> DataFrame:
 
 @stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that the ordinal model calls toxic go."""
+    """Rows whose text the ordinal model calls toxic go. Null and empty texts are not toxic; repeated rows go or stay together; without
+    toxic labels, or rows, nothing goes."""
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
     name = free(docs, "_toxicity")
     return with_toxicity(docs, model, name).filter(~F.col(f"{name}.toxic")).drop(name)
@@ -32,7 +33,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that fail the base test, or whose posterior is below one half, go.
+    """Rows whose text fails the base test (null and empty ones do), or whose posterior is below one half, go; repeated rows go or stay
+    together; an empty table gives no rows.
 
     Texts are measured twice, for the votes and for the verdict: that costs less than a second copy of all texts.
     """
@@ -77,7 +79,8 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 @stage
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of sequences that a trainer reads, ids included."""
+    """The pieces of sequences that a trainer reads, ids included: a null or empty text is its end id alone, repeated rows and null ids
+    are packed row by row, an empty table gives no piece."""
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
