@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import stages
-from tessera.llm.common import stored, table
+from tessera.llm.common import settings_kept, stored, table
 
 STAGES = [
     ("toxicity", stages.drop_toxic),
@@ -21,6 +21,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name, keep=True)
+    with settings_kept(spark):
+        for name, stage in STAGES:
+            docs = stored(stage(spark, docs, sf_dir), name, keep=True)
     return docs
