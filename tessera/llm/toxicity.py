@@ -4,10 +4,10 @@ Severity has grades 0 (clean) to ``GRADES``. One weight vector is shared by all
 t_1 <= t_2 <= ...; the expected severity is the sum of these. x holds log(1 + count) of sparse text features: words and
 word beginnings of 4 to 6 letters. Features are those that enough labelled toxic texts have and few clean ones do.
 
-Labels know only toxic or not. Which of the grades 1 to 3 a toxic training text has is said by an annotator that the model does not
-share anything with: a quarter of the sampled texts, by hash, gives it a word list of its own, and a text's grade is 1, 2 or 3 by
-how many of its words are on that list (1, up to 3, more). The regression is fitted on the other three quarters with features
-chosen from these alone. Rows whose crc32(doc_id as text) mod 5 is 0 are held out: their labels are used for neither.
+Labels know only toxic or not, so a toxic training text's grade is censored: it is one of 1 to ``GRADES``, and its likelihood is that
+of the whole interval. That fixes the weights and t_1. What labels cannot say, how toxic texts are spread over the grades, is
+a stated convention: the further thresholds give each grade an equal expected share of the toxic training texts. No grade is
+made from the features. Rows whose crc32(doc_id as text) mod 5 is 0 are held out of the fit.
 
 The fit sees the labelled rows of at most ``SAMPLE`` doc_ids, of least hash, each different text once, and the model has at most
 ``MOST_FEATURES`` features, the most frequent; both are parameters of the model. Scoring covers all rows and whole texts.
@@ -35,9 +35,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import fresh, table
 from tessera.llm.pu_quality import held_out
 
-GRADES, SAMPLE, MOST_FEATURES = 3, 16000, 3000
-#: One in so many sampled texts makes the annotator's list.
-ANNOTATES = 4
+GRADES, SAMPLE, MOST_FEATURES = 3, 12000, 3000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -57,15 +55,14 @@ class Model:
         z = np.zeros(len(texts))
         for i, text in enumerate(texts):
             if text:
-                z[i] = sum(self.weights[k] * math.log1p(n) for k, n in counted(text, self.place, memo)[0].items())
+                z[i] = sum(self.weights[k] * math.log1p(n) for k, n in counted(text, self.place, memo).items())
         p = 1 / (1 + np.exp(-np.clip(z[:, None] - self.thresholds[None, :], -50, 50)))
         return p.sum(axis=1), p[:, 0]
 
 
-def counted(text: str, place: dict[str, int], memo: dict[str, tuple[int, ...]]) -> tuple[Counter, int]:
-    """(counts of features, words that carry one)."""
+def counted(text: str, place: dict[str, int], memo: dict[str, tuple[int, ...]]) -> Counter:
+    """Counts of features."""
     out: Counter = Counter()
-    carriers = 0
     for word in WORD.findall(text.lower()):
         hit = memo.get(word)
         if hit is None:
@@ -74,13 +71,13 @@ def counted(text: str, place: dict[str, int], memo: dict[str, tuple[int, ...]])
                 memo[word] = hit
         if hit:
             out.update(hit)
-            carriers += 1
-    return out, carriers
+    return out
 
 
-def fit_ordinal(x: np.ndarray, grades: np.ndarray, counts: np.ndarray | None = None, n_grades: int = GRADES, rounds: int = 500, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, grades: np.ndarray, counts: np.ndarray | None = None, n_grades: int = GRADES, rounds: int = 500, rate: float = 0.05, decay: float = 1e-4, most: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) of least penalised negative log-likelihood, by Adam; thresholds stay in order. ``counts`` says how
-    often each row occurs."""
+    often each row occurs. With ``most``, a row's grade is known to be from ``grades`` to ``most`` only."""
+    most = grades if most is None else most
     counts = np.ones(len(grades)) if counts is None else counts.astype(float)
     total = counts.sum()
     w = np.zeros(x.shape[1])
@@ -100,12 +97,12 @@ def fit_ordinal(x: np.ndarray, grades: np.ndarray, counts: np.ndarray | None = N
         z = x @ w
         p = np.column_stack([np.ones(len(z)), sigmoid(z[:, None] - cuts[None, :]), np.zeros(len(z))])
         at = np.arange(len(z))
-        likely = np.maximum(p[at, grades] - p[at, grades + 1], 1e-9)
+        likely = np.maximum(p[at, grades] - p[at, most + 1], 1e-9)
         slope = p * (1 - p)
-        g_z = -weight * (slope[at, grades] - slope[at, grades + 1]) / likely
+        g_z = -weight * (slope[at, grades] - slope[at, most + 1]) / likely
         g_cut = np.zeros(n_grades)
         for k in range(1, n_grades + 1):
-            g_cut[k - 1] = ((grades == k) * weight * slope[:, k] / likely - (grades == k - 1) * weight * slope[:, k] / likely).sum()
+            g_cut[k - 1] = ((grades == k) * weight * slope[:, k] / likely - (most == k - 1) * weight * slope[:, k] / likely).sum()
         tail = np.cumsum(g_cut[::-1])[::-1]
         g = np.concatenate([x.T @ g_z + decay * w, tail[:1], tail[1:] * np.exp(t[1:])])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -114,6 +111,19 @@ def fit_ordinal(x: np.ndarray, grades: np.ndarray, counts: np.ndarray | None = N
     return w, np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
 
 
+def spread_evenly(z: np.ndarray, counts: np.ndarray, first: float, n_grades: int = GRADES) -> np.ndarray:
+    """Thresholds from ``first`` on that give each grade the same expected share of the texts, by bisection."""
+    above = lambda t: (counts / (1 + np.exp(-np.clip(z - t, -50, 50)))).sum()
+    out = [first]
+    for k in range(1, n_grades):
+        want, low, high = above(first) * (n_grades - k) / n_grades, first, first + 100.0
+        for _ in range(60):
+            middle = (low + high) / 2
+            low, high = (middle, high) if above(middle) > want else (low, middle)
+        out.append(low)
+    return np.array(out)
+
+
 def chosen_features(sample: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
     """Features of at least 3 and 0.4 percent of toxic texts, 8 times as frequent there as in clean ones."""
 
@@ -131,40 +141,36 @@ def chosen_features(sample: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """The driver gets two lists of at most MOST_FEATURES features and a row of their counts for each text of the sample."""
+    """The driver gets at most MOST_FEATURES features and a row of their counts for each text of the sample."""
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).filter("toxic in (0, 1)").filter(~held_out(F.col("doc_id")))
     chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
-    texts = texts.withColumn("annotates", F.pmod(F.xxhash64("text", F.lit(11)), F.lit(ANNOTATES)) == 0)
-    counts = {(r.annotates, r.toxic): r["count"] for r in texts.groupBy("annotates", "toxic").count().collect()}
+    counts = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
     nothing = Model({}, np.zeros(0), np.linspace(9, 11, GRADES))
-    if not counts.get((False, 1)):
+    if not counts.get(1):
         return nothing
-    names, of_others = (chosen_features(texts.filter(F.col("annotates") == a), counts.get((a, 1), 0), counts.get((a, 0), 0)) for a in (False, True))
-    place, told = ({k: i for i, k in enumerate(x)} for x in (names, of_others))
+    names = chosen_features(texts, counts[1], counts.get(0, 0))
+    place = {k: i for i, k in enumerate(names)}
     if not place:
         return nothing
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
-        others: dict = {}
         for batch in batches:
-            given = batch.column("text").to_pylist()
-            found = [counted(t or "", place, memo)[0] for t in given]
-            carriers = [counted(t or "", told, others)[1] for t in given]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(carriers, pa.int32()), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], ["toxic", "carriers", "at", "n"])
+            found = [counted(t or "", place, memo) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], ["toxic", "at", "n"])
 
-    rows = texts.filter("not annotates").select("text", "toxic").mapInArrow(run, "toxic int, carriers int, at array<int>, n array<int>")
     alike: Counter = Counter()  # most clean texts have no feature at all
-    for r in rows.toLocalIterator():  # texts of ``sample`` ids
-        grade = 0 if not r.toxic else 1 if r.carriers <= 1 else 2 if r.carriers <= 3 else 3
-        alike[(grade, *sorted(zip(r.at, r.n, strict=True)))] += 1
+    for r in texts.select("text", "toxic").mapInArrow(run, "toxic int, at array<int>, n array<int>").toLocalIterator():  # texts of ``sample`` ids
+        alike[(r.toxic, *sorted(zip(r.at, r.n, strict=True)))] += 1
     seen = sorted(alike.items())
     x = np.zeros((len(seen), len(place)), np.float32)
     for i, ((_, *found), _) in enumerate(seen):
         for k, n in found:
             x[i, k] = math.log1p(n)
-    return Model(place, *fit_ordinal(x, np.array([k[0] for k, _ in seen]), np.array([n for _, n in seen])))
+    toxic, often = np.array([k[0] for k, _ in seen]), np.array([n for _, n in seen])
+    weights, thresholds = fit_ordinal(x, toxic, often, most=toxic * GRADES)
+    return Model(place, weights, spread_evenly((x @ weights)[toxic == 1], often[toxic == 1], float(thresholds[0])))
 
 
 def with_toxicity(docs: DataFrame, model: Model, name: str = "_toxicity") -> DataFrame:

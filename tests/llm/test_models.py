@@ -5,7 +5,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from tessera.llm.pu_quality import BINS, best_bin, bins, features, fit_pu, fit_quality, moments, moments_of, op3_pu_quality, score_quality
-from tessera.llm.toxicity import GRADES, fit_ordinal, fit_toxicity, op7_toxicity, with_toxicity
+from tessera.llm.toxicity import GRADES, fit_ordinal, fit_toxicity, op7_toxicity, spread_evenly, with_toxicity
 from tests.llm.conftest import ODD
 
 SF = "/root/testdata/sf0.01"
@@ -103,6 +103,19 @@ def test_ordinal_model_orders_its_thresholds():
     assert (np.diff(t) > 0).all() and abs(w[0] / -w[1] - 2) < 0.4 and abs(w[2]) < 0.2
 
 
+def test_censored_grades_fix_weights_and_the_first_threshold():
+    r = np.random.default_rng(2)
+    x = r.normal(0, 1, (4000, 3))
+    z = x @ np.array([2.0, -1.0, 0.0]) + r.logistic(size=4000)
+    toxic = (z > 0.5).astype(int)
+    w, t = fit_ordinal(x, toxic, most=toxic * GRADES)
+    assert abs(w[0] / -w[1] - 2) < 0.4 and abs(w[2]) < 0.2
+    t = spread_evenly((x @ w)[toxic == 1], np.ones(toxic.sum()), t[0])
+    p = 1 / (1 + np.exp(-((x @ w)[toxic == 1][:, None] - t)))
+    share = p.mean(axis=0)
+    assert (np.diff(t) > 0).all() and np.allclose(share / share[0], [1, 2 / 3, 1 / 3], atol=1e-6)
+
+
 def test_toxicity_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"  # sf0.01 holds out six toxic texts
     rows = op7_toxicity(spark, sf).collect()
