@@ -6,10 +6,10 @@ import random
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.box import Box, clip, ltwh_to_xywh, xyxy_to_xywh
+from tessera.functions.box import Box, clip, ltwh_to_xywh, ltwh_to_xyxy, xyxy_to_xywh
+from tessera.operators.running import running
 
 
 def class_statistics(labels: DataFrame, n_classes: int) -> DataFrame:
@@ -34,11 +34,7 @@ def rect_batches(images: DataFrame, batch: int, size: int, stride: int, pad: flo
 
 def numbered(df: DataFrame, by: list[str], name: str = "rank") -> DataFrame:
     """``df`` with each row's place from 0 in the order of ``by`` (unique), by a range sort and partition counts."""
-    part = df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()).persist()
-    counts = part.groupBy("_part").agg(F.count("*").alias("_n"))
-    shift = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_shift"))  # a row for each partition
-    at = F.row_number().over(W.partitionBy("_part").orderBy(*by)) - 1
-    return part.withColumn("_at", at).join(shift, "_part").withColumn(name, F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
+    return running(df, [], [F.col(c) for c in by], sums={name: F.lit(1)}).withColumn(name, F.col(name) - 1)
 
 
 def kfold(keys: list, k: int = 5, seed: int = 3) -> list[list]:
@@ -94,13 +90,34 @@ def _shares(df: DataFrame, b: Box, width: Column, height: Column, *keep) -> Data
     return df.select(*keep, (b.a / width).alias("cx"), (b.b / height).alias("cy"), (b.c / width).alias("w"), (b.d / height).alias("h"))
 
 
-def convert_coco(images: DataFrame, annotations: DataFrame, classes: Column | None = None) -> DataFrame:
-    """Crowds, empty boxes, repeats and categories without a class go."""
+#: The category ids below 91 that have no class of their own; the 80 others are numbered in order.
+UNUSED = [12, 26, 29, 30, 45, 66, 68, 69, 71, 83]
+
+
+def class_of_category(category: Column) -> Column:
+    """The class, 0 to 79, of a category id, 1 to 90; null for ids without a class."""
+    skipped = sum(((category > u).cast("int") for u in UNUSED), F.lit(0))
+    return F.when(category.between(1, 90) & ~category.isin(UNUSED), category.cast("int") - 1 - skipped)
+
+
+def category_of_class(cls: Column) -> Column:
+    """The category id of a class, 0 to 79."""
+    ids = [i for i in range(1, 91) if i not in UNUSED]
+    return F.get(F.array(*(F.lit(i) for i in ids)), cls.cast("int"))
+
+
+def convert_coco(images: DataFrame, annotations: DataFrame, classes: Column | None = None, clipped: bool = False, shapes: bool = False) -> DataFrame:
+    """Crowds, empty boxes, repeats and categories without a class go. ``classes`` is a map, or else classes are ids less 1. With
+    ``clipped``, boxes end at the image's border; with ``shapes``, segments (an array of x and y in turn) and keypoints (x, y,
+    visibility in turn) come along, as shares of the image."""
     c = F.col
     a = annotations.filter("iscrowd = 0").join(images.select(c("id").alias("image_id"), "file_name", "width", "height"), "image_id").filter((F.get("bbox", 2) > 0) & (F.get("bbox", 3) > 0))
-    b = ltwh_to_xywh(Box(*(F.get("bbox", i) for i in range(4))))
+    given = Box(*(F.get("bbox", i) for i in range(4)))
+    b = xyxy_to_xywh(clip(ltwh_to_xyxy(given), c("width"), c("height"))) if clipped else ltwh_to_xywh(given)
     cls = F.element_at(classes, c("category_id").cast("int")) if classes is not None else c("category_id").cast("int") - 1
-    return _shares(a, b, c("width"), c("height"), "file_name", cls.alias("cls")).filter("cls is not null").dropDuplicates()
+    share = lambda x, i, n: F.when(i % n == 0, x / c("width")).when(i % n == 1, x / c("height")).otherwise(x)
+    more = [F.transform("segmentation", lambda x, i: share(x, i, 2)).alias("segment"), F.transform("keypoints", lambda x, i: share(x, i, 3)).alias("keypoints")] if shapes else []
+    return _shares(a, b, c("width"), c("height"), "file_name", cls.alias("cls"), *more).filter("cls is not null").dropDuplicates()
 
 
 def convert_quads(rows: DataFrame, classes: Column) -> DataFrame:

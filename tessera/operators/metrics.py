@@ -6,43 +6,65 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.running import running
+
 #: Overlap thresholds of a mean average precision.
 THRESHOLDS = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]
 
 
 def precision_recall(pred: DataFrame, matches: DataFrame, gt: DataFrame, thresholds: list[float], key: str = "det_id") -> DataFrame:
-    """(thr, cls, det, conf, tp, recall, precision) along falling confidence, per class and threshold."""
-    hits = matches.select("thr", key).withColumn("hit", F.lit(1))
-    rows = pred.select(key, "cls", "conf").withColumn("thr", F.explode(F.array(*(F.lit(t) for t in thresholds)))).join(hits, ["thr", key], "left")
-    w = W.partitionBy("thr", "cls").orderBy(F.desc("conf"), key).rowsBetween(W.unboundedPreceding, 0)
+    """(thr, cls, det, conf, tp, rank, n_gt, recall, precision) along falling confidence, per class and threshold.
+
+    Detections are sorted once, by class and confidence, with a running sum for each threshold; classes may be of any size.
+    """
+    hit = matches.groupBy(key).agg(F.collect_set("thr").alias("_at"))  # as many as thresholds, at most
+    rows = pred.select(key, "cls", "conf").join(hit, key, "left")
+    sums = {f"_t{i}": F.when(F.array_contains("_at", F.lit(t)), 1).otherwise(0) for i, t in enumerate(thresholds)}
+    wide = running(rows, ["cls"], [F.desc("conf"), F.col(key)], sums={"rank": F.lit(1), **sums})
     labels = gt.groupBy("cls").agg(F.count("*").alias("n_gt"))
-    curve = rows.withColumn("tp", F.sum(F.coalesce("hit", F.lit(0))).over(w)).withColumn("rank", F.count("*").over(w)).join(labels, "cls")
+    at = F.explode(F.array(*(F.struct(F.lit(t).alias("thr"), F.col(f"_t{i}").alias("tp")) for i, t in enumerate(thresholds))))
+    curve = wide.join(F.broadcast(labels), "cls").select("cls", key, "conf", "rank", "n_gt", at.alias("t")).select("*", "t.*")  # a row for each class
     return curve.select("thr", "cls", key, "conf", "tp", "rank", "n_gt", (F.col("tp") / (F.col("n_gt") + 1e-16)).alias("recall"), (F.col("tp") / F.col("rank")).alias("precision"))
 
 
-def average_precision(curve: DataFrame, key: str = "det_id") -> DataFrame:
+def average_precision(curve: DataFrame) -> DataFrame:
     """(thr, cls, ap, n_gt): the envelope of precision at 101 recalls, trapezoid area.
 
     The envelope's value between two recalls is interpolated; before the first recall it is the envelope's first value, and
-    after the last it falls to 0 at recall 1. Of points of equal recall the last one's envelope counts.
+    after the last it falls to 0 at recall 1. Of points of equal recall the last one's envelope counts. Of all points between
+    two grid points the first and the last alone are kept, which groups find; so a class takes 101 rows from there on.
     """
-    back = W.partitionBy("thr", "cls").orderBy(F.desc("rank")).rowsBetween(W.unboundedPreceding, 0)
-    env = curve.withColumn("env", F.max("precision").over(back))
-    # of equal recalls only the ends matter: interpolation enters at the first and leaves from the last
-    ends = env.groupBy("thr", "cls", "n_gt", "recall").agg(F.max("env").alias("enter"), F.min("env").alias("leave"))
-    start = env.select("thr", "cls", "n_gt").distinct().select("*", F.lit(0.0).alias("recall"), F.lit(1.0).alias("enter"), F.lit(1.0).alias("leave"))
-    knots = ends.unionByName(start).groupBy("thr", "cls", "n_gt", "recall").agg(F.max("enter").alias("enter"), F.min("leave").alias("leave"))
-    after = W.partitionBy("thr", "cls").orderBy("recall")
     c = F.col
-    spans = knots.withColumn("to", F.coalesce(F.lead("recall").over(after), F.lit(1.0))).withColumn("to_env", F.coalesce(F.lead("enter").over(after), F.lit(0.0)))
-    # each span makes the few grid points in it, so there are 101 rows per class and threshold and no range join
-    low, high = F.ceil(c("recall") * 100 - 1e-6).cast("int"), F.floor(c("to") * 100 + 1e-6).cast("int")
-    at = spans.filter((low <= high) & (c("recall") < c("to"))).withColumn("k", F.explode(F.sequence(low, high))).withColumn("x", c("k") / 100)
-    at = at.filter((c("x") >= c("recall")) & ((c("x") < c("to")) | ((c("x") == 1.0) & (c("to") == 1.0))))
+    env = running(curve.select("thr", "cls", "n_gt", "rank", "recall", "precision"), ["thr", "cls"], [F.desc("rank")], tops={"env": c("precision")})
+    # the first grid point at or after a recall
+    near = F.ceil(c("recall") * 100 - 1e-6)
+    env = env.withColumn("k", F.when(near / 100 >= c("recall"), near).otherwise(near + 1).cast("int"))
+    point = F.struct("recall", (-c("env")).alias("down"))
+    ends = env.groupBy("thr", "cls", "n_gt", "k").agg(F.min(point).alias("first"), F.max(point).alias("last"))
+    groups = env.select("thr", "cls", "n_gt").distinct()
+    grid = groups.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(100)))).join(ends, ["thr", "cls", "n_gt", "k"], "left")
+    by = W.partitionBy("thr", "cls", "n_gt").orderBy("k")  # 101 rows
+    start = F.struct(F.lit(0.0).alias("recall"), F.lit(-1.0).alias("down"))
+    grid = grid.withColumn("left", F.coalesce(F.last("last", ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, 0)), start))
+    grid = grid.withColumn("right", F.first("first", ignorenulls=True).over(by.rowsBetween(1, W.unboundedFollowing)))
+    x, r, leave = c("k") / 100, c("left.recall"), -c("left.down")
+    to, enter = F.coalesce(c("right.recall"), F.lit(1.0)), F.coalesce(-c("right.down"), F.lit(0.0))
     # at recall 1 the last point is the closing one, at height 0
-    at = at.withColumn("y", F.when(c("x") == 1.0, 0.0).otherwise(c("leave") + (c("to_env") - c("leave")) * (c("x") - c("recall")) / (c("to") - c("recall"))))
-    weight = F.when((F.col("k") == 0) | (F.col("k") == 100), 0.005).otherwise(0.01)
-    return at.groupBy("thr", "cls", "n_gt").agg(F.sum(F.col("y") * weight).alias("ap"))
+    y = F.when(c("k") == 100, 0.0).otherwise(leave + (enter - leave) * (x - r) / (to - r))
+    weight = F.when((c("k") == 0) | (c("k") == 100), 0.005).otherwise(0.01)
+    return grid.groupBy("thr", "cls", "n_gt").agg(F.sum(y * weight).alias("ap"))
+
+
+def best_confidence(curve: DataFrame, n_classes: int) -> DataFrame:
+    """(k, f1): mean F1 over the classes at confidence k / 100, from each class's last row at or above it."""
+    c = F.col
+    f1 = 2 * c("precision") * c("recall") / (c("precision") + c("recall") + 1e-16)
+    last = curve.withColumn("k", F.floor(c("conf") * 100 + 1e-9)).groupBy("cls", "k").agg(F.max(F.struct("rank", f1.alias("f1"))).alias("at"))  # 101 rows a class
+    down = W.partitionBy("cls").orderBy(F.desc("k")).rowsBetween(W.unboundedPreceding, 0)
+    grid = last.select("cls").distinct().withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(100).cast("long")))).join(last, ["cls", "k"], "full")
+    held = grid.withColumn("at", F.max("at").over(down)).filter("k between 0 and 100")
+    mean = held.groupBy("k").agg((F.sum("at.f1") / n_classes).alias("f1"))
+    return mean.select("k", F.coalesce("f1", F.lit(0.0)).alias("f1"))
 
 
 def confusion_matrix(pred: DataFrame, gt: DataFrame, matches: DataFrame, background: int, parity: bool = True) -> DataFrame:

@@ -269,13 +269,7 @@ def f1_operating_point(spark, sf):
     from pyspark.sql import Window as W
 
     c = F.col
-    f = curve(spark, sf).filter("thr = 0.5").withColumn("f1", 2 * c("precision") * c("recall") / (c("precision") + c("recall") + 1e-16))
-    # the last row at or above each grid point: every row serves the points from its confidence down to the next row's
-    nxt = F.lead("conf").over(W.partitionBy("cls").orderBy("rank"))
-    f = f.withColumn("low", F.floor(F.coalesce(nxt, F.lit(-0.01)) * 100 + 1e-9) + 1).withColumn("high", F.floor(c("conf") * 100 + 1e-9))
-    at = f.filter("low <= high").withColumn("k", F.explode(F.sequence("low", "high"))).filter("k between 0 and 100")
-    mean = at.groupBy("k").agg((F.sum("f1") / 5).alias("f1"))
-    z = spark.range(101).withColumnRenamed("id", "k").join(mean, "k", "left").select("k", F.coalesce("f1", F.lit(0.0)).alias("f1"), F.lit(0).alias("one"))
+    z = E.best_confidence(curve(spark, sf).filter("thr = 0.5"), 5).withColumn("one", F.lit(0))
     s = z.select("k", F.avg("f1").over(W.partitionBy("one").orderBy("k").rowsBetween(-5, 5)).alias("f1"))  # 101 rows
     return s.orderBy(F.desc(F.round("f1", 9)), "k").limit(1).select((c("k") / 100).alias("conf"), F.round("f1", 6).alias("f1"))
 
