@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +85,59 @@ def mosaic(labels: DataFrame, size: float) -> DataFrame:
     return out.filter(area(Box(*(F.col(c) for c in ("x1", "y1", "x2", "y2")))) > 0)
 
 
+#: Where the images of a mosaic lie, in image sides from the middle one, in their order: for three the middle, the right and
+#: the left one; for nine the middle one and those around it, clockwise from the top.
+PLACES = {3: [(1, 1), (2, 1), (0, 1)], 9: [(1, 1), (1, 0), (2, 0), (2, 1), (2, 2), (1, 2), (0, 2), (0, 1), (0, 0)]}
+
+
+def mosaic_row(labels: DataFrame, n: int, side: float) -> DataFrame:
+    """Labels of ``n`` (3 or 9) consecutive images of one side around a middle one, in the frame of twice the side about it."""
+    k = F.col("image_id") % n
+    dx, dy = (sum((F.when(k == i, F.lit(p[a] * side)).otherwise(0.0) for i, p in enumerate(PLACES[n])), F.lit(0.0)) - side / 2 for a in (0, 1))
+    x = clip(Box(F.col("x1") + dx, F.col("y1") + dy, F.col("x2") + dx, F.col("y2") + dy), 2 * side, 2 * side)
+    out = labels.select(F.floor(F.col("image_id") / n).cast("long").alias("mosaic"), "gt_id", "cls", *x.named("x1", "y1", "x2", "y2", digits=None))
+    return out.filter(area(Box(*(F.col(c) for c in ("x1", "y1", "x2", "y2")))) > 0)
+
+
+def mixup(labels: DataFrame, order: DataFrame) -> DataFrame:
+    """Labels of each image and of its partner, the next in ``order`` (image_id, rank from 0); ``own`` tells them apart."""
+    n = order.count()
+    partners = order.select(F.col("image_id").alias("of"), "rank").withColumn("rank", (F.col("rank") + 1) % n).join(order.withColumnRenamed("image_id", "partner"), "rank").drop("rank")
+    both = partners.select("of", F.explode(F.array_distinct(F.array("of", "partner"))).alias("image_id"))
+    out = both.join(labels, "image_id").withColumn("own", F.col("of") == F.col("image_id"))
+    return out.drop("image_id").withColumnRenamed("of", "image_id")
+
+
+def mixup_ratio(seed: int) -> float:
+    """How much of the image itself a blend holds: Beta(32, 32), near one half."""
+    return random.Random(seed).betavariate(32.0, 32.0)
+
+
+def perspective_matrix(width: float, height: float, angle: float, scale: float, shear: tuple[float, float], shift: tuple[float, float], tilt: tuple[float, float]) -> list[list[float]]:
+    """Shift times shear times rotation and scale times tilt times centring, as a 3 by 3 matrix; angles in degrees."""
+    turn, a = math.radians(angle), [math.tan(math.radians(x)) for x in shear]
+    cos, sin = scale * math.cos(turn), scale * math.sin(turn)
+    parts = [
+        [[1, 0, shift[0] * width], [0, 1, shift[1] * height], [0, 0, 1]],
+        [[1, a[0], 0], [a[1], 1, 0], [0, 0, 1]],
+        [[cos, sin, 0], [-sin, cos, 0], [0, 0, 1]],
+        [[1, 0, 0], [0, 1, 0], [tilt[0], tilt[1], 1]],
+        [[1, 0, -width / 2], [0, 1, -height / 2], [0, 0, 1]],
+    ]
+    out = parts[0]
+    for m in parts[1:]:
+        out = [[sum(r[k] * m[k][j] for k in range(3)) for j in range(3)] for r in out]
+    return [[float(x) for x in r] for r in out]
+
+
+def through(x: Box, m: list[list[float]]) -> Box:
+    """The upright box around a box's four corners, each through the matrix."""
+    at = lambda u, v: [r[0] * u + r[1] * v + r[2] for r in m]
+    points = [at(u, v) for u, v in ((x.a, x.b), (x.c, x.d), (x.a, x.d), (x.c, x.b))]
+    xs, ys = [p[0] / p[2] for p in points], [p[1] / p[2] for p in points]
+    return Box(F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys))
+
+
 def utm(lon: Column, lat: Column, zone: int, south: bool) -> tuple[Column, Column]:
     """(easting, northing) on WGS 84, by Krueger's series to the third order in the flattening."""
     a, f = 6378137.0, 1 / 298.257223563

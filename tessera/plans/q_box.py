@@ -76,13 +76,27 @@ def box_container(spark, sf):
 @query("obb_corners", f"""{cte('obb')} SELECT gt_id, round(cx + w/2*cos(theta) - h/2*sin(theta), 5) x1, round(cy + w/2*sin(theta) + h/2*cos(theta), 5) y1,
   round(cx + w/2*cos(theta) + h/2*sin(theta), 5) x2, round(cy + w/2*sin(theta) - h/2*cos(theta), 5) y2, round(w, 4) rw, round(h, 4) rh FROM obb""")
 def obb_corners(spark, sf):
-    """GEO6, GEO7: corners of rotated boxes, and their sizes again from the corners."""
+    """GEO6: corners of rotated boxes, and their sizes again from the corners."""
     p = B.obb_corners(*(F.col(c) for c in ("cx", "cy", "w", "h", "theta")))
     _, _, w, h, _ = B.obb_from_corners(p)
     r = lambda v, n, d=5: F.round(v, d).alias(n)
     return view(spark, sf, "obb").select("gt_id", r(p[0][0], "x1"), r(p[0][1], "y1"), r(p[1][0], "x2"), r(p[1][1], "y2"), r(w, "rw", 4), r(h, "rh", 4))
 
 
+_RING = [("x1", "y1"), ("x2", "y1 + gt_id % 5"), ("x2 - gt_id % 7", "y2"), ("x1 + 3", "y2 - gt_id % 11")]
+
+
+@query("least_rectangles", f"""{GT}, p AS (SELECT gt_id, [{", ".join(f"{{'x': {x}, 'y': {y}}}" for x, y in _RING)}] r FROM gt), e AS (SELECT gt_id, r, unnest([1,2,3,4]) i FROM p), d AS (SELECT gt_id, r, r[i % 4 + 1].x - r[i].x dx, r[i % 4 + 1].y - r[i].y dy FROM e),
+t AS (SELECT gt_id, list_transform(r, lambda q: (q.x*dx + q.y*dy)/sqrt(dx*dx+dy*dy)) u, list_transform(r, lambda q: (q.y*dx - q.x*dy)/sqrt(dx*dx+dy*dy)) v FROM d) SELECT gt_id, round(min((list_max(u)-list_min(u))*(list_max(v)-list_min(v))), 4) AS area FROM t GROUP BY gt_id""")
+def least_rectangles(spark, sf):
+    """GEO7: the rectangle of least area around a quadrilateral; one of its sides lies along one of the hull's."""
+    from tessera.operators import shapes as S
+
+    ring = F.array(*(F.struct(F.expr(x).cast("double").alias("x"), F.expr(y).cast("double").alias("y")) for x, y in _RING))
+    r = S.rectangles(ring)
+    return view(spark, sf, "gt").withColumn("r", r).select("gt_id", F.round(F.col("r.w") * F.col("r.h"), 4).alias("area"))
+
+
 @query("results_accessors", f"""{cte('pred')} SELECT det_id, cls, conf, round((x1+x2)/2/640, 8) cxn, round((y1+y2)/2/480, 8) cyn, round(x1/640, 8) x1n, round(y2/480, 8) y2n FROM pred""")
 def results_accessors(spark, sf):
     """GEO20: derived views of detections."""
@@ -222,12 +236,12 @@ def segment_boxes(spark, sf):
 
 
 @query("segment_resample", f"""{GT}, k AS (SELECT unnest(range(9)) k) SELECT gt_id, k, round(CASE WHEN k*0.5 < 1 THEN x1 + (x2-x1)*k*0.5 WHEN k*0.5 < 2 THEN x2 WHEN k*0.5 < 3 THEN x2 - (x2-x1)*(k*0.5-2) ELSE x1 END, 6) x,
-  round(CASE WHEN k*0.5 < 1 THEN y1 WHEN k*0.5 < 2 THEN y1 + (y2-y1)*(k*0.5-1) WHEN k*0.5 < 3 THEN y2 ELSE y2 - (y2-y1)*(k*0.5-3) END, 6) y FROM gt, k WHERE gt_id % 10 = 0""")
+  round(CASE WHEN k*0.5 < 1 THEN y1 WHEN k*0.5 < 2 THEN y1 + (y2-y1)*(k*0.5-1) WHEN k*0.5 < 3 THEN y2 ELSE y2 - (y2-y1)*(k*0.5-3) END, 6) y FROM gt, k""")
 def segment_resample(spark, sf):
     """GEO13: n points at even index steps along the closed ring."""
     c = F.col
     ring = F.array(*(F.struct(c(x).alias("x"), c(y).alias("y")) for x, y in (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2"))))
-    out = view(spark, sf, "gt").filter("gt_id % 10 = 0").withColumn("ring", ring).select("gt_id", F.posexplode(P.resample(c("ring"), 9)).alias("k", "p"))
+    out = view(spark, sf, "gt").withColumn("ring", ring).select("gt_id", F.posexplode(P.resample(c("ring"), 9)).alias("k", "p"))
     return out.select("gt_id", F.col("k").cast("long").alias("k"), F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
 
 
@@ -285,10 +299,60 @@ def hsv_tables(spark, sf):
 @query("mosaic_labels", f"""{GT}, m AS (SELECT image_id, gt_id, cls, x1 + CASE WHEN image_id % 4 IN (1,3) THEN 320 ELSE -320 END x1, y1 + CASE WHEN image_id % 4 >= 2 THEN 320 ELSE -320 END y1, x2 + CASE WHEN image_id % 4 IN (1,3) THEN 320 ELSE -320 END x2, y2 + CASE WHEN image_id % 4 >= 2 THEN 320 ELSE -320 END y2 FROM gt),
 c AS (SELECT CAST(floor(image_id/4e0) AS BIGINT) mosaic, gt_id, cls, least(greatest(x1,0),640) x1, least(greatest(y1,0),640) y1, least(greatest(x2,0),640) x2, least(greatest(y2,0),640) y2 FROM m) SELECT * FROM c WHERE (x2-x1)*(y2-y1) > 0""")
 def mosaic_labels(spark, sf):
-    """AUG2, AUG3, AUG8: four images' labels in one frame, clipped, without empty boxes."""
+    """AUG2: four images' labels in one frame, clipped, without empty boxes."""
     return P.mosaic(view(spark, sf, "gt"), 640.0)
 
 
+def _tiles_sql(n):
+    """Boxes of ``n`` images in a frame of twice their side: every tile's offset, clipped, without empty ones."""
+    places = " ".join(f"WHEN {i} THEN {{}}" for i in range(n))
+    dx, dy = (places.format(*(p[k] for p in P.PLACES[n])) for k in (0, 1))
+    edge = lambda c, d: f"least(greatest({c} + CASE image_id % {n} {d} END * 640 - 320, 0), 1280)"
+    return f"{GT}, m AS (SELECT CAST(floor(image_id/{n}e0) AS BIGINT) mosaic, gt_id, cls, {edge('x1', dx)} x1, {edge('y1', dy)} y1, {edge('x2', dx)} x2, {edge('y2', dy)} y2 FROM gt) SELECT * FROM m WHERE (x2-x1)*(y2-y1) > 0"
+
+
+@query("mosaic_of_three", _tiles_sql(3))
+def mosaic_of_three(spark, sf):
+    """AUG2: three images side by side; the outer two are cut at the frame."""
+    return P.mosaic_row(view(spark, sf, "gt"), 3, 640.0)
+
+
+@query("mosaic_of_nine", _tiles_sql(9))
+def mosaic_of_nine(spark, sf):
+    """AUG2: one image and the eight around it, cut at the frame."""
+    return P.mosaic_row(view(spark, sf, "gt"), 9, 640.0)
+
+
+@query("mixup_labels", f"{GT}, p AS (SELECT image_id, lead(image_id, 1, (SELECT min(image_id) FROM gt)) OVER (ORDER BY image_id) partner FROM (SELECT DISTINCT image_id FROM gt) i) SELECT p.image_id, gt_id, cls, gt.image_id = p.image_id AS own, x1, y1, x2, y2 FROM p JOIN gt ON gt.image_id IN (p.image_id, p.partner)")
+def mixup_labels(spark, sf):
+    """AUG3: an image's labels and those of the next image, which is blended with it (``P.mixup_ratio`` draws how much)."""
+    from tessera.operators.datasets import numbered
+
+    g = view(spark, sf, "gt")
+    order = numbered(g.select("image_id").distinct(), ["image_id"])
+    return P.mixup(g, order).select("image_id", "gt_id", "cls", "own", "x1", "y1", "x2", "y2")
+
+
+_M = P.perspective_matrix(640, 480, angle=7.0, scale=0.9, shear=(3.0, -2.0), shift=(0.52, 0.47), tilt=(0.0002, -0.0001))
+_AT = lambda x, y: tuple(f"(({r[0]!r})*{x} + ({r[1]!r})*{y} + ({r[2]!r}))" for r in _M)
+_CORNERS = [("x1", "y1"), ("x2", "y2"), ("x1", "y2"), ("x2", "y1")]
+
+
+@query("perspective_boxes", f"{GT}, p AS (SELECT gt_id, " + ", ".join(f"{_AT(x, y)[0]}/{_AT(x, y)[2]} px{i}, {_AT(x, y)[1]}/{_AT(x, y)[2]} py{i}" for i, (x, y) in enumerate(_CORNERS)) + " FROM gt) SELECT gt_id, round(greatest(least(least(px0,px1,px2,px3),640),0), 5) x1, round(greatest(least(least(py0,py1,py2,py3),480),0), 5) y1, round(greatest(least(greatest(px0,px1,px2,px3),640),0), 5) x2, round(greatest(least(greatest(py0,py1,py2,py3),480),0), 5) y2 FROM p")
+def perspective_boxes(spark, sf):
+    """AUG4: boxes through the product of centring, tilt, rotation and scale, shear and shift, clipped."""
+    x = B.clip(P.through(B.box(), _M), 640.0, 480.0)
+    return view(spark, sf, "gt").select("gt_id", *x.named("x1", "y1", "x2", "y2", digits=5))
+
+
+@query("format_labels", f"{cte('obb')} SELECT gt_id, cls, image_id AS batch_idx, round(cx/640, 8) cx, round(cy/480, 8) cy, round(w/640, 8) w, round(h/480, 8) h, round(theta, 8) theta FROM obb")
+def format_labels(spark, sf):
+    """AUG8: labels as a model takes them: class, box as shares, angle, number in the batch."""
+    c = F.col
+    r = lambda x, n: F.round(x, 8).alias(n)
+    return view(spark, sf, "obb").select("gt_id", "cls", c("image_id").alias("batch_idx"), r(c("cx") / 640, "cx"), r(c("cy") / 480, "cy"), r(c("w") / 640, "w"), r(c("h") / 480, "h"), r("theta", "theta"))
+
+
 @query("wasserstein_similarity", f"""{GT} SELECT a.gt_id, round(exp(-sqrt(power((a.x1+a.x2-b.x1-b.x2)/2,2) + power((a.y1+a.y2-b.y1-b.y2)/2,2) + (power(a.x2-a.x1-b.x2+b.x1,2) + power(a.y2-a.y1-b.y2+b.y1,2))/4 + 1e-7)/12.8), 8) similarity FROM gt a JOIN gt b ON a.image_id = b.image_id AND b.gt_id = a.gt_id + 1""")
 def wasserstein_similarity(spark, sf):
     """MSC6: exp(-W2/12.8) of boxes as Gaussians."""

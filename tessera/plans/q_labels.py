@@ -20,12 +20,12 @@ def names():
 
 _NAME = "CASE cls WHEN 0 THEN 'person' WHEN 1 THEN 'dog' WHEN 2 THEN 'cat' WHEN 3 THEN 'car' ELSE 'bus' END"
 #: Label texts made from the boxes: some classes out of range, some rows short, negative or repeated.
-LINES = GT + """, ll AS (SELECT image_id, gt_id, cls + CASE WHEN gt_id % 97 = 5 THEN 9 ELSE 0 END k, (x1+x2)/2/640 a, (y1+y2)/2/640 b, (x2-x1)/640 c, (y2-y1)/640 d, gt_id % 89 = 3 short FROM gt WHERE gt_id % 3 = 0 AND x1 > -15)"""
+LINES = GT + """, ll AS (SELECT image_id, gt_id, cls + CASE WHEN gt_id % 97 = 5 THEN 9 ELSE 0 END k, (x1+x2)/2/640 a, (y1+y2)/2/640 b, (x2-x1)/640 c, (y2-y1)/640 d, gt_id % 89 = 3 short FROM gt WHERE x1 > -15)"""
 
 
 def lines(spark, sf):
     c = F.col
-    g = view(spark, sf, "gt").filter("gt_id % 3 = 0 AND x1 > -15")
+    g = view(spark, sf, "gt").filter("x1 > -15")
     k = c("cls") + F.when(c("gt_id") % 97 == 5, 9).otherwise(0)
     four = F.concat_ws(" ", *(F.format_string("%.8f", x) for x in ((c("x1") + c("x2")) / 2 / 640, (c("y1") + c("y2")) / 2 / 640, (c("x2") - c("x1")) / 640, (c("y2") - c("y1")) / 640)))
     return g.select(c("image_id").alias("file"), "gt_id", F.concat(F.lit("  "), k.cast("string"), F.lit(" "), F.when(c("gt_id") % 89 == 3, "0.5").otherwise(four), F.lit(" ")).alias("value"))
@@ -59,11 +59,12 @@ def label_paths(spark, sf):
     return p.select("p_partkey", S.label_path(F.col("path")).alias("label"), S.extension(F.col("path")).alias("ext"), S.stem(F.col("path")).alias("stem"))
 
 
-@query("image_label_pairs", GT + ", i AS (SELECT unnest(range(0, 40)) image_id) SELECT i.image_id, count(gt_id) n, count(gt_id) = 0 AS missing FROM i LEFT JOIN gt ON gt.image_id = i.image_id AND gt.gt_id % 2 = 0 GROUP BY i.image_id")
+@query("image_label_pairs", GT + ", i AS (SELECT image_id FROM gt UNION SELECT image_id + 5 FROM gt) SELECT i.image_id, count(gt_id) n, count(gt_id) = 0 AS missing FROM i LEFT JOIN gt ON gt.image_id = i.image_id GROUP BY i.image_id")
 def image_label_pairs(spark, sf):
-    """JN19, JN20: images with their labels by key; an image may have none."""
-    i = spark.range(40).withColumnRenamed("id", "image_id")
-    j = i.join(view(spark, sf, "gt").filter("gt_id % 2 = 0").select("image_id", "gt_id"), "image_id", "left")
+    """JN19, JN20: images with their labels by key; an image may have none, as the five after the last."""
+    g = view(spark, sf, "gt").select("image_id", "gt_id")
+    i = g.select("image_id").union(g.select(F.col("image_id") + 5)).distinct()
+    j = i.join(g, "image_id", "left")
     return j.groupBy("image_id").agg(F.count("gt_id").alias("n"), (F.count("gt_id") == 0).alias("missing"))
 
 
@@ -110,10 +111,10 @@ def kfold_split(spark, sf):
     return D.kfold_by_hash(table(spark, sf, "customer").select("c_custkey"), "c_custkey")
 
 
-@query("autosplit", f"SELECT p_partkey, CASE WHEN {HASH.format('p_partkey', 0)} % 1000000 < 900000 THEN 'train' ELSE 'val' END AS split FROM part")
+@query("autosplit", f"SELECT p_partkey, CASE WHEN {HASH.format('p_partkey', 0)} % 1000000 < 800000 THEN 'train' WHEN {HASH.format('p_partkey', 0)} % 1000000 < 950000 THEN 'val' ELSE 'test' END AS split FROM part")
 def autosplit(spark, sf):
-    """ORD4, SNK11 by hash."""
-    return D.autosplit_by_hash(table(spark, sf, "part").select("p_partkey"), "p_partkey")
+    """ORD4, SNK11 by hash, in shares of 0.8, 0.15 and 0.05."""
+    return D.autosplit_by_hash(table(spark, sf, "part").select("p_partkey"), "p_partkey", (0.8, 0.15, 0.05))
 
 
 @query("whole_batches", "WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 k, count(*) OVER () n FROM orders) SELECT o_orderkey, CAST(floor(k/64e0) AS BIGINT) batch FROM r WHERE floor(k/64e0) < floor(n/64e0)")
@@ -133,17 +134,45 @@ def _coco(spark, sf):
 
 @query("coco_convert", GT + " SELECT DISTINCT printf('%06d.jpg', image_id) file_name, CAST(cls AS INT) cls, round((x1+x2)/2/640, 8) cx, round((y1+y2)/2/480, 8) cy, round((x2-x1)/640, 8) w, round((y2-y1)/480, 8) h FROM gt WHERE gt_id % 13 <> 0 AND gt_id % 17 <> 0")
 def coco_convert(spark, sf):
-    """SRC9, SRC10, JN21, FLT8, CNV1, CNV8."""
+    """SRC9, SRC10, JN21, FLT8, CNV1."""
     c = D.convert_coco(*_coco(spark, sf))
     return c.select("file_name", "cls", *(F.round(x, 8).alias(x) for x in ("cx", "cy", "w", "h"))).dropDuplicates()
 
 
+_USED = "(SELECT id, row_number() OVER (ORDER BY id) - 1 AS cls FROM (SELECT unnest(range(1, 91)) id) t WHERE id NOT IN (12, 26, 29, 30, 45, 66, 68, 69, 71, 83))"
+
+
+@query("coco_shapes", GT + f""", u AS {_USED} SELECT gt_id, CAST(u.cls AS INT) cls, round(x1/640, 8) s0, round(y1/480, 8) s1, round(x2/640, 8) s2, round(y2/480, 8) s3, round((x1+x2)/2/640, 8) k0, round((y1+y2)/2/480, 8) k1, CAST(gt_id % 3 AS DOUBLE) v
+  FROM gt JOIN u ON u.id = gt_id % 95 WHERE gt_id % 13 <> 0 AND gt_id % 17 <> 0""")
+def coco_shapes(spark, sf):
+    """CNV1, JN22: categories 1 to 90 as classes 0 to 79, with segments and keypoints as shares."""
+    c = F.col
+    images, a = _coco(spark, sf)
+    g = view(spark, sf, "gt").select("image_id", "gt_id", "x1", "y1", "x2", "y2")
+    a = g.select("image_id", F.when(D.class_of_category(c("gt_id") % 95).isNotNull(), D.class_of_category(c("gt_id") % 95) + 1).alias("category_id"), F.array("x1", "y1", c("x2") - c("x1"), c("y2") - c("y1") - F.when(c("gt_id") % 17 == 0, 100).otherwise(0)).alias("bbox"), (c("gt_id") % 13 == 0).cast("int").alias("iscrowd"),
+                 F.array("x1", "y1", "x2", "y2").alias("segmentation"), F.array((c("x1") + c("x2")) / 2, (c("y1") + c("y2")) / 2, (c("gt_id") % 3).cast("double"), c("gt_id").cast("double")).alias("keypoints"))
+    out = D.convert_coco(images, a, shapes=True)
+    at = lambda x, i, n: F.round(F.get(x, i), 8).alias(n)
+    gt_id = F.round(F.get("keypoints", 3) * 640).cast("long").alias("gt_id")  # carried as a fourth number
+    return out.select(gt_id, "cls", *(at("segment", i, f"s{i}") for i in range(4)), at("keypoints", 0, "k0"), at("keypoints", 1, "k1"), F.get("keypoints", 2).alias("v"))
+
+
+@query("clipped_convert", GT + """, c AS (SELECT DISTINCT image_id, cls, least(greatest(x1,0),600) a, least(greatest(y1,0),440) b, least(greatest(x2,0),600) c, least(greatest(y2,0),440) d FROM gt WHERE gt_id % 13 <> 0 AND gt_id % 17 <> 0)
+SELECT DISTINCT printf('%06d.jpg', image_id) file_name, CAST(cls AS INT) cls, round((a+c)/2/600, 8) cx, round((b+d)/2/440, 8) cy, round((c-a)/600, 8) w, round((d-b)/440, 8) h FROM c""")
+def clipped_convert(spark, sf):
+    """CNV8: boxes end at the image's border."""
+    images, a = _coco(spark, sf)
+    images = images.withColumn("width", F.lit(600.0)).withColumn("height", F.lit(440.0))
+    c = D.convert_coco(images, a, clipped=True)
+    return c.select("file_name", "cls", *(F.round(x, 8).alias(x) for x in ("cx", "cy", "w", "h"))).dropDuplicates()
+
+
 @query("quad_convert", cte("obb") + """, q AS (SELECT image_id, gt_id, cls, cx-w/2 a, cy-h/2 b, cx+w/2 c, cy+h/2 d FROM obb WHERE cls < 3)
-SELECT CAST(gt_id AS VARCHAR) AS image, cls || ' ' || printf('%.8f', a/640) || ' ' || printf('%.8f', b/480) || ' ' || printf('%.8f', c/640) || ' ' || printf('%.8f', b/480) || ' ' || printf('%.8f', c/640) || ' ' || printf('%.8f', d/480) || ' ' || printf('%.8f', a/640) || ' ' || printf('%.8f', d/480) AS line FROM q WHERE gt_id % 64 = 1""")
+SELECT CAST(gt_id AS VARCHAR) AS image, cls || ' ' || printf('%.8f', a/640) || ' ' || printf('%.8f', b/480) || ' ' || printf('%.8f', c/640) || ' ' || printf('%.8f', b/480) || ' ' || printf('%.8f', c/640) || ' ' || printf('%.8f', d/480) || ' ' || printf('%.8f', a/640) || ' ' || printf('%.8f', d/480) AS line FROM q""")
 def quad_convert(spark, sf):
     """CNV2: four corners as shares."""
     c = F.col
-    g = view(spark, sf, "gt").filter("gt_id % 64 = 1")
+    g = view(spark, sf, "gt")
     r = g.select(c("gt_id").cast("string").alias("image"), F.element_at(names(), c("cls").cast("int")).alias("category"), F.lit(640.0).alias("width"), F.lit(480.0).alias("height"), c("x1").alias("x1"), c("y1").alias("y1"), c("x2").alias("x2"), c("y1").alias("y2"), c("x2").alias("x3"), c("y2").alias("y3"), c("x1").alias("x4"), c("y2").alias("y4"))
     number = F.create_map(*(F.lit(x) for i, n in NAMES.items() if i < 3 for x in (n, i)))
     return D.convert_quads(r.withColumn("category", F.when(F.col("category").isin("person", "dog", "cat"), F.col("category"))).filter("category is not null"), number)
@@ -243,11 +272,11 @@ def copy_paste(spark, sf):
     return m.select("gt_id").join(hit, "gt_id", "left_anti")
 
 
-@query("concat_features", GT + " SELECT 'a' AS part, gt_id FROM gt WHERE gt_id % 50 = 0 UNION ALL SELECT 'b', gt_id FROM gt WHERE gt_id % 75 = 0")
+@query("concat_features", cte("gt", "pred") + " SELECT 'truth' AS part, gt_id AS id, cls FROM gt UNION ALL SELECT 'found', det_id, cls FROM pred")
 def concat_features(spark, sf):
     """SRC16, NMS5 inputs: tables one below the other."""
-    g = view(spark, sf, "gt").select("gt_id")
-    return g.filter("gt_id % 50 = 0").select(F.lit("a").alias("part"), "gt_id").unionByName(g.filter("gt_id % 75 = 0").select(F.lit("b").alias("part"), "gt_id"))
+    g, p = (view(spark, sf, v).select(F.lit(n).alias("part"), F.col(k).alias("id"), "cls") for v, n, k in (("gt", "truth", "gt_id"), ("pred", "found", "det_id")))
+    return g.unionByName(p)
 
 
 @query("clipped_read", cte("points") + " SELECT det_id, conf FROM points WHERE x BETWEEN 500010 AND 500060 AND y BETWEEN 9799900 AND 9799990")
