@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.box import EPS, Box, iou, overlap
+from tessera.functions.polygon import contains, ring_box
 
 
 def side(df: DataFrame, prefix: str, keep: list[str]) -> DataFrame:
@@ -239,3 +240,12 @@ def points_within(points: DataFrame, areas: DataFrame) -> DataFrame:
     """Pairs of points (x, y) and upright areas (left_x, top_y, width, height), borders outside: a range join."""
     c = F.col
     return points.join(areas, (c("x") > c("left_x")) & (c("x") < c("left_x") + c("width")) & (c("y") < c("top_y")) & (c("y") > c("top_y") - c("height")))
+
+
+def points_within_rings(points: DataFrame, areas: DataFrame) -> DataFrame:
+    """Pairs of points (x, y) and areas with a ``ring``: a range join on the rings' boxes, then ray casting."""
+    c = F.col
+    b = ring_box(c("ring"))
+    boxed = areas.select("*", b.a.alias("_x1"), b.b.alias("_y1"), b.c.alias("_x2"), b.d.alias("_y2"))
+    near = points.join(boxed, c("x").between(c("_x1"), c("_x2")) & c("y").between(c("_y1"), c("_y2")))
+    return near.filter(contains(c("ring"), c("x"), c("y"))).drop("_x1", "_y1", "_x2", "_y2")

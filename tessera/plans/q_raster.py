@@ -6,6 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators import raster as R
+from tessera.operators.datasets import numbered
+from tessera.operators.running import running
 from tessera.plans._register import query
 from tessera.plans.fixtures import cte, table, view
 
@@ -76,12 +78,11 @@ def crop_labels(spark, sf):
     return t.select("gt_id", F.format_string("%d__256__%d___%d", "image_id", "wx", "wy").alias("name"), F.round((F.col("x1") - F.col("wx")) / 256, 6).alias("x1"), F.round((F.col("y2") - F.col("wy")) / 256, 6).alias("y2"))
 
 
-@query("collage_places", "SELECT p_partkey, (row_number() OVER (ORDER BY p_partkey) - 1) % 8 AS col, CAST(floor((row_number() OVER (ORDER BY p_partkey) - 1)/8e0) AS BIGINT) AS \"row\" FROM part WHERE p_partkey < 100")
+@query("collage_places", "SELECT p_partkey, (row_number() OVER (ORDER BY p_partkey) - 1) % 8 AS col, CAST(floor((row_number() OVER (ORDER BY p_partkey) - 1)/8e0) AS BIGINT) AS \"row\" FROM part")
 def collage_places(spark, sf):
-    """TIL8, TIL9: places of a collage's images (100 at most)."""
-    p = table(spark, sf, "part").filter("p_partkey < 100").select("p_partkey", F.lit(1).alias("one"))
-    i = F.row_number().over(W.partitionBy("one").orderBy("p_partkey")).cast("long") - 1
-    return p.select("p_partkey", (i % 8).alias("col"), F.floor(i / 8).alias("row"))
+    """TIL8, TIL9: places of a collage's images, eight in a row."""
+    p = numbered(table(spark, sf, "part").select("p_partkey"), ["p_partkey"], "i")
+    return p.select("p_partkey", (F.col("i") % 8).alias("col"), F.floor(F.col("i") / 8).alias("row"))
 
 
 @query("histogram_match", f"""{cte('pixel')}, n AS (SELECT image, channel, value, count(*) n FROM pixel WHERE image < 2 GROUP BY ALL),
@@ -129,10 +130,10 @@ def pixel_metrics(spark, sf):
     return m.select("image", r(c("tp") / (c("tp") + 0.5 * c("fp") + 0.5 * c("fn")), "tversky"), r((c("n") - c("fp") - c("fn")) / c("n"), "accuracy"), r(c("tp") / (c("tp") + c("fp") + 1e-7), "precision"), r(c("tp") / (c("tp") + c("fn") + 1e-7), "recall"))
 
 
-@query("point_mask", f"{cte('points')}, p AS (SELECT image_id, CAST(floor(px) AS BIGINT) x, CAST(floor(py) AS BIGINT) y FROM points WHERE det_id % 5 = 0), o AS (SELECT unnest(range(-1, 2)) d) SELECT DISTINCT image_id, y + a.d AS \"row\", x + b.d AS col FROM p, o a, o b")
+@query("point_mask", f"{cte('points')}, p AS (SELECT image_id, CAST(floor(px) AS BIGINT) x, CAST(floor(py) AS BIGINT) y FROM points), o AS (SELECT unnest(range(-1, 2)) d) SELECT DISTINCT image_id, y + a.d AS \"row\", x + b.d AS col FROM p, o a, o b")
 def point_mask(spark, sf):
     """AGG30: squares of 9 pixels around points."""
-    p = view(spark, sf, "points").filter("det_id % 5 = 0").select("image_id", F.floor("px").cast("long").alias("x"), F.floor("py").cast("long").alias("y"))
+    p = view(spark, sf, "points").select("image_id", F.floor("px").cast("long").alias("x"), F.floor("py").cast("long").alias("y"))
     d = F.array(*(F.lit(i) for i in (-1, 0, 1)))
     return p.withColumn("dy", F.explode(d)).withColumn("dx", F.explode(d)).select("image_id", (F.col("y") + F.col("dy")).alias("row"), (F.col("x") + F.col("dx")).alias("col")).distinct()
 
@@ -162,21 +163,20 @@ def sigma_clip(spark, sf):
     return c.agg(F.count("*").alias("n"), F.round(F.avg("v"), 4).alias("mean"), F.round(F.stddev_pop("v"), 4).alias("spread"))
 
 
-EPOCHS = "SELECT CAST(floor(event_id/10e0) AS BIGINT) epoch, round(avg(value), 6) fitness FROM events WHERE event_id < 1000 GROUP BY 1"
+EPOCHS = "SELECT CAST(floor(event_id/10e0) AS BIGINT) epoch, round(avg(value), 6) fitness FROM events GROUP BY 1"
 
 
 def epochs(spark, sf):
-    e = table(spark, sf, "events").filter("event_id < 1000")
+    e = table(spark, sf, "events")
     return e.groupBy(F.floor(F.col("event_id") / 10).alias("epoch")).agg(F.round(F.avg("value"), 6).alias("fitness"), F.lit(1).alias("run"))
 
 
 @query("early_stop", f"WITH e AS ({EPOCHS}), b AS (SELECT *, max(fitness) OVER (ORDER BY epoch) best FROM e), l AS (SELECT *, max(CASE WHEN fitness = best THEN epoch END) OVER (ORDER BY epoch) last_best FROM b) SELECT epoch, best, last_best, epoch - last_best >= 20 AS stop FROM l")
 def early_stop(spark, sf):
     """AGG27: epochs since the best; ties count as better."""
-    w = W.partitionBy("run").orderBy("epoch").rowsBetween(W.unboundedPreceding, 0)
-    b = epochs(spark, sf).withColumn("best", F.max("fitness").over(w))
-    l = b.withColumn("last_best", F.max(F.when(F.col("fitness") == F.col("best"), F.col("epoch"))).over(w))  # noqa: E741
-    return l.select("epoch", "best", "last_best", (F.col("epoch") - F.col("last_best") >= 20).alias("stop"))
+    b = running(epochs(spark, sf).drop("run"), [], [F.col("epoch")], tops={"top": F.struct("fitness", "epoch")})
+    best, last = F.col("top.fitness"), F.col("top.epoch")
+    return b.select("epoch", best.alias("best"), last.alias("last_best"), (F.col("epoch") - last >= 20).alias("stop"))
 
 
 @query("smoothed_series", f"WITH e AS ({EPOCHS}) SELECT a.epoch, round(sum(b.fitness*exp(-power(a.epoch-b.epoch,2)/18e0))/sum(exp(-power(a.epoch-b.epoch,2)/18e0)), 6) AS smooth FROM e a JOIN e b ON abs(a.epoch-b.epoch) <= 12 GROUP BY a.epoch")
@@ -228,11 +228,12 @@ def roi_windows(spark, sf):
     return p.select("category", F.floor((c("a") - 500000) / 0.33).alias("col0"), F.ceil((c("b") - 500000) / 0.33).alias("col1"), F.floor((9800000 - c("c")) / 0.33).alias("row0"), F.ceil((9800000 - c("d")) / 0.33).alias("row1"))
 
 
-@query("curve_melt", f"WITH e AS ({EPOCHS}), g AS (SELECT k, k*99/19e0 t FROM (SELECT unnest(range(20)) k) u) SELECT k, round(a.fitness + (coalesce(b.fitness, a.fitness) - a.fitness)*(t - floor(t)), 6) AS value FROM g JOIN e a ON a.epoch = CAST(floor(t) AS BIGINT) LEFT JOIN e b ON b.epoch = a.epoch + 1")
+@query("curve_melt", f"WITH e AS ({EPOCHS}), m AS (SELECT max(epoch) last FROM e), g AS (SELECT k, k*last/99e0 t FROM (SELECT unnest(range(100)) k) u, m) SELECT k, round(a.fitness + (coalesce(b.fitness, a.fitness) - a.fitness)*(t - floor(t)), 6) AS value FROM g JOIN e a ON a.epoch = CAST(floor(t) AS BIGINT) LEFT JOIN e b ON b.epoch = a.epoch + 1")
 def curve_melt(spark, sf):
-    """MSC2: a curve at 20 even places, as long rows."""
+    """MSC2: a curve at 100 even places, as long rows."""
     e = epochs(spark, sf).select("epoch", "fitness")
-    g = spark.range(20).select(F.col("id").alias("k"), (F.col("id") * 99 / 19).alias("t")).withColumn("epoch", F.floor("t"))
+    last = e.agg(F.max("epoch").alias("last"))
+    g = spark.range(100).withColumnRenamed("id", "k").join(F.broadcast(last), F.lit(True)).withColumn("t", F.col("k") * F.col("last") / 99).withColumn("epoch", F.floor("t"))  # one row
     nxt = e.select((F.col("epoch") - 1).alias("epoch"), F.col("fitness").alias("after"))
     at = g.join(e, "epoch").join(nxt, "epoch", "left")
     return at.select("k", F.round(F.col("fitness") + (F.coalesce("after", "fitness") - F.col("fitness")) * (F.col("t") - F.floor("t")), 6).alias("value"))
