@@ -188,6 +188,53 @@ def optimal_matches(pairs: DataFrame, threshold: float, keys: list[str]) -> Data
     return some.groupBy(*keys).applyInPandas(run, some.schema)
 
 
+#: Weights of class, distance and overlap in a set matching's cost, and the shape of its class cost.
+CLASS_COST, L1_COST, GIOU_COST, ALPHA, GAMMA = 1.0, 5.0, 2.0, 0.25, 2.0
+
+
+def set_cost(scores: np.ndarray, found: np.ndarray, classes: np.ndarray, truth: np.ndarray) -> np.ndarray:
+    """(detections, labels): the cost of each pair. ``scores`` are probabilities per class, boxes are (cx, cy, w, h) as shares."""
+    p = scores[:, classes]
+    hit, miss = ALPHA * (1 - p) ** GAMMA * -np.log(p + 1e-8), (1 - ALPHA) * p**GAMMA * -np.log(1 - p + 1e-8)
+    l1 = np.abs(found[:, None] - truth[None]).sum(axis=2)
+    corners = lambda b: (b[..., 0] - b[..., 2] / 2, b[..., 1] - b[..., 3] / 2, b[..., 0] + b[..., 2] / 2, b[..., 1] + b[..., 3] / 2)
+    a, b = corners(found[:, None]), corners(truth[None])
+    both = np.clip(np.minimum(a[2], b[2]) - np.maximum(a[0], b[0]), 0, None) * np.clip(np.minimum(a[3], b[3]) - np.maximum(a[1], b[1]), 0, None)
+    either = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both + EPS
+    around = (np.maximum(a[2], b[2]) - np.minimum(a[0], b[0])) * (np.maximum(a[3], b[3]) - np.minimum(a[1], b[1])) + EPS
+    cost = CLASS_COST * (hit - miss) + L1_COST * l1 + GIOU_COST * (1 - (both / either - (around - either) / around))
+    return np.where(np.isfinite(cost), cost, 0.0)
+
+
+def set_matches(truth: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, gt_id, det_id, cost) of the assignment of least total cost in each image, as many pairs as the smaller side has.
+
+    ``truth`` has gt_id, cls and ``found`` det_id, scores (array), both cx, cy, w, h as shares. An image's boxes are bounded.
+    """
+    from itertools import chain
+
+    def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        names = [*keys, "gt_id", "det_id", "cost"]
+        if a.empty or b.empty:
+            return pd.DataFrame(columns=names)
+        a, b = a.sort_values("gt_id"), b.sort_values("det_id")
+        boxes = ["cx", "cy", "w", "h"]
+        cost = set_cost(np.stack(b["scores"].to_numpy()).astype(float), b[boxes].to_numpy(float), a["cls"].to_numpy(int), a[boxes].to_numpy(float))
+        return pd.DataFrame([[*key, a["gt_id"].iloc[j], b["det_id"].iloc[i], cost[i, j]] for i, j in hungarian(cost)], columns=names)
+
+    kinds = dict(chain(truth.dtypes, found.dtypes))
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", gt_id {kinds['gt_id']}, det_id {kinds['det_id']}, cost double"
+    return truth.groupBy(*keys).cogroup(found.groupBy(*keys)).applyInPandas(run, schema)
+
+
+def descaled(found: DataFrame, scale: float, mirrored: bool, width: float) -> DataFrame:
+    """Boxes found on an image that was scaled, and perhaps mirrored, on the image's own scale (of ``width``)."""
+    x = [F.col(c) / scale for c in ("x1", "x2")]
+    x = [width - x[1], width - x[0]] if mirrored else x
+    new = {"x1": x[0], "x2": x[1], "y1": F.col("y1") / scale, "y2": F.col("y2") / scale}
+    return found.select(*(new[c].alias(c) if c in new else F.col(c) for c in found.columns))
+
+
 def radius_matches(truth: DataFrame, found: DataFrame, keys: list[str], radius: float, nearest: bool = False, parity: bool = True) -> DataFrame:
     """(keys, tp, fp, fn): truth points in id order each take a free found point closer than radius * sqrt(2): the first in id
     order or, with ``nearest``, the nearest. With ``parity``, a truth point met after found points ran out isn't a miss."""

@@ -89,6 +89,29 @@ def adaptive_windows(counts: DataFrame, size: int = 336, low: float = 0.5, high:
     return counts.groupBy("raster_id").applyInPandas(run, "raster_id long, x long, y long, n long")
 
 
+def resized(pixels: DataFrame, keys: list[str], size: tuple[int, int], to: tuple[int, int]) -> DataFrame:
+    """(keys, row, col, v) on a frame of another size (rows, columns), bilinear between pixels' middles; missing pixels are 0.
+
+    Each pixel goes to the few places of the new frame that it weighs on, which add up: no join, and one shuffle.
+    """
+
+    def weighs(n: int, m: int) -> Column:
+        """Per old place the new places it weighs on: an array of arrays of (at, u)."""
+        out: list[list] = [[] for _ in range(n)]
+        for i in range(m):
+            s = max((i + 0.5) * n / m - 0.5, 0.0)
+            p = int(s)
+            out[min(p, n - 1)].append((i, 1 - (s - p)))
+            out[min(p + 1, n - 1)].append((i, s - p))
+        pair = lambda i, u: F.struct(F.lit(i).cast("long").alias("at"), F.lit(u).alias("u"))
+        kind = "array<struct<at:bigint,u:double>>"
+        return F.array(*(F.array(*(pair(i, u) for i, u in x)).cast(kind) for x in out))
+
+    y = pixels.withColumn("_y", F.explode(F.get(weighs(size[0], to[0]), F.col("row").cast("int"))))
+    x = y.withColumn("_x", F.explode(F.get(weighs(size[1], to[1]), F.col("col").cast("int"))))
+    return x.groupBy(*keys, F.col("_y.at").alias("row"), F.col("_x.at").alias("col")).agg(F.sum(F.col("v") * F.col("_y.u") * F.col("_x.u")).alias("v"))
+
+
 def histogram_match(source: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, value, matched): least reference value whose cumulative share reaches the source value's; 256 rows a channel."""
 

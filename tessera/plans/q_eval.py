@@ -100,15 +100,18 @@ def mask_iou(spark, sf):
     return out.select("image", "ca", "cb", "both_on", F.round(F.col("both_on") / (F.col("na") + F.col("nb") - F.col("both_on") + 1e-7), 8).alias("iou"))
 
 
-_KPT = lambda s: [(F.col(f"{s}x1"), F.col(f"{s}y1")), (F.col(f"{s}x2"), F.col(f"{s}y1")), (F.col(f"{s}x2"), F.col(f"{s}y2"))]
-_D = "exp(-(power(l.{0}-r.{0},2)+power(l.{1}-r.{1},2))/(power(2*{2},2)*({3}+1e-7)*2))"
+#: How far each of the 17 keypoints of a person may be off, in tenths.
+SIGMAS = [x / 10 for x in (0.26, 0.25, 0.25, 0.35, 0.35, 0.79, 0.79, 0.72, 0.72, 0.62, 0.62, 1.07, 1.07, 0.87, 0.87, 0.89, 0.89)]
+_KPT = lambda s: [(F.col(f"{s}x1") + (F.col(f"{s}x2") - F.col(f"{s}x1")) * (k / 16), F.col(f"{s}y1") + (F.col(f"{s}y2") - F.col(f"{s}y1")) * (k * 5 % 17 / 16)) for k in range(17)]
+_OFF = "power(l.{0}1+(l.{0}2-l.{0}1)*{1!r}e0-r.{0}1-(r.{0}2-r.{0}1)*{1!r}e0,2)"
+_OKS = "+".join(f"exp(-({_OFF.format('x', k / 16)}+{_OFF.format('y', k * 5 % 17 / 16)})/(power(2*{s!r}e0,2)*({AREA.format('l')}*0.53+1e-7)*2))" for k, s in enumerate(SIGMAS))
 
 
-@query("keypoint_similarity", cte("gt", "pred") + f" SELECT gt_id, det_id, round(({'+'.join(_D.format(x, y, s, AREA.format('l') + '*0.53') for x, y, s in (('x1', 'y1', 0.026), ('x2', 'y1', 0.035), ('x2', 'y2', 0.079)))})/3, 8) oks FROM gt l JOIN pred r ON {MEET}")
+@query("keypoint_similarity", cte("gt", "pred") + f" SELECT gt_id, det_id, round(({_OKS})/17, 8) oks FROM gt l JOIN pred r ON {MEET}")
 def keypoint_similarity(spark, sf):
-    """JN5: object keypoint similarity over three points of each box."""
+    """JN5: object keypoint similarity over seventeen points of each box."""
     j = M.overlap_join(view(spark, sf, "gt"), view(spark, sf, "pred"), ["image_id"])
-    return j.select(F.col("l_gt_id").alias("gt_id"), F.col("r_det_id").alias("det_id"), F.round(M.oks(_KPT("l_"), _KPT("r_"), [0.026, 0.035, 0.079], B.area(sides()[0]) * 0.53), 8).alias("oks"))
+    return j.select(F.col("l_gt_id").alias("gt_id"), F.col("r_det_id").alias("det_id"), F.round(M.oks(_KPT("l_"), _KPT("r_"), SIGMAS, B.area(sides()[0]) * 0.53), 8).alias("oks"))
 
 
 _COV = "SELECT image_id, gt_id, cx, cy, w*w/12*cos(theta)*cos(theta)+h*h/12*sin(theta)*sin(theta) a, w*w/12*sin(theta)*sin(theta)+h*h/12*cos(theta)*cos(theta) b, (w*w/12-h*h/12)*cos(theta)*sin(theta) c FROM obb"
@@ -190,10 +193,25 @@ def tp_matching(spark, sf):
 
 @query("optimal_matching")
 def optimal_matching(spark, sf):
-    """JN13, JN27: assignment of largest total overlap per image."""
+    """JN13: assignment of largest total overlap per image."""
     return M.optimal_matches(pairs(spark, sf).filter("gt_cls = det_cls"), 0.5, ["image_id"])
 
 
+def set_sides(spark, sf):
+    """Labels and detections of images of nine objects, boxes as shares of 640."""
+    c = F.col
+    share = [(v / 640).alias(n) for v, n in zip(B.xyxy_to_xywh(B.box()), ("cx", "cy", "w", "h"), strict=True)]
+    g = view(spark, sf, "gt").select(F.floor(c("gt_id") / 9).alias("image_id"), "gt_id", "cls", *share)
+    scores = F.array(*(F.when(c("cls") == k, c("conf")).otherwise(c("conf") / 4) for k in range(5)))
+    return g, view(spark, sf, "pred").select(F.floor(c("det_id") / 18).alias("image_id"), "det_id", scores.alias("scores"), *share)
+
+
+@query("set_matching")
+def set_matching(spark, sf):
+    """JN27: one-to-one by class, distance and generalised overlap, at least total cost per image."""
+    return M.set_matches(*set_sides(spark, sf), ["image_id"])
+
+
 @query("confusion_matching", f"{CONF} SELECT image_id, gt_id, det_id, det_cls, gt_cls FROM m")
 def confusion_matching(spark, sf):
     """JN14."""
@@ -368,3 +386,18 @@ def best_class_filter(spark, sf):
     s = F.array("s0", "s1", "s2")
     out = view(spark, sf, "raw").select("det_id", (F.array_position(s, F.array_max(s)) - 1).cast("int").alias("cls"), F.array_max(s).alias("score"))
     return out.filter((F.col("score") > 0.25) & F.col("cls").isin(0, 2))
+
+
+_PASSES = [(0, 1.0, False), (1, 0.83, True), (2, 0.67, False)]
+
+
+@query("augmented_detections", cte("pred") + " SELECT det_id, k, round(x1, 5) x1, round(y1, 5) y1, round(x2, 5) x2, round(y2, 5) y2 FROM pred, (SELECT unnest([0, 1, 2]) k) t")
+def augmented_detections(spark, sf):
+    """NMS5: detections of three passes, at scales 1, 0.83 (mirrored) and 0.67, back on the image's own scale, one below the other."""
+    p, out = view(spark, sf, "pred").select("det_id", "x1", "y1", "x2", "y2"), None
+    for k, scale, mirrored in _PASSES:
+        x = ("640 - x2", "640 - x1") if mirrored else ("x1", "x2")
+        seen = p.select("det_id", *(F.expr(f"({e}) * {scale}D").alias(n) for e, n in zip((x[0], "y1", x[1], "y2"), ("x1", "y1", "x2", "y2"), strict=True)))
+        back = M.descaled(seen, scale, mirrored, 640.0).select("det_id", F.lit(k).alias("k"), *(F.round(c, 5).alias(c) for c in ("x1", "y1", "x2", "y2")))
+        out = back if out is None else out.unionByName(back)
+    return out

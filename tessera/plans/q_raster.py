@@ -64,7 +64,12 @@ def rated_windows(spark, sf):
     return R.rated_windows(rasters(spark, sf), 1024, 200).select("raster_id", "x", "y", F.round("share", 8).alias("share"))
 
 
-@query("adaptive_windows")
+_SEEN = "(SELECT count(*) FROM points p WHERE p.image_id = {0} AND p.px >= {1} AND p.px < {1} + 336 AND p.py >= {2} AND p.py < {2} + 336)"
+
+
+@query("adaptive_windows", cte("points").replace("WITH ", "WITH RECURSIVE ", 1) + f""", w AS (SELECT image_id, 0 x, 0 y, false crowded, {_SEEN.format('i.image_id', 0, 0)} n FROM (SELECT DISTINCT image_id FROM points) i
+UNION ALL SELECT image_id, nx, ny, nc, {_SEEN.format('s.image_id', 's.nx', 's.ny')} FROM (SELECT image_id, CASE WHEN x + step < 640 THEN x + step ELSE 0 END nx, CASE WHEN x + step < 640 THEN y ELSE y + step END ny, n > 30 nc
+  FROM (SELECT *, CASE WHEN crowded THEN 67 ELSE 168 END step FROM w) t) s WHERE ny < 640) SELECT image_id raster_id, CAST(x AS BIGINT) x, CAST(y AS BIGINT) y, n FROM w""")
 def adaptive_windows(spark, sf):
     """TIL4: one raster for each image."""
     p = view(spark, sf, "points").groupBy(F.col("image_id").alias("raster_id")).agg(F.collect_list(F.struct(F.col("px").alias("x"), F.col("py").alias("y"))).alias("points"))
