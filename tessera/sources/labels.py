@@ -61,8 +61,8 @@ def label_path(image: Column) -> Column:
 
 def fingerprint(files: DataFrame) -> DataFrame:
     """SRC23: One row: a digest of total size and all paths. The digest is over sorted digests of ranges, so no task gets all paths."""
-    parts = files.withColumn("part", F.pmod(F.xxhash64("path"), F.lit(256))).groupBy("part").agg(F.sum("length").alias("size"), F.sha2(F.array_join(F.array_sort(F.collect_list("path")), "\n"), 256).alias("digest"))
-    return parts.agg(F.sum("size").alias("size"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", F.col("part").cast("string"), "digest"))), "").alias("all")).select(F.sha2(F.concat(F.col("size").cast("string"), "all"), 256).alias("fingerprint"))
+    parts = files.withColumn("part", F.substring(F.md5(F.col("path").cast("binary")), 1, 2)).groupBy("part").agg(F.sum("length").alias("size"), F.sha2(F.array_join(F.array_sort(F.collect_list("path")), "\n"), 256).alias("digest"))
+    return parts.agg(F.sum("size").alias("size"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "part", "digest"))), "").alias("all")).select(F.sha2(F.concat(F.col("size").cast("string"), "all"), 256).alias("fingerprint"))
 
 
 def read_label_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -126,13 +126,14 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     return f.filter(F.size("b") == 4).select("image", "type_id", *(F.get("b", i).try_cast("double").alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))))
 
 
-def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """SRC15: (file, category_id, x, y, w, h) of a JSON document of images, annotations and their sequences."""
-    doc = spark.read.json(path, multiLine=True)
-    seq = doc.select(F.posexplode("sequences").alias("sid", "folder"))
-    i = doc.select(F.explode("images").alias("i")).select(F.col("i.id").alias("image_id"), F.col("i.sid").cast("int").alias("sid"), F.col("i.name").alias("name")).join(seq, "sid")
-    a = doc.select(F.explode("annotations").alias("a")).select("a.image_id", "a.category_id", "a.bbox")
-    return a.join(i, "image_id").select(F.concat_ws("/", "folder", "name").alias("file"), "category_id", *(F.get("bbox", k).cast("double").alias(n) for k, n in enumerate("xywh")))
+def read_frames(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """SRC15: (file, category_id, x, y, w, h) of JSON documents of images, annotations and their sequences, each on its own: one to a file,
+    or one to a line."""
+    doc = spark.read.json(path, multiLine=not lines).withColumn("doc", F.monotonically_increasing_id())
+    seq = doc.select("doc", F.posexplode("sequences").alias("sid", "folder"))
+    i = doc.select("doc", F.explode("images").alias("i")).select("doc", F.col("i.id").alias("image_id"), F.col("i.sid").cast("int").alias("sid"), F.col("i.name").alias("name")).join(seq, ["doc", "sid"])
+    a = doc.select("doc", F.explode("annotations").alias("a")).select("doc", "a.image_id", "a.category_id", "a.bbox")
+    return a.join(i, ["doc", "image_id"]).select(F.concat_ws("/", "folder", "name").alias("file"), "category_id", *(F.get("bbox", k).cast("double").alias(n) for k, n in enumerate("xywh")))
 
 
 def read_box_csv(spark: SparkSession, path: str) -> DataFrame:
