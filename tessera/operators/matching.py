@@ -68,17 +68,18 @@ def greedy_nms(df: DataFrame, keys: list[str], threshold: float, score: str = "c
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
-def fast_nms(df: DataFrame, keys: list[str], similarity, threshold: float, score: str = "conf", key: str = "det_id") -> DataFrame:
-    """Boxes without any better-scored box (suppressed or not) at or above ``threshold``: one anti-join, no iteration."""
-    other = side(df, "o_", keys)
-    better = (F.col(f"o_{score}") > F.col(score)) | ((F.col(f"o_{score}") == F.col(score)) & (F.col(f"o_{key}") < F.col(key)))
-    hit = df.join(other, keys).filter(better & (similarity("", "o_") >= threshold)).select(*keys, key).distinct()
+def fast_nms(df: DataFrame, keys: list[str], similarity, threshold: float, score: str = "conf", key: str = "det_id", cell: float | None = None) -> DataFrame:
+    """Boxes without any better-scored box (suppressed or not) at or above ``threshold``: one anti-join, no iteration. With ``cell``,
+    boxes must overlap to be similar, and pairs are found by grid cell."""
+    better = (F.col(f"r_{score}") > F.col(f"l_{score}")) | ((F.col(f"r_{score}") == F.col(f"l_{score}")) & (F.col(f"r_{key}") < F.col(f"l_{key}")))
+    both = overlap_join(df, df, keys, cell) if cell else side(df, "l_", keys).join(side(df, "r_", keys), keys)
+    hit = both.filter(better & (similarity("l_", "r_") >= threshold)).select(*keys, F.col(f"l_{key}").alias(key)).distinct()
     return df.join(hit, [*keys, key], "left_anti")
 
 
-def pairs_iou(gt: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
+def pairs_iou(gt: DataFrame, pred: DataFrame, keys: list[str], cell: float | None = None) -> DataFrame:
     """(keys, gt_id, det_id, conf, iou) of overlapping pairs."""
-    j = overlap_join(gt, pred, keys)
+    j = overlap_join(gt, pred, keys, cell)
     p, q = (Box(*(F.col(f"{s}{c}") for c in ("x1", "y1", "x2", "y2"))) for s in ("l_", "r_"))
     return j.select(*keys, F.col("l_gt_id").alias("gt_id"), F.col("r_det_id").alias("det_id"), F.col("r_conf").alias("conf"), F.col("l_cls").alias("gt_cls"), F.col("r_cls").alias("det_cls"), iou(p, q).alias("iou"))
 

@@ -333,15 +333,15 @@ def mixup_labels(spark, sf):
     return P.mixup(g, order).select("image_id", "gt_id", "cls", "own", "x1", "y1", "x2", "y2")
 
 
-_M = P.perspective_matrix(640, 480, angle=7.0, scale=0.9, shear=(3.0, -2.0), shift=(0.52, 0.47), tilt=(0.0002, -0.0001))
-_AT = lambda x, y: tuple(f"(({r[0]!r})*{x} + ({r[1]!r})*{y} + ({r[2]!r}))" for r in _M)
+_TILT = P.perspective_matrix(640, 480, angle=7.0, scale=0.9, shear=(3.0, -2.0), shift=(0.52, 0.47), tilt=(0.0002, -0.0001))
+_AT = lambda x, y: tuple(f"(({r[0]!r})*{x} + ({r[1]!r})*{y} + ({r[2]!r}))" for r in _TILT)
 _CORNERS = [("x1", "y1"), ("x2", "y2"), ("x1", "y2"), ("x2", "y1")]
 
 
 @query("perspective_boxes", f"{GT}, p AS (SELECT gt_id, " + ", ".join(f"{_AT(x, y)[0]}/{_AT(x, y)[2]} px{i}, {_AT(x, y)[1]}/{_AT(x, y)[2]} py{i}" for i, (x, y) in enumerate(_CORNERS)) + " FROM gt) SELECT gt_id, round(greatest(least(least(px0,px1,px2,px3),640),0), 5) x1, round(greatest(least(least(py0,py1,py2,py3),480),0), 5) y1, round(greatest(least(greatest(px0,px1,px2,px3),640),0), 5) x2, round(greatest(least(greatest(py0,py1,py2,py3),480),0), 5) y2 FROM p")
 def perspective_boxes(spark, sf):
     """AUG4: boxes through the product of centring, tilt, rotation and scale, shear and shift, clipped."""
-    x = B.clip(P.through(B.box(), _M), 640.0, 480.0)
+    x = B.clip(P.through(B.box(), _TILT), 640.0, 480.0)
     return view(spark, sf, "gt").select("gt_id", *x.named("x1", "y1", "x2", "y2", digits=5))
 
 

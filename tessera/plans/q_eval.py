@@ -61,7 +61,7 @@ UNION ALL SELECT image_id, det_id + 1000000000, cls, conf*0.9e0, x1+1, y1+1, x2+
 
 
 def pairs(spark, sf):
-    return M.pairs_iou(view(spark, sf, "gt"), view(spark, sf, "pred"), ["image_id"])
+    return M.pairs_iou(view(spark, sf, "gt"), view(spark, sf, "pred"), ["image_id"], cell=128.0)
 
 
 @query("iou_join", f"{PAIRS} SELECT image_id, gt_id, det_id, round(iou, 6) iou FROM pairs")
@@ -74,7 +74,7 @@ def iou_join(spark, sf):
 @query("ioa_join", f"{cte('gt', 'pred')} SELECT gt_id, det_id, round({INTER}/({AREA.format('r')}+1e-7), 6) ioa FROM gt l JOIN pred r ON {MEET}")
 def ioa_join(spark, sf):
     """JN2: intersection over the detection's area."""
-    j = M.overlap_join(view(spark, sf, "gt"), view(spark, sf, "pred"), ["image_id"])
+    j = M.overlap_join(view(spark, sf, "gt"), view(spark, sf, "pred"), ["image_id"], cell=128.0)
     return j.select(F.col("l_gt_id").alias("gt_id"), F.col("r_det_id").alias("det_id"), F.round(B.ioa(*sides()), 6).alias("ioa"))
 
 
@@ -84,7 +84,7 @@ q AS (SELECT *, w1*h1+w2*h2-inter+1e-7 u, inter/(w1*h1+w2*h2-inter+1e-7) iou, 4/
 SELECT gt_id, det_id, round(iou,6) iou, round(iou-(cw*ch+1e-7-u)/(cw*ch+1e-7),6) giou, round(iou-rho/(cw*cw+ch*ch+1e-7),6) diou, round(iou-(rho/(cw*cw+ch*ch+1e-7)+v*v/(v-iou+1+1e-7)),6) ciou FROM q""")
 def iou_family(spark, sf):
     """JN3."""
-    j = M.overlap_join(view(spark, sf, "gt"), view(spark, sf, "pred"), ["image_id"])
+    j = M.overlap_join(view(spark, sf, "gt"), view(spark, sf, "pred"), ["image_id"], cell=128.0)
     return j.select(F.col("l_gt_id").alias("gt_id"), F.col("r_det_id").alias("det_id"), *(F.round(v, 6).alias(k) for k, v in B.iou_family(*sides()).items()))
 
 
@@ -110,7 +110,7 @@ _OKS = "+".join(f"exp(-({_OFF.format('x', k / 16)}+{_OFF.format('y', k * 5 % 17
 @query("keypoint_similarity", cte("gt", "pred") + f" SELECT gt_id, det_id, round(({_OKS})/17, 8) oks FROM gt l JOIN pred r ON {MEET}")
 def keypoint_similarity(spark, sf):
     """JN5: object keypoint similarity over seventeen points of each box."""
-    j = M.overlap_join(view(spark, sf, "gt"), view(spark, sf, "pred"), ["image_id"])
+    j = M.overlap_join(view(spark, sf, "gt"), view(spark, sf, "pred"), ["image_id"], cell=128.0)
     return j.select(F.col("l_gt_id").alias("gt_id"), F.col("r_det_id").alias("det_id"), F.round(M.oks(_KPT("l_"), _KPT("r_"), SIGMAS, B.area(sides()[0]) * 0.53), 8).alias("oks"))
 
 
@@ -123,18 +123,19 @@ d AS (SELECT *, (sa*dy*dy+sb*dx*dx)/(sa*sb-sc*sc+1e-7)*0.25 + sc*(-dx)*dy/(sa*sb
 @query("probiou_pairs", PROB + " SELECT gt_id, other, round(1-sqrt(1-exp(-least(greatest(bd,1e-7),100))+1e-7), 5) similarity FROM d")
 def probiou_pairs(spark, sf):
     """JN6: rotated boxes as Gaussians, for pairs of near centres."""
-    o = view(spark, sf, "obb")
-    a, b = M.side(o, "l_", ["image_id"]), M.side(o, "r_", ["image_id"])
-    near = (F.col("l_gt_id") < F.col("r_gt_id")) & (F.abs(F.col("l_cx") - F.col("r_cx")) < 40) & (F.abs(F.col("l_cy") - F.col("r_cy")) < 40)
+    # centres less than 40 apart both ways: squares of side 40 around them overlap
+    around = [(F.col(c) + d).alias(n) for n, c, d in (("x1", "cx", -20), ("y1", "cy", -20), ("x2", "cx", 20), ("y2", "cy", 20))]
+    o = view(spark, sf, "obb").select("image_id", "gt_id", "cx", "cy", "w", "h", "theta", *around)
     of = lambda s: tuple(F.col(s + c) for c in ("cx", "cy", "w", "h", "theta"))
-    return a.join(b, "image_id").filter(near).select(F.col("l_gt_id").alias("gt_id"), F.col("r_gt_id").alias("other"), F.round(B.probiou(of("l_"), of("r_")), 5).alias("similarity"))
+    j = M.overlap_join(o, o, ["image_id"], cell=128.0).filter("l_gt_id < r_gt_id")
+    return j.select(F.col("l_gt_id").alias("gt_id"), F.col("r_gt_id").alias("other"), F.round(B.probiou(of("l_"), of("r_")), 5).alias("similarity"))
 
 
 @query("nms_fast", cte("pred") + f" SELECT l.image_id, l.det_id FROM pred l WHERE NOT EXISTS (SELECT 1 FROM pred r WHERE {MEET} AND l.cls = r.cls AND (r.conf > l.conf OR r.conf = l.conf AND r.det_id < l.det_id) AND {IOU} >= 0.5)")
 def nms_fast(spark, sf):
     """NMS2 over upright boxes: one anti-join."""
     p = view(spark, sf, "pred")
-    return M.fast_nms(p, ["image_id", "cls"], lambda s, t: B.iou(B.box(s), B.box(t)), 0.5).select("image_id", "det_id")
+    return M.fast_nms(p, ["image_id", "cls"], lambda s, t: B.iou(B.box(s), B.box(t)), 0.5, cell=128.0).select("image_id", "det_id")
 
 
 @query("nms_greedy", greedy_sql(cte("pred") + ", p AS (SELECT * FROM pred WHERE conf > 0.05 AND cls IN (0, 1, 2, 3))", "image_id, cls", 0.45, "image_id, det_id, cls, conf"))
@@ -353,7 +354,7 @@ def task_assignment(spark, sf):
     from pyspark.sql import Window as W
 
     c = F.col
-    j = M.overlap_join(view(spark, sf, "gt"), view(spark, sf, "pred"), ["image_id"])
+    j = M.overlap_join(view(spark, sf, "gt"), view(spark, sf, "pred"), ["image_id"], cell=128.0)
     x, y = (c("r_x1") + c("r_x2")) / 2, (c("r_y1") + c("r_y2")) / 2
     j = j.filter((x > c("l_x1")) & (x < c("l_x2")) & (y > c("l_y1")) & (y < c("l_y2")))
     a = j.select(c("l_gt_id").alias("gt_id"), c("r_det_id").alias("det_id"), c("r_conf").alias("conf"), B.iou(*sides()).alias("iou")).withColumn("metric", c("conf") * F.pow("iou", F.lit(6)))

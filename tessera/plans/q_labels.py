@@ -268,7 +268,7 @@ def copy_paste(spark, sf):
 
     g = view(spark, sf, "gt")
     m = g.select("image_id", "gt_id", (640 - F.col("x2")).alias("x1"), "y1", (640 - F.col("x1")).alias("x2"), "y2")
-    hit = overlap_join(m, g.drop("cls"), ["image_id"]).filter(ioa(box("l_"), box("r_")) >= 0.3).select(F.col("l_gt_id").alias("gt_id")).distinct()
+    hit = overlap_join(m, g.drop("cls"), ["image_id"], cell=128.0).filter(ioa(box("l_"), box("r_")) >= 0.3).select(F.col("l_gt_id").alias("gt_id")).distinct()
     return m.select("gt_id").join(hit, "gt_id", "left_anti")
 
 

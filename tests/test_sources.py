@@ -131,13 +131,14 @@ def test_explorer_dialect(spark):
     assert X.ask(spark, df, "hello") is None and X.ask(spark, df, "x", lambda _: "SELECT nothing FROM 'table'") is None
 
 
-def test_index_validation_and_blocks(spark):
+def test_index_validation_and_blocks(spark, monkeypatch):
     r = random.Random(0)
     rows = [(i, [r.random() for _ in range(4)]) for i in range(40)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     want = {i: sorted((sum((a - b) ** 2 for a, b in zip(u, v, strict=True)), j) for j, v in rows) for i, u in rows}
-    for blocks in (1, 3):
-        got = {x.vec_id: x.similar for x in X.similarity_index(df, 0.2, blocks=blocks).collect()}
+    for size in (4096, 3):
+        monkeypatch.setattr(X, "BLOCK", size)
+        got = {x.vec_id: x.similar for x in X.similarity_index(df, 0.2).collect()}
         assert got == {i: [j for d, j in w if d <= 0.2] for i, w in want.items()}
     assert all(x["count"] <= 4 for x in X.similarity_index(df, 9.0, 0.1).collect())
     for bad in ({"max_dist": -1}, {"top_k": 2}):

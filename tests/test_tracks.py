@@ -244,6 +244,24 @@ def test_camera_motion_reaches_the_tracker(spark):
     assert seen(T.track(df, True, camera)) == [1] * 8 and len(seen(T.track(df, True))) < 8
 
 
+def test_moving_camera_query(spark):
+    from tessera.plans.q_tracks import _detections
+    from tessera.plans.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    got: dict = {}
+    for r in QUERIES["two_stage_tracks_moving"](spark, sf).collect():
+        got.setdefault(r.stream_id, []).append((r.frame, r.track_id, r.det_id))
+    rows = _detections(spark, sf).filter("stream_id < 2").toPandas().sort_values(["frame", "det_id"])
+    for image in (0, 1):
+        tracker, want = T.Tracker(motion=T.Motion(by_width=True)), []
+        for frame, d in rows[rows["stream_id"] == image].groupby("frame"):
+            boxes = d[["x1", "y1", "x2", "y2"]].to_numpy(float) - np.array([3.0, 1.0, 3.0, 1.0]) * (frame - 1)
+            warp = np.array([[1.0, 0.0, -3.0], [0.0, 1.0, -1.0]]) if frame > 1 else None
+            want += [(frame, t, int(d["det_id"].iloc[i])) for t, i in tracker.step(boxes, d["conf"].to_numpy(float), d["cls"].to_numpy(), warp)]
+        assert sorted(got[image]) == sorted(want)
+
+
 @pytest.mark.parametrize("name", ["two_stage_tracks", "two_stage_tracks_by_width"])
 def test_every_image_is_a_stream(spark, name):
     from tessera.plans.fixtures import view
