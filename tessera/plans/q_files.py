@@ -104,7 +104,7 @@ def folder_classes(spark, sf):
     return S.folder_classes(S.images(_files(spark, sf)))
 
 
-@query("listing_fingerprint", FILES + ", g AS (SELECT substr(md5(path), 1, 2) part, sum(length) size, sha256(string_agg(path, chr(10) ORDER BY path)) d FROM f GROUP BY 1) SELECT sha256(CAST(CAST(sum(size) AS BIGINT) AS VARCHAR) || string_agg(part || ':' || d, '' ORDER BY part || ':' || d)) fingerprint FROM g")
+@query("listing_fingerprint", FILES + ", g AS (SELECT substr(md5(path), 1, 4) part, sum(length) size, sha256(string_agg(path, chr(10) ORDER BY path)) d FROM f GROUP BY 1) SELECT sha256(CAST(CAST(sum(size) AS BIGINT) AS VARCHAR) || string_agg(part || ':' || d, '' ORDER BY part || ':' || d)) fingerprint FROM g")
 def listing_fingerprint(spark, sf):
     """SRC23: one digest of all sizes and paths."""
     return S.fingerprint(_files(spark, sf))

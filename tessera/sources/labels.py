@@ -60,8 +60,8 @@ def label_path(image: Column) -> Column:
 
 
 def fingerprint(files: DataFrame) -> DataFrame:
-    """SRC23: One row: a digest of total size and all paths. The digest is over sorted digests of ranges, so no task gets all paths."""
-    parts = files.withColumn("part", F.substring(F.md5(F.col("path").cast("binary")), 1, 2)).groupBy("part").agg(F.sum("length").alias("size"), F.sha2(F.array_join(F.array_sort(F.collect_list("path")), "\n"), 256).alias("digest"))
+    """SRC23: One row: a digest of total size and all paths. The digest is over sorted digests of 65,536 parts, so no task gets all paths."""
+    parts = files.withColumn("part", F.substring(F.md5(F.col("path").cast("binary")), 1, 4)).groupBy("part").agg(F.sum("length").alias("size"), F.sha2(F.array_join(F.array_sort(F.collect_list("path")), "\n"), 256).alias("digest"))
     return parts.agg(F.sum("size").alias("size"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "part", "digest"))), "").alias("all")).select(F.sha2(F.concat(F.col("size").cast("string"), "all"), 256).alias("fingerprint"))
 
 
