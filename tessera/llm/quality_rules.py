@@ -119,10 +119,12 @@ def estimate(counts: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> tu
     return prior, ratios
 
 
-def fitted(docs_measured: DataFrame) -> tuple[float, list[dict[int, float]]]:
-    names, m = list(RULES), F.col("_quality")
-    rows = docs_measured.filter(~base_failed(m)).select(*votes(m)).groupBy(*names).count().collect()  # at most 3**len(RULES) rows
-    return estimate(sorted((tuple(r[c] for c in names), r["count"]) for r in rows))
+def fitted(docs: DataFrame, m: Column) -> tuple[float, list[dict[int, float]]]:
+    """The estimate from all rows of ``docs``, whose measures are ``m`` (which is computed once for each row)."""
+    names = list(RULES)
+    ballot = let(m, lambda x: F.struct(base_failed(x).alias("failed"), *votes(x)))
+    rows = docs.select(ballot.alias("v")).groupBy("v").count().collect()  # at most 2 * 3**len(RULES) rows
+    return estimate(sorted((tuple(r.v[c] for c in names), r["count"]) for r in rows if not r.v.failed))
 
 
 def base_failed(m: Column) -> Column:
@@ -136,9 +138,14 @@ def posterior(m: Column, model: tuple[float, list[dict[int, float]]]) -> Column:
     return 1 / (1 + F.exp(-logit))
 
 
+def verdict(m: Column, model: tuple[float, list[dict[int, float]]]) -> Column:
+    """Whether a text with these measures is kept."""
+    return ~base_failed(m) & (posterior(m, model) >= 0.5)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = stored(measured(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "quality")
-    model = fitted(docs)
     m = F.col("_quality")
+    model = fitted(docs, m)
     good = posterior(m, model)
-    return docs.select("doc_id", *(m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), base_failed(m).alias("base_failed"), (~base_failed(m) & (good >= 0.5)).alias("kept"), good.alias("good"))
+    return docs.select("doc_id", *(m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), base_failed(m).alias("base_failed"), verdict(m, model).alias("kept"), good.alias("good"))

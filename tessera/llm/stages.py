@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import free, stage, stored, table, with_rows
+from tessera.llm.common import free, let, stage, stored, table, with_rows
 from tessera.llm.jaccard import jaccard_rows
 from tessera.llm.packing import pack
-from tessera.llm.quality_rules import base_failed, fitted, measured, posterior
+from tessera.llm.quality_rules import fitted, measures, verdict
 from tessera.llm.secret_scan import linked, redacted, scanned, with_spans
 from tessera.llm.toxicity import fit_toxicity, with_toxicity
 
@@ -38,10 +38,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Texts are measured twice, for the votes and for the verdict: that costs less than a second copy of all texts.
     """
-    rows = measured(nested(docs))
-    model = fitted(rows)
-    m = F.col("_quality")
-    return rows.filter(~base_failed(m) & (posterior(m, model) >= 0.5)).select("row.*")
+    m = measures(F.col("text"))
+    model = fitted(docs, m)
+    return docs.filter(let(m, lambda x: verdict(x, model)))  # one expression, so that a filter's many uses don't measure anew
 
 
 @stage

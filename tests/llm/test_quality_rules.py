@@ -56,7 +56,7 @@ def test_whole_table(spark):
 def test_empty_table_and_clashing_columns(spark, documents):
     empty = measured(documents([]))
     assert empty.collect() == []
-    prior, ratios = fitted(empty)
+    prior, ratios = fitted(empty, F.col("_quality"))
     assert prior > 0 and len(ratios) == len(quality_rules.RULES)
     df = documents([None, "x"]).withColumn("_quality", F.lit(1)).withColumn("n_words", F.lit("clash"))
     rows = measured(df).select("n_words", base_failed(F.col("_quality")).alias("f"), posterior(F.col("_quality"), (prior, ratios)).alias("p")).collect()
