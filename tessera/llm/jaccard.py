@@ -36,8 +36,8 @@ from tessera.llm.components import components
 
 K, PERCENT, GROUPS = 5, 80, 256
 #: Bits of the number of the sketch's counters, least and most: one for each ``PER_COUNTER`` bytes of text. The driver gets a byte
-#: for each, so 16 MB at most.
-SKETCH, PER_COUNTER, SKETCH_BLOCK = (18, 24), 32, 1 << 10
+#: for each, so 4 MB at most; each task gives two bytes for each, which a task's 128 MB of text bears.
+SKETCH, PER_COUNTER, SKETCH_BLOCK = (18, 22), 1024, 1 << 10
 #: Bits of the size of the filter that picks texts whose sets are verified, likewise: a bit for each ``PER_BIT`` bytes of text, so 16 MB at most.
 FILTER, PER_BIT = (23, 27), 64
 #: A shingle whose counter is 2**SALTED times the mean or more is dealt to that many tasks.
@@ -133,7 +133,7 @@ def described(docs: DataFrame, k: int, size: int, carry: list[str]) -> DataFrame
         for at in range(0, len(slabs), 1024):
             some = slabs[at : at + 1024]
             m = len(some)
-            sums = [sketch[i * SKETCH_BLOCK : (i + 1) * SKETCH_BLOCK].tobytes() for i in some]
+            sums = [np.minimum(sketch[i * SKETCH_BLOCK : (i + 1) * SKETCH_BLOCK], 65535).astype(np.uint16).tobytes() for i in some]
             yield pa.RecordBatch.from_arrays([*(pa.nulls(m, pa.int64()) for _ in [*carry, "dg", "n"]), pa.nulls(m, pa.binary()), pa.array(some, pa.int32()), pa.array(sums, pa.binary())], names)
 
     return docs.mapInArrow(run, f"{''.join(f'{c} long, ' for c in carry)}dg long, n long, point binary, slab int, sums binary")
@@ -146,7 +146,7 @@ def levels(slabs: DataFrame, size: int) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, sums in zip(batch.column("slab").to_pylist(), batch.column("sums").to_pylist(), strict=True):
-                x = np.frombuffer(sums, np.uint32).astype(np.int64)
+                x = np.frombuffer(sums, np.uint16).astype(np.int64)
                 total[i] = total[i] + x if i in total else x
         sums = [int(x.sum()) for x in total.values()]
         # logs in eighths, so that a counter fits in a byte
@@ -367,7 +367,7 @@ def jaccard_rows(docs: DataFrame, carry: list[str], k: int = K, percent: int = P
     rows = all_rows.filter("slab < 0")
     posts = stored(shared(prefixes(docs.select("text"), levels(all_rows.filter("slab >= 0"), counters), k, percent)), "posts")
 
-    info = rows.filter("dg is not null").join(posts.select("dg").distinct(), "dg", "left_semi").groupBy("dg").agg(F.first("n").alias("n"), F.first("point").alias("point"), F.min("tk").alias("tk"))
+    info = dealt_join(rows.filter("dg is not null").select("dg", "n", "point", "tk"), posts.select("dg").distinct(), "dg").groupBy("dg").agg(F.first("n").alias("n"), F.first("point").alias("point"), F.min("tk").alias("tk"))
     info = stored(info, "info")
     tidy(docs.sparkSession)
     side = lambda c: info.select(F.col("dg").alias(c), F.col("n").alias(f"n_{c}"), F.col("point").alias(f"point_{c}"))
