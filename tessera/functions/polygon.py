@@ -50,6 +50,13 @@ def segment_box(ring: Column, width: float, height: float) -> Box:
     return Box(*(F.when(any_, v).otherwise(0.0) for v in b))
 
 
+def closest(ring: Column, other: Column) -> Column:
+    """(d, i, j): least squared distance of two rings' points, and their places; first come first among equals."""
+    gap = lambda p, q: (p["x"] - q["x"]) * (p["x"] - q["x"]) + (p["y"] - q["y"]) * (p["y"] - q["y"])
+    pairs = F.flatten(F.transform(ring, lambda p, i: F.transform(other, lambda q, j: F.struct(gap(p, q).alias("d"), i.alias("i"), j.alias("j")))))
+    return F.array_min(pairs)
+
+
 def resample(ring: Column, n: int) -> Column:
     """``n`` points at even index steps along the closed ring, by linear interpolation."""
     closed = F.concat(ring, F.slice(ring, 1, 1))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,6 +78,21 @@ def random_crops(seed: int, n: int, width: int, height: int, size: int) -> list[
     return list(zip(xs, [r.randint(0, max(0, height - size)) for _ in range(n)], strict=True))
 
 
+def crops(rasters: DataFrame, n: int, size: int) -> DataFrame:
+    """(raster_id, x, y): ``n`` random crops of each raster (raster_id, width, height), whose id is the seed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("raster_id", "width", "height")), strict=True))
+            for at in range(0, len(rows), 256):
+                some = rows[at : at + 256]
+                places = np.array([random_crops(int(r), n, int(w), int(h), size) for r, w, h in some], np.int64).reshape(-1, 2)
+                ids = np.repeat(np.array([r for r, _, _ in some], np.int64), n)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(places[:, 0]), pa.array(places[:, 1])], ["raster_id", "x", "y"])
+
+    return rasters.select("raster_id", "width", "height").mapInArrow(run, "raster_id long, x long, y long")
+
+
 def count_phrases(df: DataFrame, names: Column) -> DataFrame:
     """(image_id, said): '2 dogs, 1 cat' by class number."""
     n = df.groupBy("image_id", "cls").agg(F.count("*").alias("n"))
