@@ -60,9 +60,10 @@ def test_equals_brute_force(spark, documents):
     assert got(jaccard_components(documents(texts))) == brute(list(enumerate(texts)))
 
 
-@pytest.mark.parametrize("slot", [4, 64])
-def test_large_blocks_are_split_without_loss(spark, documents, monkeypatch, slot):
+@pytest.mark.parametrize("slot, small", [(4, 2), (64, 2), (64, 40)])
+def test_large_blocks_are_split_without_loss(spark, documents, monkeypatch, slot, small):
     monkeypatch.setattr(jaccard, "SLOT", slot)
+    monkeypatch.setattr(jaccard, "SMALL", small)
     texts = near_copies(random.Random(8), 150)
     assert got(jaccard_components(documents(texts))) == brute(list(enumerate(texts)))
 
