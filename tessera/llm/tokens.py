@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import islice
 
 import numpy as np
 
@@ -30,11 +31,12 @@ STRANGE = b"?"
 class UnitEncoder:
     """Ids of texts as little-endian uint16 bytes.
 
-    Units are remembered in two generations of ``limit`` each: when the young one is full it becomes the old one, and what is
-    met again moves back; so memory is bounded, and rare units go, however much is encoded.
+    A unit that is met for the first time is on trial; met again, it is known. Of both, the half that has been there longest goes
+    when they are full (``limit``, and a quarter of it); so memory is bounded, and rare units make no room for
+    themselves, however much is encoded.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -45,7 +47,7 @@ class UnitEncoder:
         if size > 1 << 16:
             raise ValueError(f"{size} ids do not fit in 16 bits")
         self.merges = Merges(self.tokenizer)
-        self.limit, self.known, self.old, self.odd = limit, {}, {}, False
+        self.limit, self.known, self.trial, self.odd = limit, {}, {}, False
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u2").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -56,14 +58,23 @@ class UnitEncoder:
             out += self.merges.encode(pieces[at : at + 20_000])
         return out
 
+    @staticmethod
+    def _halved(d: dict, limit: int) -> dict:
+        return d if len(d) <= limit else dict(islice(d.items(), len(d) - limit // 2, None))
+
     def _remember(self, found: dict) -> None:
-        self.known.update(found)
-        if len(self.known) > self.limit:
-            self.old, self.known = self.known, {}
+        """Units on trial that are among ``found`` are known from now on, the others of it on trial."""
+        for k, v in found.items():
+            if self.trial.pop(k, None) is None:
+                self.trial[k] = v
+            else:
+                self.known[k] = v
+        self.known = self._halved(self.known, self.limit)
+        self.trial = self._halved(self.trial, self.limit // 4)
 
     def _recalled(self, keys) -> dict[bytes, bytes]:
-        known, old = self.known, self.old
-        return {k: v for k in keys if (v := known.get(k) or old.get(k)) is not None}
+        known, trial = self.known, self.trial
+        return {k: v for k in keys if (v := trial.get(k) or known.get(k)) is not None}
 
     def _units(self, units: set[bytes]) -> dict[bytes, bytes]:
         """Ids of units that are not among the young, by their pieces; ``STRANGE`` for odd ones."""
