@@ -180,3 +180,29 @@ def test_packing_keeps_each_id_once(spark, documents, library):
         assert [r["offset"] for r in s] == [sum(x["length"] for x in s[:j]) for j in range(len(s))]
         assert sum(r["length"] for r in s) == 64 or k == max(by_seq)
     assert pack(documents([]), PATH).collect() == []
+
+
+def test_whole_packing_query_equals_the_library(spark, library):
+    import pyarrow.parquet as pq
+
+    from tessera.llm.packing import op6_pack
+
+    sf = "/root/testdata/sf0.001"
+    by_doc, by_seq = defaultdict(list), defaultdict(list)
+    for r in op6_pack(spark, sf).collect():
+        by_doc[r.doc_id].append(r)
+        by_seq[r.sequence_id].append(r)
+    given = pq.read_table(f"{sf}/documents.parquet").to_pylist()
+    assert len(by_doc) == len(given)
+    for d in given:
+        ids, at = library.encode(d["text"] or "", add_special_tokens=False).ids + [1], 0
+        for p in sorted(by_doc[d["doc_id"]], key=lambda p: p.start):
+            assert p.start == at and p.doc_tokens == len(ids)
+            at += p.length
+            assert p.ids_crc32 == zlib.crc32(np.array(ids[p.start : at], "<u4").tobytes())
+        assert at == len(ids)
+    assert sorted(by_seq) == list(range(len(by_seq)))
+    for k, pieces in by_seq.items():
+        pieces.sort(key=lambda p: p.offset)
+        assert [p.offset for p in pieces] == [sum(x.length for x in pieces[:i]) for i in range(len(pieces))]
+        assert sum(p.length for p in pieces) == 2048 or k == max(by_seq)
