@@ -44,8 +44,8 @@ SKETCH, PER_COUNTER, SKETCH_BLOCK = (18, 22), 1024, 1 << 10
 FILTER, PER_BIT = (23, 27), 64
 #: A shingle whose counter is 2**SALTED times the mean or more is dealt to that many tasks.
 SALTED = 6
-#: Members of a block that one search holds, and points in a leaf.
-SLOT, LEAF = 4096, 32
+#: Members of a block that one search holds, most and least (an eighth of the block between them), and points in a leaf.
+SLOT, LEAST_SLOT, LEAF = 4096, 256, 32
 #: Members up to which a block is searched without a star.
 SMALL = 16
 
@@ -397,7 +397,7 @@ def jaccard_rows(docs: DataFrame, carry: list[str], k: int = K, percent: int = P
     named = held.filter(F.col("members") > SMALL).join(first.withColumnRenamed("node", "dg"), "dg", "left").withColumn("component", F.coalesce("component", "dg"))
     named = stored(named, "named")
     open_ = named.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low < high").select("h", "n", F.lit(True).alias("open"))
-    slots = F.ceil(F.col("members") / SLOT)
+    slots = F.ceil(F.col("members") / F.least(F.greatest(F.col("members") / 8, F.lit(LEAST_SLOT)), F.lit(SLOT)))
     rows_open = dealt_join(named, open_, "h", count="n").join(least, "dg").withColumn("slot", F.pmod(F.xxhash64("dg", F.lit(1)), slots))
     blocks = rows_open.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), slots - 1))).withColumn("i", F.least("slot", "other")).withColumn("j", F.greatest("slot", "other"))
     tidy(docs.sparkSession)
