@@ -166,6 +166,14 @@ def assign(cost: np.ndarray, limit: float) -> tuple[list[tuple[int, int]], list[
     pairs = []
     for rows, cols in components(cost <= limit):
         k, l = len(rows), len(cols)  # noqa: E741
+        if min(k, l) == 1:  # the least of one row or column
+            at = int(np.argmin(cost[np.ix_(rows, cols)]))
+            pairs.append((rows[at // l], cols[at % l]))
+            continue
+        if min(k, l) == 1:  # the least of one row or column
+            at = int(np.argmin(cost[np.ix_(rows, cols)]))
+            pairs.append((rows[at // l], cols[at % l]))
+            continue
         wide = np.full((k + l, k + l), limit / 2.0)
         wide[k:, l:] = 0
         wide[:k, :l] = cost[np.ix_(rows, cols)]
