@@ -213,10 +213,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def map_rows(df: DataFrame, fn: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def words(text: Column) -> Column:
     """Array of the words ``[^\\x20\\x09-\\x0D]+``; null and empty texts give an empty array."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))
