@@ -64,17 +64,17 @@ class UnitEncoder:
 
     def _remember(self, found: dict) -> None:
         """Units on trial that are among ``found`` are known from now on, the others of it on trial."""
-        for k, v in found.items():
-            if self.trial.pop(k, None) is None:
-                self.trial[k] = v
-            else:
-                self.known[k] = v
+        again = found.keys() & self.trial.keys()
+        self.trial.update(found)
+        for k in again:
+            self.known[k] = self.trial.pop(k)
         self.known = self._halved(self.known, self.limit)
         self.trial = self._halved(self.trial, self.limit // 4)
 
-    def _recalled(self, keys) -> dict[bytes, bytes]:
-        known, trial = self.known, self.trial
-        return {k: v for k in keys if (v := trial.get(k) or known.get(k)) is not None}
+    def _recalled(self, keys: set[bytes]) -> dict[bytes, bytes]:
+        out = {k: self.trial[k] for k in keys & self.trial.keys()}
+        out.update((k, self.known[k]) for k in keys & self.known.keys())
+        return out
 
     def _units(self, units: set[bytes]) -> dict[bytes, bytes]:
         """Ids of units that are not among the young, by their pieces; ``STRANGE`` for odd ones."""
