@@ -24,6 +24,10 @@ ODD = re.compile("[^\t\n\r\x20-\x7e\xa1-\xb1\xb4\xb6-\xb8\xba\xbb\xbf-įı-ňŊ-
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_]+|\\d|(?:[^\\w\\s]|_)+")
 
 
+#: Signs that end a clause, as bytes.
+CLAUSE = frozenset(b".,;:!?")
+
+
 #: In place of the ids of an odd unit; no ids are of odd length.
 STRANGE = b"?"
 
@@ -81,20 +85,28 @@ class UnitEncoder:
         found = self._recalled(units)
         units = units.difference(found)
         whole = [u for u in units if u.isalpha()]  # ASCII letters alone: one piece
-        found.update(zip(whole, self._merged(whole), strict=True))
-        split = {}
+        split: dict[bytes, list[bytes] | None] = {}
         for u in units.difference(whole):
+            if u[-1] in CLAUSE and u[:-1].isalpha():  # the most frequent kind, by its bytes
+                split[u] = [u[:-1], u[-1:]]
+                continue
             t = u.decode()
-            split[u] = None if ODD.search(t) else [x.encode() for x in PIECE.findall(t)]
-        pieces = {x for p in split.values() if p for x in p}
-        known = {**self._recalled(pieces), **found}
-        new = [x for x in pieces if x not in known]
+            if ODD.search(t):
+                split[u] = None
+            elif t.isalpha():
+                whole.append(u)
+            else:
+                split[u] = [x.encode() for x in PIECE.findall(t)]
+        found.update(zip(whole, self._merged(whole), strict=True))
+        pieces = {x for p in split.values() if p for x in p}.difference(found)
+        known = self._recalled(pieces)
+        new = list(pieces.difference(known))
         known.update(zip(new, self._merged(new), strict=True))
         for u, p in split.items():
             if p is None:
                 found[u], self.odd = STRANGE, True
             else:
-                found[u] = b"".join([known[x] for x in p])
+                found[u] = b"".join([known[x] if x in known else found[x] for x in p])
         self._remember(found)
         return found
 
