@@ -6,42 +6,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.operators.running import running
+from tessera.operators.running import running, stored
 
 #: Overlap thresholds of a mean average precision.
 THRESHOLDS = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]
 
 
-def precision_recall(pred: DataFrame, matches: DataFrame, gt: DataFrame, thresholds: list[float], key: str = "det_id") -> DataFrame:
-    """(thr, cls, det, conf, tp, rank, n_gt, recall, precision) along falling confidence, per class and threshold.
-
-    Detections are sorted once, by class and confidence, with a running sum for each threshold; classes may be of any size.
+def wide_curve(pred: DataFrame, matches: DataFrame, gt: DataFrame, thresholds: list[float], key: str = "det_id") -> DataFrame:
+    """(cls, det, conf, rank, n_gt, t0, t1, ...): true positives up to each detection along falling confidence, per class, a column for
+    each threshold. Detections are sorted once, by class and confidence; classes may be of any size.
     """
     hit = matches.groupBy(key).agg(F.collect_set("thr").alias("_at"))  # as many as thresholds, at most
     rows = pred.select(key, "cls", "conf").join(hit, key, "left")
-    sums = {f"_t{i}": F.when(F.array_contains("_at", F.lit(t)), 1).otherwise(0) for i, t in enumerate(thresholds)}
-    wide = running(rows, ["cls"], [F.desc("conf"), F.col(key)], sums={"rank": F.lit(1), **sums})
-    labels = gt.groupBy("cls").agg(F.count("*").alias("n_gt"))
-    at = F.explode(F.array(*(F.struct(F.lit(t).alias("thr"), F.col(f"_t{i}").alias("tp")) for i, t in enumerate(thresholds))))
-    curve = wide.join(F.broadcast(labels), "cls").select("cls", key, "conf", "rank", "n_gt", at.alias("t")).select("*", "t.*")  # a row for each class
+    sums = {f"t{i}": F.when(F.array_contains("_at", F.lit(t)), 1).otherwise(0) for i, t in enumerate(thresholds)}
+    wide = running(rows, ["cls"], [F.desc("conf"), F.col(key)], sums={"rank": F.lit(1), **sums}).drop("_at")
+    return wide.join(F.broadcast(gt.groupBy("cls").agg(F.count("*").alias("n_gt"))), "cls")  # a row for each class
+
+
+def precision_recall(pred: DataFrame, matches: DataFrame, gt: DataFrame, thresholds: list[float], key: str = "det_id") -> DataFrame:
+    """(thr, cls, det, conf, tp, rank, n_gt, recall, precision) along falling confidence, per class and threshold."""
+    wide = wide_curve(pred, matches, gt, thresholds, key)
+    at = F.explode(F.array(*(F.struct(F.lit(t).alias("thr"), F.col(f"t{i}").alias("tp")) for i, t in enumerate(thresholds))))
+    curve = wide.select("cls", key, "conf", "rank", "n_gt", at.alias("t")).select("*", "t.*")
     return curve.select("thr", "cls", key, "conf", "tp", "rank", "n_gt", (F.col("tp") / (F.col("n_gt") + 1e-16)).alias("recall"), (F.col("tp") / F.col("rank")).alias("precision"))
 
 
-def average_precision(curve: DataFrame) -> DataFrame:
-    """(thr, cls, ap, n_gt): the envelope of precision at 101 recalls, trapezoid area.
+def average_precision(wide: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(thr, cls, ap, n_gt) of ``wide_curve``: the envelope of precision at 101 recalls, trapezoid area.
 
     The envelope's value between two recalls is interpolated; before the first recall it is the envelope's first value, and
     after the last it falls to 0 at recall 1. Of points of equal recall the last one's envelope counts. Of all points between
     two grid points the first and the last alone are kept, which groups find; so a class takes 101 rows from there on.
     """
-    c = F.col
-    env = running(curve.select("thr", "cls", "n_gt", "rank", "recall", "precision"), ["thr", "cls"], [F.desc("rank")], tops={"env": c("precision")})
+    c, n = F.col, range(len(thresholds))
+    tops = {f"e{i}": c(f"t{i}") / c("rank") for i in n}
+    env = running(wide.select("cls", "n_gt", "rank", *(f"t{i}" for i in n)), ["cls"], [F.desc("rank")], tops=tops)
+    at = F.explode(F.array(*(F.struct(F.lit(t).alias("thr"), (c(f"t{i}") / (c("n_gt") + 1e-16)).alias("recall"), c(f"e{i}").alias("env")) for i, t in enumerate(thresholds))))
+    env = env.select("cls", "n_gt", at.alias("p")).select("cls", "n_gt", "p.*")
     # the first grid point at or after a recall
     near = F.ceil(c("recall") * 100 - 1e-6)
     env = env.withColumn("k", F.when(near / 100 >= c("recall"), near).otherwise(near + 1).cast("int"))
     point = F.struct("recall", (-c("env")).alias("down"))
-    ends = env.groupBy("thr", "cls", "n_gt", "k").agg(F.min(point).alias("first"), F.max(point).alias("last"))
-    groups = env.select("thr", "cls", "n_gt").distinct()
+    ends = stored(env.groupBy("thr", "cls", "n_gt", "k").agg(F.min(point).alias("first"), F.max(point).alias("last")), "ends")
+    groups = ends.select("thr", "cls", "n_gt").distinct()
     grid = groups.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(100)))).join(ends, ["thr", "cls", "n_gt", "k"], "left")
     by = W.partitionBy("thr", "cls", "n_gt").orderBy("k")  # 101 rows
     start = F.struct(F.lit(0.0).alias("recall"), F.lit(-1.0).alias("down"))

@@ -37,7 +37,8 @@ def running(df: DataFrame, groups: list[str], order: list[Column], sums: dict[st
     sums, tops = sums or {}, tops or {}
     by = [F.col(g) for g in groups] + order
     values = {**sums, **tops}
-    part = stored(df.select("*", *(c.alias(f"_v_{n}") for n, c in values.items())).repartitionByRange(*by).withColumn("_part", F.spark_partition_id()), "running")
+    given = stored(df.select("*", *(c.alias(f"_v_{n}") for n, c in values.items())), "given")  # a range sort reads its input twice
+    part = stored(given.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()), "running")
     fold = {n: F.sum if n in sums else F.max for n in values}
     within = W.partitionBy("_part", *groups).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     local = part.select("*", *(f(F.col(f"_v_{n}")).over(within).alias(f"_l_{n}") for n, f in fold.items()))

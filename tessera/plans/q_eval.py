@@ -254,27 +254,32 @@ gr AS (SELECT k, k/100e0 x FROM (SELECT unnest(range(101)) k) t), ay AS (SELECT
 ap AS (SELECT thr, cls, sum(y*CASE WHEN k IN (0,100) THEN 0.005 ELSE 0.01 END) ap FROM ay GROUP BY thr, cls)"""
 
 
-def curve(spark, sf):
+def curve(spark, sf, threshold):
+    tp = M.true_positives(pairs(spark, sf), [threshold])
+    return E.precision_recall(view(spark, sf, "pred"), tp, view(spark, sf, "gt"), [threshold])
+
+
+def areas(spark, sf):
     tp = M.true_positives(pairs(spark, sf), E.THRESHOLDS)
-    return E.precision_recall(view(spark, sf, "pred"), tp, view(spark, sf, "gt"), E.THRESHOLDS)
+    return E.average_precision(E.wide_curve(view(spark, sf, "pred"), tp, view(spark, sf, "gt"), E.THRESHOLDS), E.THRESHOLDS)
 
 
 @query("pr_curve", f"{_CURVE} SELECT cls, det_id, CAST(tp AS BIGINT) tp, round(tp/(n_gt+1e-16), 8) recall, round(tp/CAST(rk AS DOUBLE), 8) AS precision FROM cu JOIN ng USING (cls) WHERE thr = 0.5")
 def pr_curve(spark, sf):
     """AGG4 at overlap 0.5."""
-    return curve(spark, sf).filter("thr = 0.5").select("cls", "det_id", F.col("tp").cast("long").alias("tp"), F.round("recall", 8).alias("recall"), F.round("precision", 8).alias("precision"))
+    return curve(spark, sf, 0.5).select("cls", "det_id", F.col("tp").cast("long").alias("tp"), F.round("recall", 8).alias("recall"), F.round("precision", 8).alias("precision"))
 
 
 @query("ap_per_class", f"{_AP} SELECT thr, cls, round(ap, 6) ap, n_gt FROM ap JOIN ng USING (cls)")
 def ap_per_class(spark, sf):
     """AGG4, AGG5: the flagship: overlap join, matching, curves and areas in one plan."""
-    return E.average_precision(curve(spark, sf)).select("thr", "cls", F.round("ap", 6).alias("ap"), "n_gt")
+    return areas(spark, sf).select("thr", "cls", F.round("ap", 6).alias("ap"), "n_gt")
 
 
 @query("map_summary", f"""{_AP}, s AS (SELECT avg(CASE WHEN thr = 0.5 THEN ap END) m50, avg(CASE WHEN thr = 0.75 THEN ap END) m75, avg(ap) m FROM ap) SELECT round(m50, 6) map50, round(m75, 6) map75, round(m, 6) map, round(0.1*m50+0.9*m, 6) fitness FROM s""")
 def map_summary(spark, sf):
     """AGG7, AGG8."""
-    ap = E.average_precision(curve(spark, sf))
+    ap = areas(spark, sf)
     at = lambda t: F.avg(F.when(F.col("thr") == t, F.col("ap")))
     s = ap.agg(at(0.5).alias("m50"), at(0.75).alias("m75"), F.avg("ap").alias("m"))
     return s.select(F.round("m50", 6).alias("map50"), F.round("m75", 6).alias("map75"), F.round("m", 6).alias("map"), F.round(0.1 * F.col("m50") + 0.9 * F.col("m"), 6).alias("fitness"))
@@ -288,7 +293,7 @@ def f1_operating_point(spark, sf):
     from pyspark.sql import Window as W
 
     c = F.col
-    z = E.best_confidence(curve(spark, sf).filter("thr = 0.5"), 5).withColumn("one", F.lit(0))
+    z = E.best_confidence(curve(spark, sf, 0.5), 5).withColumn("one", F.lit(0))
     s = z.select("k", F.avg("f1").over(W.partitionBy("one").orderBy("k").rowsBetween(-5, 5)).alias("f1"))  # 101 rows
     return s.orderBy(F.desc(F.round("f1", 9)), "k").limit(1).select((c("k") / 100).alias("conf"), F.round("f1", 6).alias("f1"))
 

@@ -192,10 +192,10 @@ def test_set_cost_of_one_pair():
 def test_pruned_blocks_lose_nothing(spark, monkeypatch):
     from tessera.operators import explorer as X
 
-    monkeypatch.setattr(X, "BLOCK", 7)
+    monkeypatch.setattr(X, "BLOCK", 100)
     r = np.random.default_rng(2)
     middle = r.normal(0, 5, (6, 8))
-    v = np.concatenate([m + r.normal(0, 0.3, (20, 8)) for m in middle]).astype(np.float32)
+    v = np.concatenate([m + r.normal(0, 0.3, (300, 8)) for m in middle]).astype(np.float32)
     df = spark.createDataFrame([(i, [float(x) for x in u]) for i, u in enumerate(v)], "vec_id long, embedding array<float>")
     d = ((v[:, None].astype(float) - v[None]) ** 2).sum(axis=2)
     got = {x.vec_id: list(x.similar) for x in X.similarity_index(df, 1.5).collect()}
