@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
 
@@ -67,8 +68,10 @@ def autosplit(paths: list[str], weights: tuple[float, ...] = (0.9, 0.1, 0.0), se
 
 
 def autosplit_by_hash(df: DataFrame, key: str, weights: tuple[float, ...] = (0.9, 0.1, 0.0)) -> DataFrame:
-    share = hashed(key, 0) % 10**6 / 10**6
-    return df.withColumn("split", F.when(share < weights[0], "train").when(share < weights[0] + weights[1], "val").otherwise("test"))
+    """The same for tables: by a seeded digest in whole millionths, as sums of shares are not exact (0.8 + 0.15 > 0.95)."""
+    train, val = (math.ceil(round(sum(weights[:i]) * 10**6, 3)) for i in (1, 2))
+    part = hashed(key, 0) % 10**6
+    return df.withColumn("split", F.when(part < train, "train").when(part < val, "val").otherwise("test"))
 
 
 def random_crops(seed: int, n: int, width: int, height: int, size: int) -> list[tuple[int, int]]:

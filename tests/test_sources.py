@@ -115,6 +115,26 @@ def test_splits():
     assert len(crops) == 400 and max(x for x, _ in crops) <= 664 and max(y for _, y in crops) <= 464
 
 
+def test_split_at_its_bounds(spark, tmp_path):
+    import duckdb
+
+    from tessera.plans.registry import QUERIES, SQL
+
+    # keys by the last six digits of their digest
+    digits = {0: 1107945, 299999: 736954, 300000: 739784, 799999: 1191621, 800000: 1257784, 949999: 1097708, 950000: 155294, 999999: 381565}
+    df = spark.createDataFrame([(i,) for i in [*digits.values(), *range(-50, 50), None]], "p_partkey long")
+    assert {r.p_partkey: r.h for r in df.select("p_partkey", (D.hashed("p_partkey", 0) % 10**6).alias("h")).collect()}.items() >= {i: h for h, i in digits.items()}.items()
+    df.write.parquet(str(tmp_path / "part.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    got = {r.p_partkey: r.split for r in QUERIES["autosplit"](spark, str(tmp_path)).collect()}
+    assert len(got) == 109 and got == dict(con.sql(SQL["autosplit"]).fetchall())
+    assert [got[i] for i in digits.values()] == ["train"] * 4 + ["val"] * 2 + ["test"] * 2
+    for weights, want in (((0.1, 0.2, 0.7), "val test"), ((0.3, 0.6, 0.1), "train val"), ((0.0, 1 / 3, 2 / 3), "val val"), ((0.0, 0.0, 1.0), "test test")):
+        got = {r.p_partkey: r.split for r in D.autosplit_by_hash(df, "p_partkey", weights).collect()}
+        assert [got[digits[299999]], got[digits[300000]]] == want.split()
+
+
 def test_explorer_dialect(spark):
     df = spark.createDataFrame([(1, ["person", "dog"]), (2, ["cat"])], "id long, labels array<string>")
     run = lambda q: [r.id for r in X.sql_query(spark, df, q).collect()]
